@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -19,6 +20,7 @@ def local_session(cores: str | int = "*", app: str = "spiketide", partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -44,3 +46,16 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable; keeps a folder the cluster has set."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Two-pass operators read their input twice.  Stacked on each other they
+    would recompute the bottom of the plan 2, 4, 8 ... times; a written stage
+    keeps that at two column-pruned scans and survives the loss of executors.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
