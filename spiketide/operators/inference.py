@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from spiketide.functions.columns import total
 from spiketide.operators.ordered import Track, running
@@ -164,7 +165,7 @@ def two_sample_t(df: DataFrame, keys: Sequence[str], value: str, in_first: str)
     return s.select(*keys, "na", "nb", t.alias("t"), dof.alias("dof"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Two-sided p-value of Student's t (incomplete beta by its continued fraction)."""
     from math import lgamma

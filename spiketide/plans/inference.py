@@ -143,12 +143,22 @@ def perm_test(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("pair", *[rounded(c).alias(c) for c in ("dm", "lo", "hi")], "differs")
 
 
-@query("top_percent_softmax")
+@query(
+    "top_percent_softmax",
+    """WITH p AS (SELECT CAST(label AS BIGINT) AS label, vec_id, embedding[1]::DOUBLE AS s FROM embeddings),
+    q AS (SELECT label, quantile_cont(s, 0.75) AS q FROM p GROUP BY label),
+    c AS (SELECT label, vec_id, exp(s) AS w, sum(exp(s)) OVER (PARTITION BY label ORDER BY vec_id) AS hi FROM p JOIN q USING (label) WHERE s >= q),
+    r AS (SELECT label, vec_id, floor((hi - w) / max(hi) OVER (PARTITION BY label) * 1099511627776) AS lo FROM c),
+    d AS (SELECT l.label, d.d AS draw, ('0x' || substr(md5(l.label || ':42:' || d.d), 1, 8))::BIGINT * 256 AS pos
+      FROM (SELECT DISTINCT label FROM p) l CROSS JOIN range(0, 200) d(d))
+    SELECT d.label, draw, arg_max(vec_id, lo) AS vec_id FROM d JOIN r ON r.label = d.label AND r.lo <= d.pos GROUP BY 1, 2""",
+)
 def top_percent_softmax(spark: SparkSession, sf: str) -> DataFrame:
     """200 weighted draws per label among the points in the top quarter of a score."""
     score = F.element_at("embedding", 1).cast("double")
     pts = table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("label"), "vec_id", score.alias("score"))
-    return inference.softmax_draws(pts, ["label"], "vec_id", "score", top=0.25, draws=200, seed=42)
+    out = inference.softmax_draws(pts, ["label"], "vec_id", "score", top=0.25, draws=200, seed=42)
+    return out.withColumn("draw", F.col("draw").cast("bigint"))
 
 
 @query(
