@@ -6,7 +6,7 @@ import importlib
 
 from spiketide.plans.registry import PLANS, SQL
 
-for _m in ("rates", "histograms", "segments", "joins", "inference", "signals", "clusters"):
+for _m in ("rates", "histograms", "segments", "joins", "inference", "signals", "clusters", "sweeps", "streams"):
     importlib.import_module(f"spiketide.plans.{_m}")
 
 __all__ = ["PLANS", "SQL"]

@@ -13,3 +13,12 @@ def sliding(df: DataFrame, length: str, step: str, time: str = "ts", value: str
         .agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"))
         .select(F.unix_micros("w.start").alias("start_us"), "n", "m", "sd")
     )
+
+
+def bursts(df: DataFrame, gap: str, keys: tuple[str, ...] = ("u",), time: str = "ts") -> DataFrame:
+    """Sessions per key: events at most ``gap`` apart."""
+    return (
+        df.groupBy(*keys, F.session_window(time, gap).alias("w"))
+        .agg(F.count("*").alias("events"), F.min(time).alias("a"), F.max(time).alias("b"))
+        .select(*keys, F.unix_micros("a").alias("start_us"), F.unix_micros("b").alias("end_us"), "events")
+    )
