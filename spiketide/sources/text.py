@@ -40,9 +40,9 @@ def read_adjacency(spark: SparkSession, path: str, pattern: str = "*_adj.txt") -
     """(job_id, pre, post) from in-lists ``post<-pre,pre,...,``; deleted ends (-1) are left out."""
     sides = F.split("line", "<-")
     e = _lines(spark, path, pattern).filter(F.col("line").contains("<-")).select(
-        "job_id", F.explode(_numbers(sides[1])).cast("int").alias("pre"), sides[0].cast("int").alias("post")
+        "job_id", F.explode(_numbers(sides[1])).alias("pre"), sides[0].cast("int").alias("post")
     )
-    return e.filter("pre <> -1 AND post <> -1")
+    return e.select("job_id", F.col("pre").cast("int").alias("pre"), "post").filter("pre <> -1 AND post <> -1")
 
 
 def read_pairs(spark: SparkSession, path: str, pattern: str = "*_trinfo.txt") -> DataFrame:
