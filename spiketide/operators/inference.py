@@ -120,7 +120,10 @@ def permutation_test(
         (F.avg(F.when(F.col(in_first), F.col(value))) - F.avg(F.when(~F.col(in_first), F.col(value)))).alias("dm"),
     )
     sizes = stage(sizes)
-    draws = df.select(*keys, row_id, F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
+    # spread the rows first: each one is about to become ``rounds`` rows
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.select(*keys, row_id, F.col(value).alias("v")).repartition(tasks, row_id)
+    draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
     draws = draws.withColumn("h", rank_hash(row_id, "round")).withColumn("bucket", F.shiftright("h", 20))
     w = W.partitionBy(*keys, "round").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = draws.groupBy(*keys, "round", "bucket").agg(F.count("*").alias("k"), F.sum("v").alias("sv")).select(

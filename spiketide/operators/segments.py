@@ -18,7 +18,7 @@ def _close(edges: DataFrame, track: Track, first: str, last: str) -> DataFrame:
     ``first``/``last`` name the position columns of an edge row's own extent.
     The row after an opening edge that is not also closing is its closing edge.
     """
-    paired = neighbours(stage(edges), track, following=[last])
+    paired = neighbours(edges, track, following=[last])
     return paired.filter("_opens").withColumn(
         "end", F.when(F.col("_closes"), F.col(last)).otherwise(F.col(f"next_{last}"))
     )
@@ -36,7 +36,7 @@ def runs(df: DataFrame, track: Track, state: str) -> DataFrame:
         )
     ).filter("_opens OR _closes")
     edges = edges.withColumn("_stop", F.col(track.pos) + 1)
-    return _close(edges, track, track.pos, "_stop").select(
+    return _close(stage(edges), track, track.pos, "_stop").select(
         *track.keys, F.col(track.pos).alias("start"), "end", F.col(state).alias("state")
     )
 
@@ -95,9 +95,7 @@ def absorb_short(intervals: DataFrame, track: Track, min_len: int) -> DataFrame:
     """
     tr = track.at("start")
     short = (F.col("state") != 0) & (F.col("end") - F.col("start") < min_len)
-    near = neighbours(
-        stage(intervals.withColumn("short", short)), tr, prev=["state", "short"], following=["state", "short"]
-    )
+    near = neighbours(intervals.withColumn("short", short), tr, prev=["state", "short"], following=["state", "short"])
     opens = F.col("short") & ~F.coalesce(F.col("prev_short"), F.lit(False))
     closes = F.col("short") & ~F.coalesce(F.col("next_short"), F.lit(False))
     marked = stage(near.withColumn("_opens", opens).withColumn("_closes", closes))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spiketide.functions import spectral
 from spiketide.functions.columns import as_col
+from spiketide.session import stage
 
 
 def spectrum(df: DataFrame, keys: Sequence[str], signal: str) -> DataFrame:
@@ -89,7 +90,7 @@ def weighted_lookup(points: DataFrame, grid: DataFrame, axes: Sequence[str], val
 
 def z_levels(df: DataFrame, by: Sequence[str], value: str, lo: int, hi: int) -> DataFrame:
     """Whole-number level of the standardised value, clipped to [lo, hi]."""
-    s = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    s = stage(df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s")))
     z = F.floor(F.try_divide(F.col(value) - F.col("_m"), F.col("_s")))
     return df.join(s, list(by)).withColumn("level", F.least(F.greatest(z, F.lit(lo)), F.lit(hi)).cast("bigint")).drop("_m", "_s")
 

@@ -11,6 +11,7 @@ from spiketide.operators.ordered import Track
 from spiketide.plans.rates import EV, POP, pop_of
 from spiketide.plans.registry import query
 from spiketide.plans.tables import HOUR, T0, events, table
+from spiketide.session import stage
 
 HOD = f"((t - {T0}) // {HOUR}) % 24"
 
@@ -54,7 +55,7 @@ def error_band(spark: SparkSession, sf: str) -> DataFrame:
 )
 def percentile_threshold_mask(spark: SparkSession, sf: str) -> DataFrame:
     ev = events(spark, sf).select("kind", "x")
-    q = inference.exact_quantiles(ev, ["kind"], "x", [0.95])
+    q = stage(inference.exact_quantiles(ev, ["kind"], "x", [0.95]))
     return ev.join(q, "kind").groupBy("kind").agg(
         F.count_if(F.col("x") > F.col("q")).alias("above"), rounded(F.count_if(F.col("x") > F.col("q")) / F.count("*"), 9).alias("share")
     )
@@ -68,7 +69,7 @@ def percentile_threshold_mask(spark: SparkSession, sf: str) -> DataFrame:
 def clipped_minmax(spark: SparkSession, sf: str) -> DataFrame:
     """Scale to [0, 1] between the 10 and 90 percent quantiles of the own group."""
     ev = events(spark, sf).select("event_id", "kind", "x")
-    q = inference.wide_quantiles(ev, ["kind"], "x", {"lo": 0.1, "hi": 0.9})
+    q = stage(inference.wide_quantiles(ev, ["kind"], "x", {"lo": 0.1, "hi": 0.9}))
     z = (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     return ev.join(q, "kind").select("event_id", rounded(F.least(F.lit(1.0), F.greatest(F.lit(0.0), z))).alias("scaled"))
 
@@ -79,9 +80,13 @@ def clipped_minmax(spark: SparkSession, sf: str) -> DataFrame:
     SELECT event_id, round((value - m) / s, 6) AS z FROM events JOIN s ON kind = event_type""",
 )
 def zscore(spark: SparkSession, sf: str) -> DataFrame:
-    """Standardise per group: moments are aggregated first, then joined, so no group is held whole."""
+    """Standardise per group: moments are aggregated first, then joined, so no group is held whole.
+
+    The moments are a written table, so Spark knows their size before it plans
+    the join and broadcasts them only if they are small.
+    """
     ev = events(spark, sf).select("event_id", "kind", "x")
-    s = ev.groupBy("kind").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    s = stage(ev.groupBy("kind").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")))
     return ev.join(s, "kind").select("event_id", rounded((F.col("x") - F.col("m")) / F.col("s")).alias("z"))
 
 

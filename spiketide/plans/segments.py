@@ -147,7 +147,7 @@ def motif_proportion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "interval_stab",
-    f"""{RLE} SELECT {POP} AS pop, r.state, count(*) AS n, round(avg(x), 6) AS m, round(var_pop(x), 6) AS v
+    f"""{RLE} SELECT {POP} AS pop, r.state, count(*) AS n, round(avg(x), 9) AS m, round(var_pop(x), 6) AS v
     FROM ser JOIN r USING (u) WHERE ser.n >= r."start" AND ser.n < r."end" GROUP BY 1, 2""",
 )
 def interval_stab(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,7 +159,7 @@ def interval_stab(spark: SparkSession, sf: str) -> DataFrame:
     return (
         hit.filter("state IS NOT NULL")
         .groupBy(pop_of().alias("pop"), "state")
-        .agg(F.count("*").alias("n"), rounded(F.avg("x")).alias("m"), rounded(F.var_pop("x")).alias("v"))
+        .agg(F.count("*").alias("n"), rounded(F.avg("x"), 9).alias("m"), rounded(F.var_pop("x")).alias("v"))
     )
 
 
@@ -286,7 +286,7 @@ def second_difference(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "sliding_summary",
     f"""WITH {EV}, s AS (SELECT {T0} - 43200000000 + i * 43200000000 AS s FROM range(0, 61) r(i))
-    SELECT s.s AS start_us, count(*) AS n, round(avg(x), 6) AS m, round(stddev_pop(x), 6) AS sd
+    SELECT s.s AS start_us, count(*) AS n, round(avg(x), 9) AS m, round(stddev_pop(x), 9) AS sd
     FROM s JOIN ev ON ev.t >= s.s AND ev.t < s.s + 86400000000 GROUP BY s.s""",
 )
 def sliding_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,7 +295,7 @@ def sliding_summary(spark: SparkSession, sf: str) -> DataFrame:
 
     ev = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("x"))
     out = sliding(ev, "1 day", "12 hours")
-    return out.select("start_us", "n", rounded("m").alias("m"), rounded("sd").alias("sd"))
+    return out.select("start_us", "n", rounded("m", 9).alias("m"), rounded("sd", 9).alias("sd"))
 
 
 @query(

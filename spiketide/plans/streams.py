@@ -25,7 +25,7 @@ def stream(spark: SparkSession, sf: str) -> DataFrame:
 def sliding_summary_stream(spark: SparkSession, sf: str) -> DataFrame:
     out = windows.sliding(stream(spark, sf).withWatermark("ts", "1 hour"), "1 day", "12 hours")
     done = runs.run_updates(out, ["start_us"])
-    return done.select("start_us", "n", rounded("m").alias("m"), rounded("sd").alias("sd"))
+    return done.select("start_us", "n", rounded("m", 9).alias("m"), rounded("sd", 9).alias("sd"))
 
 
 @query("session_bursts_stream", SQL["session_bursts"])

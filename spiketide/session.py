@@ -54,6 +54,8 @@ def stage(df: DataFrame) -> DataFrame:
     Two-pass operators read their input twice.  Stacked on each other they
     would recompute the bottom of the plan 2, 4, 8 ... times; a written stage
     keeps that at two column-pruned scans and survives the loss of executors.
+    The size of a written table is known exactly, so a join with it is
+    broadcast by Spark's own threshold and never by guess.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage/{uuid.uuid4().hex}"
