@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spiketide.operators.graphs import components
 from spiketide.operators.ordered import Track, ordinal
 from spiketide.session import stage
 
@@ -181,25 +182,13 @@ def grid_boundary(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def grid_components(cells: DataFrame, cols: int, max_rounds: int = 200) -> DataFrame:
-    """Connected cells of equal state; ``comp`` is the smallest r * cols + c inside.
-
-    Every round takes the smallest label around and then jumps to that label's
-    own label, so long shapes shrink quickly.  Labels are written each round.
-    """
+def grid_components(cells: DataFrame, cols: int) -> DataFrame:
+    """Connected cells of equal state; ``comp`` is the smallest r * cols + c inside."""
     key = (F.col("r") * cols + F.col("c")).cast("bigint")
-    edges = stage(
-        grid_neighbours(cells).filter("state = n_state").select(key.alias("a"), (F.col("n_r") * cols + F.col("n_c")).cast("bigint").alias("b"))
+    edges = grid_neighbours(cells).filter("state = n_state").select(
+        key.alias("a"), (F.col("n_r") * cols + F.col("n_c")).cast("bigint").alias("b")
     )
-    lab = stage(cells.select(key.alias("a"), key.alias("comp")))
-    for _ in range(max_rounds):
-        near = edges.join(lab.select(F.col("a").alias("b"), "comp"), "b").select("a", "comp").unionByName(lab).groupBy("a").agg(F.min("comp").alias("comp"))
-        hop = near.select(F.col("a").alias("comp"), F.col("comp").alias("next"))
-        new = stage(near.join(hop, "comp").select("a", F.col("next").alias("comp")))
-        if new.join(lab, ["a", "comp"], "left_anti").isEmpty():
-            return cells.withColumn("a", key).join(new, "a").drop("a")
-        lab = new
-    raise RuntimeError("components did not settle")
+    return cells.withColumn("a", key).join(components(cells.select(key.alias("a")), edges), "a").drop("a")
 
 
 def majority_denoise(cells: DataFrame, weight: str | None = None) -> DataFrame:

@@ -228,3 +228,37 @@ def smooth(df: DataFrame, track: Track, value: str, taps: Sequence[float], lengt
     if length is not None:
         out = out.filter((F.col(pos) >= 0) & (F.col(pos) < F.col("length")))
     return out.select(*keys, pos, value, "smooth")
+
+
+def cut_chunks(points: DataFrame, intervals: DataFrame, track: Track, lead_in: int = 0) -> DataFrame:
+    """Samples of each interval with up to ``lead_in`` samples before it: (keys, start, state, k, values).
+
+    ``k`` counts from the interval's start and is negative in the lead-in.  A
+    sample serves its own interval and, when close enough, the next one, so
+    ``lead_in`` must not exceed the shortest interval.  Nothing is padded.
+    """
+    keys, pos = list(track.keys), track.pos
+    inside = stab(points, intervals, track).filter("start IS NOT NULL").drop("end")
+    out = inside
+    if lead_in:
+        extra = [c for c in points.columns if c not in (*keys, pos)]
+        rows = points.select(*keys, pos, F.struct(*extra).alias("_row"), F.lit(0).alias("_what"))
+        starts = intervals.select(*keys, F.col("start").alias(pos), F.lit(1).alias("_what"), F.struct("start", "state").alias("_iv"))
+        axis = rows.unionByName(starts, allowMissingColumns=True)
+        ahead = running(axis, track.at(pos, tie=("_what",)), {"_next": ("min", F.col("_iv"))}, backwards=True, inclusive=True)
+        near = ahead.filter("_what = 0").filter(
+            (F.col("_next.start") > F.col(pos)) & (F.col("_next.start") - F.col(pos) <= lead_in)
+        )
+        before = near.select(*keys, pos, *[F.col(f"_row.{c}").alias(c) for c in extra], "_next.start", "_next.state")
+        out = inside.unionByName(before)
+    return out.withColumn("k", F.col(pos) - F.col("start"))
+
+
+def interpolate(df: DataFrame, track: Track, value: str) -> DataFrame:
+    """Linear interpolation at every whole position between neighbouring samples (last sample excluded)."""
+    pos = track.pos
+    near = neighbours(df, track, following=[pos, value]).filter(F.col(f"next_{pos}").isNotNull())
+    step = F.col(f"next_{pos}") - F.col(pos)
+    j = F.explode(F.sequence(F.lit(0).cast("bigint"), step - 1)).alias("_j")
+    v = F.col(value) + (F.col(f"next_{value}") - F.col(value)) * F.col("_j") / step
+    return near.select("*", j).select(*track.keys, (F.col(pos) + F.col("_j")).alias(pos), v.alias(value))
