@@ -9,23 +9,27 @@ from spiketide.operators.inference import rank_hash
 from spiketide.session import stage
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(a, comp): the smallest node id reachable from a.  ``edges`` (a, b) hold both directions.
 
-    A round takes the smallest label among the neighbours and then that
-    label's own label, so the number of rounds grows with the logarithm of the
-    longest path rather than with the path.  Labels are written every round.
+    Each round hooks every end point to its smallest neighbour, shortens the
+    chains of hooks, and contracts the edge table to the ends that are left, so
+    it shrinks from round to round and long paths need few rounds.
     """
-    edges = stage(edges.select("a", "b").distinct())
-    lab = stage(nodes.select("a", F.col("a").alias("comp")))
+    e = stage(edges.filter("a <> b").select("a", "b").distinct())
+    out = nodes.select("a", F.col("a").alias("comp"))
     for _ in range(max_rounds):
-        heard = edges.join(lab.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("comp").alias("heard"))
-        near = lab.join(heard, "a", "left").select("a", F.least("comp", "heard").alias("comp"), F.col("comp").alias("old"))
-        hop = near.select(F.col("a").alias("comp"), F.col("comp").alias("next"))
-        new = stage(near.join(hop, "comp").select("a", F.col("next").alias("comp"), (F.col("next") != F.col("old")).alias("moved")))
-        if new.filter("moved").isEmpty():
-            return new.select("a", "comp")
-        lab = new.select("a", "comp")
+        if e.isEmpty():
+            return out
+        hook = e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
+        for _ in range(2):
+            onward = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
+            hook = hook.join(onward, "p").select("a", F.col("q").alias("p"))
+        hook = stage(hook)
+        ends = e.join(hook.withColumnRenamed("p", "x"), "a").join(hook.select(F.col("a").alias("b"), F.col("p").alias("y")), "b")
+        e = stage(ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        moved = hook.select(F.col("a").alias("comp"), "p")
+        out = out.join(moved, "comp", "left").select("a", F.coalesce("p", "comp").alias("comp"))
     raise RuntimeError("components did not settle")
 
 

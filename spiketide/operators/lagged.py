@@ -17,7 +17,7 @@ def lagged_joint(df: DataFrame, track: Track, x: str, y: str, lags: int, by: Seq
     Direction 0: y is the target and x the source; direction 1 the reverse.
     Pairs never leave the key, since a lead beyond the last sample is NULL.
     """
-    wide, w = halo(df.select(*track.keys, track.pos, x, y, *by), track, ahead=lags)
+    wide, w = halo(df.select(*dict.fromkeys((*track.keys, track.pos, x, y, *by))), track, ahead=lags)
     rows = []
     for lag in range(1, lags + 1):
         for d, (target, source) in enumerate(((y, x), (x, y))):

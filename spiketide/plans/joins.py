@@ -10,7 +10,7 @@ from spiketide.operators import aligned, lagged
 from spiketide.operators.ordered import Track
 from spiketide.plans.rates import EV, POP, SER, pop_of
 from spiketide.plans.registry import query
-from spiketide.plans.tables import DAY, DAYS, HOUR, T0, _rows, event_track, events, series, table
+from spiketide.plans.tables import DAY, DAYS, HOUR, T0, event_track, events, row_count, series, table
 
 EDGES = [i * HOUR for i in range(25)]
 PROBE = f"""pb AS (SELECT event_id, u, b.b, t + b.b * {HOUR} AS s FROM ev CROSS JOIN range(0, 24) b(b) WHERE kind = 'click')"""
@@ -19,7 +19,7 @@ PROBE = f"""pb AS (SELECT event_id, u, b.b, t + b.b * {HOUR} AS s FROM ev CROSS
 def time_track(spark: SparkSession, sf: str) -> Track:
     """Chunks of time that hold about as many rows as a chunk of events."""
     tr = event_track(spark, sf)
-    rows = max(1, _rows(spark.sparkContext.applicationId, f"{sf}/events.parquet"))
+    rows = max(1, row_count(spark, sf, "events"))
     return tr.at("t", width=max(1, DAYS * DAY * tr.width // rows))
 
 

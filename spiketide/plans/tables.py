@@ -24,8 +24,9 @@ def table(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
 
 
 @lru_cache(maxsize=None)
-def _rows(app: str, path: str) -> int:
-    return SparkSession.active().read.parquet(path).count()
+def row_count(spark: SparkSession, sf: str, name: str) -> int:
+    """Rows of a table, read from the file footers once per session."""
+    return spark.read.parquet(f"{sf}/{name}.parquet").count()
 
 
 def chunk_width(spark: SparkSession, sf: str, name: str) -> int:
@@ -33,7 +34,7 @@ def chunk_width(spark: SparkSession, sf: str, name: str) -> int:
     set_by_user = spark.conf.get("spark.spiketide.chunkWidth", None)
     if set_by_user:
         return int(set_by_user)
-    return balanced_width(_rows(spark.sparkContext.applicationId, f"{sf}/{name}.parquet"))
+    return balanced_width(row_count(spark, sf, name))
 
 
 def event_track(spark: SparkSession, sf: str) -> Track:

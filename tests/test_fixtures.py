@@ -229,3 +229,74 @@ def test_one_hot_unit_with_most_rows(spark):
                 want.append((u, start, i, vals[start]))
                 start = i
     assert got == sorted(want)
+
+
+def test_components_of_a_long_path(spark):
+    from spiketide.operators import graphs
+
+    pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102)]
+    e = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "a bigint, b bigint")
+    n = spark.createDataFrame([(i,) for i in [*range(61), 100, 101, 102, 200]], "a bigint")
+    got = dict(tuple(r) for r in graphs.components(n, e).collect())
+    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100, 200: 200}
+
+
+def test_random_edges(spark):
+    from spiketide.operators import graphs
+
+    posts = spark.range(40).withColumnRenamed("id", "post")
+    got = [tuple(r) for r in graphs.random_edges(posts, F.lit(40).cast("bigint"), 6, seed=1).collect()]
+    assert len(got) == len(set(got)) == 240
+    assert all(a != b and 0 <= a < 40 for a, b in got)
+    full = graphs.random_edges(posts, F.lit(40).cast("bigint"), 100, seed=1)
+    assert full.count() == 40 * 39
+
+
+def test_hills(spark):
+    from spiketide.operators import replicates
+
+    def run(v, **kw):
+        df = spark.createDataFrame([([float(x) for x in v],)], "v array<double>")
+        return [tuple(h) for h in df.select(replicates.hills("v", **kw).alias("h")).first()["h"]]
+
+    assert run((0, 2, 1, 3, 0)) == [(1, 0, 1), (3, 2, 4)]
+    # the shoulder of five falling points at the left is a hill of its own
+    assert run((5, 4, 3, 2, 1, 4, 0)) == [(0, 0, 3), (5, 4, 6)]
+    assert run((1, 2, 3)) == [(2, 0, 2)]
+    # the small bump is not prominent enough, its two points join the hill beside them
+    assert run((0, 1.0, 0.9995, 1.5, 0)) == [(3, 0, 4)]
+
+
+def test_barcode(spark):
+    from spiketide.operators import replicates
+
+    curve = [0, 0, 1, 4, 1, 0, 0, 0]
+    df = spark.createDataFrame([(0, 2 + i, float(v), 0.5, v > 0) for i, v in enumerate(curve)], "dir bigint, lag bigint, true_mean double, surr_mean double, differs boolean")
+    none = replicates.barcode(df, 8)
+    assert none.count() == 10 and none.filter("code <> 0").count() == 0
+    sure = replicates.barcode(df.withColumn("differs", F.lit(True)), 8)
+    got = {r["lag"]: r["code"] for r in sure.collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0.5, 5: 3.5, 6: 0.5, 7: 0, 8: 0, 9: 0}
+    pct = replicates.barcode(df.withColumn("differs", F.lit(True)), 8, percent=True)
+    assert {r["lag"]: r["code"] for r in pct.collect()}[5] == 87.5
+
+
+def test_principal_axes_and_correlated_features(spark):
+    df = spark.range(500).select(F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("c", F.col("a") * 2 + 1)
+    axes = clusters.principal_axes(df, ["a", "b", "c"]).orderBy("axis").collect()
+    assert axes[0]["share"] == pytest.approx(2 / 3, abs=0.05) and axes[2]["cumulative"] == pytest.approx(1.0)
+    assert clusters.uncorrelated_features(df, ["a", "b", "c"], 0.9) == ["a", "b"]
+
+
+def test_weighted_denoise(spark):
+    cells = spark.createDataFrame([(r, c, 0, 1.0) for r in range(3) for c in range(3)], "r bigint, c bigint, state bigint, s double")
+    odd = cells.withColumn("state", F.when((F.col("r") == 1) & (F.col("c") == 1), 5).otherwise(F.col("r"))).withColumn("s", F.when(F.col("r") == 2, 9.0).otherwise(1.0))
+    got = {(r["r"], r["c"]): r["state"] for r in clusters.majority_denoise(odd, weight="s").collect()}
+    assert got[(1, 1)] == 2
+
+
+def test_cut_chunks(spark):
+    pts = series(spark, range(12), "x bigint")
+    iv = spark.createDataFrame([(1, 3, 6, 4), (1, 6, 9, 2)], "u bigint, start bigint, end bigint, state bigint")
+    got = rows(segments.cut_chunks(pts, iv, TR, lead_in=2), "state", "k", "x")
+    assert got == [(2, k, 6 + k) for k in range(-2, 3)] + [(4, k, 3 + k) for k in range(-2, 3)]
