@@ -56,7 +56,7 @@ def shifted_joint(df: DataFrame, track: Track, x: str, y: str, lags: int, rounds
         .agg(F.max("x").alias(x), F.max("y").alias(y))
         .withColumnRenamed("p", pos)
     )
-    return lagged_joint(met, Track((*track.keys, "round"), pos, track.width), x, y, lags, by=["round"])
+    return lagged_joint(met, track.within("round"), x, y, lags, by=["round"])
 
 
 def compare_replicates(true: DataFrame, surr: DataFrame, by: Sequence[str], value: str, lo: float, hi: float) -> DataFrame:

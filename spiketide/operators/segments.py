@@ -144,16 +144,18 @@ def sessions(df: DataFrame, track: Track, time: str, gap: int) -> DataFrame:
     which cannot outnumber time span / gap plus the chunks, are then joined.
     """
     keys = list(track.keys)
-    w = W.partitionBy(*keys, "_chunk").orderBy(*track.order())
+    w = W.partitionBy(*track.parts).orderBy(*track.order())
     t = F.col(time)
-    cut = df.select(*keys, track.pos, time, track.chunk.alias("_chunk"))
+    cut = track.cut(df.select(*keys, track.pos, time))
     new = F.coalesce(t - F.lag(t).over(w) > gap, F.lit(True)).cast("int")
     part = (
         cut.withColumn("_new", new)
         .withColumn("_id", F.sum("_new").over(w))
-        .groupBy(*keys, "_chunk", "_id")
+        .groupBy(*track.parts, "_id")
         .agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("events"))
     )
+    if track.flat:
+        return part.drop("_id")
     kw = W.partitionBy(*keys).orderBy("start")
     far = F.coalesce(F.col("start") - F.lag("end").over(kw) > gap, F.lit(True)).cast("int")
     return (

@@ -126,7 +126,7 @@ def significant_sign_runs(spark: SparkSession, sf: str) -> DataFrame:
     t = inference.one_sample_t(ev, ["kind", "h"], "x", 34.0)
     state = F.when(F.abs("t") > 0.8, F.signum("t").cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     grid = t.select("kind", "h", state.alias("state"))
-    return segments.runs(grid, Track(("kind",), "h", 64), "state").filter("state <> 0")
+    return segments.runs(grid, Track(("kind",), "h", 64, flat=True), "state").filter("state <> 0")
 
 
 @query(

@@ -118,7 +118,7 @@ def peaked_significant_runs(spark: SparkSession, sf: str) -> DataFrame:
     curve = stage(events(spark, sf).groupBy("kind", hod.alias("lag")).agg(F.avg("x").alias("v")))
     mean = curve.groupBy("kind").agg(F.avg("v").alias("m"))
     high = curve.join(mean, "kind").select("kind", "lag", (F.col("v") > F.col("m")).cast("bigint").alias("s"))
-    runs = segments.runs(high, Track(("kind",), "lag", 64), "s").filter("state = 1")
+    runs = segments.runs(high, Track(("kind",), "lag", 64, flat=True), "s").filter("state = 1")
     return replicates.peaked_runs(runs, curve, ["kind"])
 
 

@@ -252,7 +252,7 @@ def mua_smooth(spark: SparkSession, sf: str) -> DataFrame:
     from spiketide.functions.columns import floor_div
     from spiketide.operators.ordered import Track
 
-    tr = Track(("pop",), "h", event_track(spark, sf).width)
+    tr = Track(("pop",), "h", 720, flat=True)
     h = floor_div(F.col("t") - T0, HOUR)
     counts = events(spark, sf).groupBy(pop_of().alias("pop"), h.alias("h")).agg(F.count("*").cast("double").alias("c"))
     length = counts.select("pop").distinct().withColumn("length", F.lit(720).cast("bigint"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spiketide.functions.columns import micros
-from spiketide.operators.ordered import Track, balanced_width, ordinal
+from spiketide.operators.ordered import Track, balanced_width, find_hot, ordinal
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -37,8 +37,15 @@ def chunk_width(spark: SparkSession, sf: str, name: str) -> int:
     return balanced_width(row_count(spark, sf, name))
 
 
+@lru_cache(maxsize=None)
+def _hot_units(spark: SparkSession, sf: str, width: int) -> tuple[DataFrame | None, bool]:
+    return find_hot(events(spark, sf).select("u"), ["u"], width)
+
+
 def event_track(spark: SparkSession, sf: str) -> Track:
-    return Track(("u",), "event_id", chunk_width(spark, sf, "events"))
+    width = chunk_width(spark, sf, "events")
+    hot, flat = _hot_units(spark, sf, width)
+    return Track(("u",), "event_id", width, hot=hot, flat=flat)
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

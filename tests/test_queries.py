@@ -37,3 +37,21 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).columns == ["pop", "units", "cv"]
+
+
+ORDERED = (
+    "cv_isi lead_lag_ratio rle_states gap_fill absorb_short interval_stab peaks_nearest session_bursts event_response "
+    "joint_presence_2x2 lagged_joint_hist cross_corr te_shift_surrogates motif_chunks linear_interpolation gaussian_smooth"
+).split()
+
+
+@pytest.mark.parametrize("width", [66, 100_000])
+@pytest.mark.parametrize("name", ORDERED)
+def test_some_or_no_units_are_hot(spark, con, name, width):
+    """Units have 49 to 86 events: at 66 some are cut into chunks, at 100,000 none."""
+    before = spark.conf.get("spark.spiketide.chunkWidth")
+    spark.conf.set("spark.spiketide.chunkWidth", str(width))
+    try:
+        assert oracle.compare(spark, con, name, SF) == []
+    finally:
+        spark.conf.set("spark.spiketide.chunkWidth", before)
