@@ -137,6 +137,23 @@ def representatives(scored: DataFrame, label: str, pid: str, vec: str, dims: int
     )
 
 
+def silhouette_order(scored: DataFrame, label: str, pid: str) -> DataFrame:
+    """(pid, label, pos, boundary): place of each point ordered by label and falling score ``s``.
+
+    Ranks inside a label are counted in score chunks, labels are placed by the
+    running sum of their sizes (one row per label).
+    """
+    steps = 1 << 40
+    at = F.floor((1 - F.col("s")) * steps / 2).cast("bigint")
+    down = scored.withColumn("_pos", at).withColumn("_neg", -F.col("s"))
+    ranked = ordinal(down, Track((label,), "_pos", steps // 4096, tie=("_neg", pid)), "_rank")
+    size = scored.groupBy(label).agg(F.count("*").alias("_n"))
+    before = size.select(label, (F.sum("_n").over(W.orderBy(label).rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_at"))
+    return ranked.join(stage(before), label).select(
+        pid, label, (F.col("_at") + F.col("_rank")).alias("pos"), (F.col("_rank") == 0).alias("boundary")
+    )
+
+
 def picks(df: DataFrame, label: str, pid: str, score: str, k: int) -> DataFrame:
     """The k lowest, k middle and k highest scores per label.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spiketide.operators.inference import rank_hash
+from spiketide.functions.columns import rank_hash
 from spiketide.session import stage
 
 

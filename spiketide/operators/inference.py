@@ -6,12 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from spiketide.functions.columns import total
+from spiketide.functions.columns import rank_hash, total
 from spiketide.operators.ordered import Track, running
 from spiketide.session import stage
 
@@ -98,11 +98,6 @@ def interval_overlap(df: DataFrame, keys: Sequence[str], sample: str, a: str, b:
     return picked.withColumn("differs", (F.col("lo_a") > F.col("hi_b")) | (F.col("hi_a") < F.col("lo_b")))
 
 
-def rank_hash(*parts: str) -> Column:
-    """32-bit pseudo-random rank from key columns, the same on every run and partitioning."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(p).cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
-
-
 def permutation_test(
     df: DataFrame, keys: Sequence[str], row_id: str, value: str, in_first: str, rounds: int, lo: float = 0.01, hi: float = 0.99
 ) -> DataFrame:

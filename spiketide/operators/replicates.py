@@ -10,34 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spiketide.operators.inference import rank_hash
+from spiketide.functions.columns import rank_hash
 from spiketide.operators.lagged import lagged_joint
 from spiketide.operators.ordered import Track
 
 
-def half_samples(joint: DataFrame, unit: str, rounds: int) -> DataFrame:
+def membership(rounds: int, *keys: str) -> Column:
+    """Bit r tells whether a unit belongs to random half r; at most 31 rounds."""
+    return rank_hash(*keys).bitwiseAND(F.lit((1 << rounds) - 1).cast("bigint"))
+
+
+def half_samples(joint: DataFrame, mask: str, rounds: int) -> DataFrame:
     """Joint counts of ``rounds`` random halves of the units: the columns of ``joint`` plus round.
 
-    ``joint`` holds counts per unit.  Membership is a hash of unit and round, and
-    all rounds come from one aggregation with one conditional sum each.
+    ``joint`` holds counts per ``membership`` mask: units in the same halves are
+    interchangeable, so the table does not grow with the units.  All rounds come
+    from one aggregation with one conditional sum each.
     """
-    cells = [c for c in joint.columns if c not in (unit, "n")]
-    sums = []
-    for r in range(rounds):
-        member = rank_hash_of(unit, r) % 2 == 0
-        sums.append(F.sum(F.when(member, F.col("n")).otherwise(F.lit(0))).alias(f"_{r}"))
+    cells = [c for c in joint.columns if c not in (mask, "n")]
+    sums = [F.sum(F.when(F.getbit(mask, F.lit(r)) == 1, F.col("n")).otherwise(F.lit(0))).alias(f"_{r}") for r in range(rounds)]
     wide = joint.groupBy(*cells).agg(*sums)
     rows = F.array(*[F.struct(F.lit(r).cast("bigint").alias("round"), F.col(f"_{r}").alias("n")) for r in range(rounds)])
     return wide.select(*cells, F.inline(rows)).filter("n > 0")
 
 
-def rank_hash_of(unit: str, r: int) -> Column:
-    text = F.concat(F.col(unit).cast("string"), F.lit(f":{r}"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-
-
-def shifted_joint(df: DataFrame, track: Track, x: str, y: str, lags: int, rounds: int) -> DataFrame:
-    """Joint counts after rotating x against y within every unit, once per round.
+def rotated(df: DataFrame, track: Track, x: str, y: str, rounds: int) -> DataFrame:
+    """(keys, round, pos, x, y) with x rotated against y within every unit, once per round.
 
     The rotation of a unit is a hash of unit and round.  Both signals are sent
     to their (unit, round, position) and meet there, so no unit is gathered.
@@ -50,13 +48,33 @@ def shifted_joint(df: DataFrame, track: Track, x: str, y: str, lags: int, rounds
         F.struct(moved.alias("p"), F.col(x).alias("x"), F.lit(None).cast("bigint").alias("y")),
         F.struct(F.col(pos).alias("p"), F.lit(None).cast("bigint").alias("x"), F.col(y).alias("y")),
     )
-    met = (
+    return (
         copies.select(*keys, F.col("round").cast("bigint").alias("round"), F.inline(sent))
         .groupBy(*keys, "round", "p")
         .agg(F.max("x").alias(x), F.max("y").alias(y))
         .withColumnRenamed("p", pos)
     )
-    return lagged_joint(met, track.within("round"), x, y, lags, by=["round"])
+
+
+def shifted_joint(df: DataFrame, track: Track, x: str, y: str, lags: int, rounds: int) -> DataFrame:
+    """Lagged joint counts of the rotated signals, per round."""
+    return lagged_joint(rotated(df, track, x, y, rounds), track.within("round"), x, y, lags, by=["round"])
+
+
+def above_chance(seen: DataFrame, chance: DataFrame, cells: Sequence[str], rounds: int, level: float) -> DataFrame:
+    """Cells counted more often than the ``level`` quantile of their counts by chance: (cells, n, th, above).
+
+    ``seen`` has (cells, n), ``chance`` (round, cells, n); a cell that a round never
+    hit counts as zero there.
+    """
+    listed = chance.groupBy(*cells).agg(F.collect_list(F.col("n").cast("double")).alias("_n"))  # one entry per round
+    padded = F.sort_array(F.concat("_n", F.array_repeat(F.lit(0.0), F.lit(rounds) - F.size("_n"))))
+    h = (rounds - 1) * level
+    k, frac = int(h), h - int(h)
+    th = F.get(padded, F.lit(k)) * (1 - frac) + F.get(padded, F.lit(min(k + 1, rounds - 1))) * frac
+    limit = listed.select(*cells, th.alias("th"))
+    out = seen.join(limit, list(cells), "left").withColumn("th", F.coalesce("th", F.lit(0.0)))
+    return out.withColumn("above", F.col("n") > F.col("th"))
 
 
 def compare_replicates(true: DataFrame, surr: DataFrame, by: Sequence[str], value: str, lo: float, hi: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spiketide.functions.columns import rank_hash
 from spiketide.operators.ordered import Track, halo, neighbours, own, running
 from spiketide.session import stage
 
@@ -264,3 +265,9 @@ def interpolate(df: DataFrame, track: Track, value: str) -> DataFrame:
     j = F.explode(F.sequence(F.lit(0).cast("bigint"), step - 1)).alias("_j")
     v = F.col(value) + (F.col(f"next_{value}") - F.col(value)) * F.col("_j") / step
     return near.select("*", j).select(*track.keys, (F.col(pos) + F.col("_j")).alias(pos), v.alias(value))
+
+
+def random_windows(df: DataFrame, keys: Sequence[str], length: int, seed: int) -> DataFrame:
+    """(keys, n0): start of one window of ``length`` rows per key, the same on every run; shorter keys have none."""
+    size = df.groupBy(*keys).agg(F.count("*").alias("_len")).filter(F.col("_len") >= length).withColumn("_seed", F.lit(seed))
+    return size.select(*keys, F.pmod(rank_hash(*keys, "_seed"), F.col("_len") - (length - 1)).alias("n0"))

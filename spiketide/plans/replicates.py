@@ -24,7 +24,7 @@ JOINT = f"""pr AS (SELECT a.u, b.n - a.n AS lag, a.xb AS x0, a.yb AS y0, b.xb AS
     lj AS (SELECT u, lag, 0::BIGINT AS dir, y1 AS now, y0 AS "then", x0 AS src, count(*) AS n FROM pr GROUP BY ALL
       UNION ALL SELECT u, lag, 1::BIGINT, x1, x0, y0, count(*) FROM pr GROUP BY ALL),
     hs AS (SELECT r.r AS round, lag, dir, now, "then", src, sum(n) AS n FROM lj JOIN range(0, {ROUNDS}) r(r)
-      ON ('0x' || substr(md5(lj.u || ':' || r.r), 1, 8))::BIGINT % 2 = 0 GROUP BY ALL)"""
+      ON (('0x' || substr(md5(lj.u::VARCHAR), 1, 8))::BIGINT >> r.r) & 1 = 1 GROUP BY ALL)"""
 
 
 def te_sql(out: str, src: str) -> str:
@@ -33,10 +33,11 @@ def te_sql(out: str, src: str) -> str:
     {out} AS (SELECT round, lag, dir, sum(n / a * log2(n * c / (cs * nc))) AS te FROM {out}_m GROUP BY round, lag, dir)"""
 
 
-SURR = f"""ln AS (SELECT *, count(*) OVER (PARTITION BY u) AS len FROM bn),
+ROTATED = f"""ln AS (SELECT *, count(*) OVER (PARTITION BY u) AS len FROM bn),
     cp AS (SELECT u, r.r AS round, n, xb, yb, len, ((n - ('0x' || substr(md5(u || ':' || r.r), 1, 8))::BIGINT % len) % len + len) % len AS m
       FROM ln CROSS JOIN range(0, {ROUNDS}) r(r)),
-    sh AS (SELECT a.u, a.round, a.n, b.xb, a.yb FROM cp a JOIN cp b ON a.u = b.u AND a.round = b.round AND a.n = b.m),
+    sh AS (SELECT a.u, a.round, a.n, b.xb, a.yb FROM cp a JOIN cp b ON a.u = b.u AND a.round = b.round AND a.n = b.m)"""
+SURR = f"""{ROTATED},
     sp AS (SELECT a.round, b.n - a.n AS lag, a.xb AS x0, a.yb AS y0, b.xb AS x1, b.yb AS y1
       FROM sh a JOIN sh b ON a.u = b.u AND a.round = b.round AND b.n - a.n BETWEEN 1 AND {LAGS}),
     sj AS (SELECT round, lag, 0::BIGINT AS dir, y1 AS now, y0 AS "then", x0 AS src, count(*) AS n FROM sp GROUP BY ALL
@@ -47,10 +48,9 @@ BY = ["round", "lag", "dir"]
 
 def te_rounds(spark: SparkSession, sf: str) -> DataFrame:
     df, tr = _binned(spark, sf)
-    # joint counts stay per unit, so that units can be resampled afterwards
-    copy = df.withColumn("unit", F.col("u"))
-    per_unit = lagged.lagged_joint(copy, tr, "xb", "yb", LAGS, by=["unit"])
-    return lagged.transfer_entropy(replicates.half_samples(per_unit, "unit", ROUNDS), BY)
+    masked = df.withColumn("mask", replicates.membership(ROUNDS, "u"))
+    per_mask = lagged.lagged_joint(masked, tr, "xb", "yb", LAGS, by=["mask"])
+    return lagged.transfer_entropy(replicates.half_samples(per_mask, "mask", ROUNDS), BY)
 
 
 def te_surrogates(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,3 +273,108 @@ def linear_interpolation(spark: SparkSession, sf: str) -> DataFrame:
     """Signal known at every fourth sample, filled in between."""
     ser, tr = series(spark, sf, "x")
     return segments.interpolate(ser.filter("n % 4 = 0").select("u", "n", "x"), tr, "x").withColumn("x", rounded("x"))
+
+
+@query(
+    "cooccurrence_significance",
+    f"""WITH {BINNED}, {ROTATED},
+    o AS (SELECT xb, yb, count(*) AS n FROM bn GROUP BY 1, 2), c AS (SELECT round, xb, yb, count(*) AS n FROM sh GROUP BY 1, 2, 3),
+    g AS (SELECT o.xb, o.yb, o.n, coalesce(c.n, 0) AS m FROM o CROSS JOIN range(0, {ROUNDS}) r(r) LEFT JOIN c ON c.round = r.r AND c.xb = o.xb AND c.yb = o.yb)
+    SELECT xb, yb, n, round(quantile_cont(m, 0.9), 6) AS th, n > quantile_cont(m, 0.9) AS above FROM g GROUP BY 1, 2, 3""",
+)
+def cooccurrence_significance(spark: SparkSession, sf: str) -> DataFrame:
+    """Joint states that occur more often than after rotating the signals against each other."""
+    df, tr = _binned(spark, sf)
+    df = stage(df)
+    seen = df.groupBy("xb", "yb").agg(F.count("*").alias("n"))
+    chance = replicates.rotated(df, tr, "xb", "yb", ROUNDS).groupBy("round", "xb", "yb").agg(F.count("*").alias("n"))
+    out = replicates.above_chance(seen, chance, ["xb", "yb"], ROUNDS, 0.9)
+    return out.select("xb", "yb", "n", rounded("th").alias("th"), "above")
+
+
+@query(
+    "transfer_entropy_2d",
+    f"""WITH j AS ({SQL['lagged_joint_2d']}), m AS (SELECT lag1, lag2, dir, n, sum(n) OVER (PARTITION BY lag1, lag2, dir) AS t,
+      sum(n) OVER (PARTITION BY lag1, lag2, dir, c) AS c, sum(n) OVER (PARTITION BY lag1, lag2, dir, c, b) AS cs,
+      sum(n) OVER (PARTITION BY lag1, lag2, dir, a, c) AS nc FROM j)
+    SELECT lag1, lag2, dir, round(sum(n / t * log2(n * c / (cs * nc))), 8) AS te FROM m GROUP BY 1, 2, 3""",
+)
+def transfer_entropy_2d(spark: SparkSession, sf: str) -> DataFrame:
+    """Information of the source at one lag about the target at another, for all pairs of lags."""
+    from spiketide.plans.joins import lagged_joint_2d
+
+    j = lagged_joint_2d(spark, sf).select("lag1", "lag2", "dir", F.col("a").alias("now"), F.col("c").alias("then"), F.col("b").alias("src"), "n")
+    return lagged.transfer_entropy(j, ["lag1", "lag2", "dir"]).withColumn("te", rounded("te", 8))
+
+
+@query(
+    "random_window_stats",
+    f"""WITH {SER}, l AS (SELECT u, count(*) AS len FROM ser GROUP BY u HAVING count(*) >= 20),
+    w AS (SELECT u, ('0x' || substr(md5(u || ':5'), 1, 8))::BIGINT % (len - 19) AS n0 FROM l)
+    SELECT u, n0, count(*) AS n, round(avg(x), 9) AS m FROM ser JOIN w USING (u) WHERE ser.n >= n0 AND ser.n < n0 + 20 GROUP BY 1, 2""",
+)
+def random_window_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """One random window of twenty samples per unit, placed by a hash."""
+    ser, _ = series(spark, sf, "x")
+    w = segments.random_windows(events(spark, sf).select("u"), ["u"], 20, seed=5)
+    hit = ser.join(w, "u").filter("n >= n0 AND n < n0 + 20")
+    return hit.groupBy("u", "n0").agg(F.count("*").alias("n"), rounded(F.avg("x"), 9).alias("m"))
+
+
+@query(
+    "silhouette_order",
+    f"""WITH s AS ({SQL['silhouette']}) SELECT vec_id, label, row_number() OVER (ORDER BY label, s DESC, vec_id) - 1 AS pos,
+    CASE WHEN row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) = 1 THEN TRUE ELSE FALSE END AS boundary FROM s""",
+)
+def silhouette_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Position of every point when sorted by cluster and falling silhouette, and where clusters begin."""
+    from spiketide.plans.clusters import silhouette
+
+    s = stage(silhouette(spark, sf).select("vec_id", "label", "s"))
+    return clusters.silhouette_order(s, "label", "vec_id")
+
+
+@query(
+    "sample_targets",
+    """WITH e AS (SELECT DISTINCT l_suppkey AS pre, l_partkey AS post FROM lineitem), r AS (SELECT pre, post, row_number() OVER (PARTITION BY pre
+      ORDER BY ('0x' || substr(md5(pre || ':' || post || ':3'), 1, 8))::BIGINT, post) AS k FROM e)
+    SELECT pre, post FROM r WHERE k <= 5""",
+)
+def sample_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to five targets of every node, drawn without replacement by hash."""
+    from spiketide.functions.columns import rank_hash
+    from spiketide.plans.joins import supply_edges
+
+    e = supply_edges(spark, sf).withColumn("seed", F.lit(3)).withColumn("h", rank_hash("pre", "post", "seed"))
+    return segments.top_per_key(e, ["pre"], [F.col("h"), F.col("post")], 5).select("pre", "post")
+
+
+@query(
+    "square_image",
+    "SELECT CAST(l_linenumber AS BIGINT) AS r, "
+    + ", ".join(f"count(*) FILTER (round(l_discount * 100) = {c}) AS c{c}" for c in range(11))
+    + " FROM lineitem GROUP BY 1",
+)
+def square_image(spark: SparkSession, sf: str) -> DataFrame:
+    """A long grid as an image, one column per grid column."""
+    src = table(spark, sf, "lineitem", "l_linenumber", "l_discount")
+    g = src.select(F.col("l_linenumber").cast("bigint").alias("r"), F.round(F.col("l_discount") * 100).cast("int").alias("c"))
+    wide = g.groupBy("r").pivot("c", list(range(11))).count()
+    return wide.select("r", *[F.coalesce(F.col(str(c)), F.lit(0).cast("bigint")).alias(f"c{c}") for c in range(11)])
+
+
+@query(
+    "warmup_windows",
+    f"""WITH {EV} SELECT kind, count(*) FILTER (d < 5) AS n_warm, count(*) FILTER (d >= 5) AS n, round(avg(x) FILTER (d >= 5), 9) AS m,
+    count(*) FILTER (d >= 10 AND d < 20) AS n_monitor, round(avg(x) FILTER (d >= 10 AND d < 20), 9) AS m_monitor
+    FROM (SELECT *, (t - 1704067200000000) // 86400000000 AS d FROM ev) GROUP BY kind""",
+)
+def warmup_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Two overlapping summaries in one pass: everything after the warm-up, and a monitor window."""
+    d = F.expr("(t - 1704067200000000) div 86400000000")
+    ev = events(spark, sf).select("kind", "x", d.alias("d"))
+    late, mon = F.col("d") >= 5, (F.col("d") >= 10) & (F.col("d") < 20)
+    return ev.groupBy("kind").agg(
+        F.count_if(~late).alias("n_warm"), F.count_if(late).alias("n"), rounded(F.avg(F.when(late, F.col("x"))), 9).alias("m"),
+        F.count_if(mon).alias("n_monitor"), rounded(F.avg(F.when(mon, F.col("x"))), 9).alias("m_monitor"),
+    )

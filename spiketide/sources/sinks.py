@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+import json
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spiketide.functions.columns import as_col
@@ -55,3 +58,18 @@ def axis_lines(axes: DataFrame) -> DataFrame:
     listed = axes.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("v"))
     text = F.concat_ws(",", F.transform("v", lambda x: x["value"].cast("string")))
     return listed.select(F.concat(F.col("name"), F.lit(":"), text, F.lit(",")).alias("value"))
+
+
+def cached_table(spark: SparkSession, folder: str, params: Mapping[str, object], compute: Callable[[], DataFrame]) -> DataFrame:
+    """Read the result stored for exactly these parameters, or compute and store it.
+
+    The parameters are part of the path, so a change of any of them misses the cache.
+    A write that did not finish leaves no success mark and is done again.
+    """
+    key = hashlib.sha256(json.dumps(params, sort_keys=True, default=str).encode()).hexdigest()[:24]
+    path = f"{folder}/{key}"
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
+    except AnalysisException:
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -89,3 +89,15 @@ def test_table_sink(spark, tmp_path):
 
 def test_downsample(spark):
     assert sinks.downsample(spark.range(250), "id", 0.01, 2000).count() == 5
+
+
+def test_cached_table(spark, tmp_path):
+    calls = []
+
+    def compute():
+        calls.append(1)
+        return spark.range(3)
+
+    for params in ({"a": 1}, {"a": 1}, {"a": 2}):
+        assert sinks.cached_table(spark, str(tmp_path), params, compute).count() == 3
+    assert len(calls) == 2
