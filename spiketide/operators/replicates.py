@@ -37,23 +37,15 @@ def half_samples(joint: DataFrame, mask: str, rounds: int) -> DataFrame:
 def rotated(df: DataFrame, track: Track, x: str, y: str, rounds: int) -> DataFrame:
     """(keys, round, pos, x, y) with x rotated against y within every unit, once per round.
 
-    The rotation of a unit is a hash of unit and round.  Both signals are sent
-    to their (unit, round, position) and meet there, so no unit is gathered.
+    The rotation of a unit is a hash of unit and round.  The moved samples of x
+    meet y at (unit, position), so no unit is gathered and y is sent only once.
     """
     keys, pos = list(track.keys), track.pos
     length = df.groupBy(*keys).agg(F.count("*").alias("_len"))
     copies = df.join(length, keys).select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
     moved = F.pmod(F.col(pos) - F.pmod(rank_hash(*keys, "round"), F.col("_len")), F.col("_len"))
-    sent = F.array(
-        F.struct(moved.alias("p"), F.col(x).alias("x"), F.lit(None).cast("bigint").alias("y")),
-        F.struct(F.col(pos).alias("p"), F.lit(None).cast("bigint").alias("x"), F.col(y).alias("y")),
-    )
-    return (
-        copies.select(*keys, F.col("round").cast("bigint").alias("round"), F.inline(sent))
-        .groupBy(*keys, "round", "p")
-        .agg(F.max("x").alias(x), F.max("y").alias(y))
-        .withColumnRenamed("p", pos)
-    )
+    sent = copies.select(*keys, F.col("round").cast("bigint").alias("round"), moved.alias(pos), x)
+    return sent.join(df.select(*keys, pos, y), [*keys, pos])
 
 
 def shifted_joint(df: DataFrame, track: Track, x: str, y: str, lags: int, rounds: int) -> DataFrame:

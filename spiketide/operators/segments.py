@@ -257,14 +257,14 @@ def cut_chunks(points: DataFrame, intervals: DataFrame, track: Track, lead_in: i
     return out.withColumn("k", F.col(pos) - F.col("start"))
 
 
-def interpolate(df: DataFrame, track: Track, value: str) -> DataFrame:
-    """Linear interpolation at every whole position between neighbouring samples (last sample excluded)."""
-    pos = track.pos
-    near = neighbours(df, track, following=[pos, value]).filter(F.col(f"next_{pos}").isNotNull())
-    step = F.col(f"next_{pos}") - F.col(pos)
-    j = F.explode(F.sequence(F.lit(0).cast("bigint"), step - 1)).alias("_j")
-    v = F.col(value) + (F.col(f"next_{value}") - F.col(value)) * F.col("_j") / step
-    return near.select("*", j).select(*track.keys, (F.col(pos) + F.col("_j")).alias(pos), v.alias(value))
+def resample(df: DataFrame, track: Track, time: str, value: str, step: int) -> DataFrame:
+    """Linear interpolation onto whole multiples of ``step`` between the first and last sample of a key."""
+    near = neighbours(df, track, following=[time, value]).filter(F.col(f"next_{time}").isNotNull())
+    t, end = F.col(time), F.col(f"next_{time}")
+    first = t + F.pmod(-t, F.lit(step).cast("bigint"))
+    at = near.filter(first < end).select("*", F.explode(F.sequence(first, end - 1, F.lit(step).cast("bigint"))).alias("_at"))
+    v = F.col(value) + (F.col(f"next_{value}") - F.col(value)) * (F.col("_at") - t) / (end - t)
+    return at.select(*track.keys, F.col("_at").alias(time), v.alias(value))
 
 
 def random_windows(df: DataFrame, keys: Sequence[str], length: int, seed: int) -> DataFrame:

@@ -14,7 +14,7 @@ from spiketide.plans.rates import EV, POP, SER, pop_of, run_summary
 from spiketide.plans.registry import SQL, query
 from spiketide.plans.segments import CHAIN, motifs
 from spiketide.plans.signals import vectors
-from spiketide.plans.tables import HOUR, events, series, table
+from spiketide.plans.tables import HOUR, event_track, events, series, table
 from spiketide.session import stage
 
 LAGS, ROUNDS = 6, 8
@@ -266,13 +266,14 @@ def savgol_smooth(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "linear_interpolation",
-    f"""WITH {SER}, k AS (SELECT u, n, x, lead(n) OVER w AS n1, lead(x) OVER w AS x1 FROM ser WHERE n % 4 = 0 WINDOW w AS (PARTITION BY u ORDER BY n))
-    SELECT k.u, k.n + j.j AS n, round(x + (x1 - x) * j.j / (n1 - n), 6) AS x FROM k JOIN range(0, 4) j(j) ON n1 IS NOT NULL""",
+    f"""WITH {EV}, k AS (SELECT u, t, x, lead(t) OVER w AS t1, lead(x) OVER w AS x1 FROM ev WINDOW w AS (PARTITION BY u ORDER BY event_id)),
+    h AS (SELECT 1704067200000000 + i * {HOUR} AS g FROM range(0, 721) r(i))
+    SELECT u, h.g AS t, round(x + (x1 - x) * (h.g - t) / (t1 - t), 6) AS x FROM k JOIN h ON h.g >= k.t AND h.g < k.t1""",
 )
 def linear_interpolation(spark: SparkSession, sf: str) -> DataFrame:
-    """Signal known at every fourth sample, filled in between."""
-    ser, tr = series(spark, sf, "x")
-    return segments.interpolate(ser.filter("n % 4 = 0").select("u", "n", "x"), tr, "x").withColumn("x", rounded("x"))
+    """Every unit's signal on the full hours, interpolated between its events."""
+    ev = events(spark, sf).select("u", "event_id", "t", "x")
+    return segments.resample(ev, event_track(spark, sf), "t", "x", HOUR).withColumn("x", rounded("x"))
 
 
 @query(

@@ -91,20 +91,19 @@ def cell_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "align_sweeps",
-    """WITH g AS (SELECT l_returnflag AS f, CAST(l_linenumber AS BIGINT) AS line, CAST(round(l_discount / 0.02) AS BIGINT) AS disc,
-      l_discount AS d, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2, 3, 4)
-    SELECT a.line, a.disc, round(a.v, 4) AS a, round(b.v, 4) AS b FROM g a JOIN g b USING (line, disc)
-    WHERE a.f = 'A' AND b.f = 'R' AND round(a.d * 100) % 2 = 0 AND round(b.d * 100) % 2 = 0""",
+    """WITH g AS (SELECT l_returnflag AS f, CAST(l_linenumber AS BIGINT) AS line, CAST(round(l_discount / 0.02::DOUBLE) AS BIGINT) AS disc,
+      sum(l_extendedprice) AS s, count(*) AS n FROM lineitem GROUP BY 1, 2, 3)
+    SELECT line, disc, round(a.s / a.n, 4) AS a, round(b.s / b.n, 4) AS b FROM g a JOIN g b USING (line, disc) WHERE a.f = 'A' AND b.f = 'R'""",
 )
 def align_sweeps(spark: SparkSession, sf: str) -> DataFrame:
-    """Two sweeps on the same coarse grid, met by rounded coordinates."""
+    """Two sweeps met by coordinates rounded to a coarser step."""
+    step = 0.02
     g = (
         table(spark, sf, "lineitem", "l_returnflag", "l_linenumber", "l_discount", "l_extendedprice")
-        .filter(F.round(F.col("l_discount") * 100) % 2 == 0)
-        .groupBy(F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("line"), F.col("l_discount").alias("disc"))
+        .groupBy(F.col("l_returnflag").alias("f"), F.col("l_linenumber").alias("line"), (F.round(F.col("l_discount") / step) * step).alias("disc"))
         .agg(F.avg("l_extendedprice").alias("v"))
     )
-    out = sweeps.align(g.filter("f = 'A'"), g.filter("f = 'R'"), {"line": 1.0, "disc": 0.02}, ("v", "v"))
+    out = sweeps.align(g.filter("f = 'A'"), g.filter("f = 'R'"), {"line": 1.0, "disc": step}, ("v", "v"))
     return out.select("line", "disc", rounded("a", 4).alias("a"), rounded("b", 4).alias("b"))
 
 
