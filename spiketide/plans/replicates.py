@@ -13,7 +13,7 @@ from spiketide.plans.joins import BINNED, EDGES, PROBE, _binned, _responses, eve
 from spiketide.plans.rates import EV, POP, SER, pop_of, run_summary
 from spiketide.plans.registry import SQL, query
 from spiketide.plans.segments import CHAIN, motifs
-from spiketide.plans.signals import vectors
+from spiketide.plans.signals import DFT, vectors
 from spiketide.plans.tables import HOUR, event_track, events, series, table
 from spiketide.session import stage
 
@@ -92,7 +92,25 @@ def te_barcode(spark: SparkSession, sf: str) -> DataFrame:
     return replicates.barcode(stage(te_tests(spark, sf)), LAGS)
 
 
-@query("spectrum_hills")
+@query(
+    "spectrum_hills",
+    f"""WITH {DFT}, m AS (SELECT label, k, avg(amp) AS v FROM a GROUP BY 1, 2),
+    nb AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM m WINDOW w AS (PARTITION BY label ORDER BY k)),
+    pk AS (SELECT label, k AS p, v FROM nb WHERE v > l AND v > r),
+    sd AS (SELECT pk.label, p, pk.v, (SELECT coalesce(max(k), -1) FROM m WHERE m.label = pk.label AND m.k < p AND m.v > pk.v) AS lh,
+      (SELECT coalesce(min(k), 99) FROM m WHERE m.label = pk.label AND m.k > p AND m.v > pk.v) AS rh FROM pk),
+    pr AS (SELECT label, p, v, v - greatest((SELECT min(m.v) FROM m WHERE m.label = sd.label AND m.k > lh AND m.k < p),
+      (SELECT min(m.v) FROM m WHERE m.label = sd.label AND m.k > p AND m.k < rh)) AS prom FROM sd),
+    h AS (SELECT label, p, (SELECT max(k) FROM nb WHERE nb.label = pr.label AND nb.k <= p AND (nb.l IS NULL OR nb.l > nb.v)) AS f,
+      (SELECT min(k) FROM nb WHERE nb.label = pr.label AND nb.k >= p AND (nb.r IS NULL OR nb.r > nb.v)) AS e FROM pr WHERE prom >= 0.001),
+    h2 AS (SELECT label, p, f, CASE WHEN lead(f) OVER w <= e THEN lead(f) OVER w - 1 ELSE e END AS e,
+      row_number() OVER w AS i, count(*) OVER (PARTITION BY label) AS n FROM h WINDOW w AS (PARTITION BY label ORDER BY p)),
+    h3 AS (SELECT label, p, CASE WHEN i = 1 AND f < 4 THEN 0 ELSE f END AS f, CASE WHEN i = n AND 31 - e < 4 THEN 31 ELSE e END AS e, i, n FROM h2),
+    ends AS (SELECT label, 0 AS f, f - 1 AS e FROM h3 WHERE i = 1 AND f > 0 UNION ALL SELECT label, e + 1, 31 FROM h3 WHERE i = n AND e < 31
+      UNION ALL SELECT label, 0, 31 FROM (SELECT DISTINCT label FROM m) WHERE label NOT IN (SELECT label FROM h3)),
+    x AS (SELECT ends.label, arg_max(k, v) AS p, f, e FROM ends JOIN m ON m.label = ends.label AND m.k BETWEEN f AND e GROUP BY ends.label, f, e)
+    SELECT label, p::INTEGER AS peak, f::INTEGER AS "first", e::INTEGER AS "last" FROM h3 UNION ALL SELECT label, p::INTEGER, f::INTEGER, e::INTEGER FROM x""",
+)
 def spectrum_hills(spark: SparkSession, sf: str) -> DataFrame:
     """Hills of the mean spectrum of each label (32 points per label)."""
     mean = signals.spectrum(vectors(spark, sf), ["label"], "embedding").groupBy("label", "k").agg(F.avg("amp").alias("m"))
