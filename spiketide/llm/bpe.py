@@ -11,6 +11,7 @@ import base64
 import struct
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from typing import NamedTuple
 
 import numpy as np
 import xxhash
@@ -112,13 +113,12 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Codec:
-    """Encoder and decoder of one vocabulary, made once in a Python worker."""
+class Encoder:
+    """Encoder of one vocabulary, made once in a Python worker."""
 
     def __init__(self, tokens: list[bytes], ids: list[int], hashed: MinimalPerfectHash, pattern: str):
         self.ids, self.hashed = ids, hashed
         self.ranks = dict(zip(tokens, ids))
-        self.tokens = dict(zip(ids, tokens))
         self.known = PieceTable(pattern, self.packed, b"".join)
 
     def packed(self, word: str) -> bytes:
@@ -133,18 +133,32 @@ class Codec:
         known = self.known
         return b"".join([known.of(first), *[known[p] for p in rest]])
 
+
+class Decoder:
+    def __init__(self, tokens: list[bytes], ids: list[int]):
+        self.tokens = dict(zip(ids, tokens))
+
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def share(df: DataFrame, ranks: dict[bytes, int], pattern: str) -> Shared:
+class Codec(NamedTuple):
+    """Both directions of one vocabulary, broadcast apart: a decoding worker holds no more than the tokens."""
+
+    encoder: Shared
+    decoder: Shared
+
+
+def share(df: DataFrame, ranks: dict[bytes, int], pattern: str) -> Codec:
     """Vocabulary, its hash and the pattern of pre-tokens for the executors."""
-    tokens = list(ranks)
-    return Shared(df.sparkSession, (tokens, [ranks[t] for t in tokens], MinimalPerfectHash(tokens), pattern), Codec)
+    spark, tokens = df.sparkSession, list(ranks)
+    ids = [ranks[t] for t in tokens]
+    encoder = Shared(spark, (tokens, ids, MinimalPerfectHash(tokens), pattern), Encoder)
+    return Codec(encoder, Shared(spark, (tokens, ids), Decoder))
 
 
-def encode(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of each text as packed little-endian unsigned 32-bit integers.
 
     Rows: ``id_col``, ``ids`` (binary), one for each row of ``docs``, repeated
@@ -154,10 +168,10 @@ def encode(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: st
     """
 
     def start():
-        codec = shared.get()
+        encoder = codec.encoder.get()
 
         def row(key, text: str | None) -> Iterator[tuple]:
-            yield key, codec.encode(text or "")
+            yield key, encoder.encode(text or "")
 
         return row
 
@@ -165,14 +179,14 @@ def encode(docs: DataFrame, shared: Shared, id_col: str = "doc_id", text_col: st
     return map_rows(docs.select(id_col, text_col), f"`{id_col}` {kind}, ids binary", start)
 
 
-def decode(encoded: DataFrame, shared: Shared, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, codec: Codec, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Bytes of packed ids; keeps the ids.  A null counts as no ids; an unknown id is an error."""
 
     def start():
-        codec = shared.get()
+        decoder = codec.decoder.get()
 
         def row(key, ids: bytes | None) -> Iterator[tuple]:
-            yield key, ids, codec.decode(ids or b"")
+            yield key, ids, decoder.decode(ids or b"")
 
         return row
 
@@ -183,8 +197,8 @@ def decode(encoded: DataFrame, shared: Shared, id_col: str = "doc_id", ids_col:
 
 def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id") -> DataFrame:
     """Token count and digests of the ids and of what they decode to."""
-    shared = share(docs, ranks, pattern)
-    both = decode(encode(docs, shared, id_col), shared, id_col)
+    codec = share(docs, ranks, pattern)
+    both = decode(encode(docs, codec, id_col), codec, id_col)
     return both.select(
         id_col,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -60,16 +60,19 @@ def map_rows(
 
 
 class Shared:
-    """A broadcast value of proven size and what a Python worker makes of it, once for all its tasks."""
+    """A broadcast value of proven size and what a Python worker makes of it, once for all its tasks.
 
-    _made: dict[str, object] = {}
+    A worker keeps one made value of each kind: what an earlier job left is dropped.
+    """
+
+    _made: dict[str, tuple[str, object]] = {}
 
     def __init__(self, spark: SparkSession, value: tuple, build: Callable[..., object]):
         self.key, self.box, self.build = uuid.uuid4().hex, spark.sparkContext.broadcast(value), build
 
     def get(self) -> object:
-        if self.key not in Shared._made:
-            while len(Shared._made) > 2:
-                Shared._made.pop(next(iter(Shared._made)))
-            Shared._made[self.key] = self.build(*self.box.value)
-        return Shared._made[self.key]
+        kind = self.build.__qualname__
+        if Shared._made.get(kind, ("",))[0] != self.key:
+            Shared._made.pop(kind, None)
+            Shared._made[kind] = self.key, self.build(*self.box.value)
+        return Shared._made[kind][1]

@@ -52,7 +52,7 @@ class PieceTable(Recent):
         pattern: str,
         value: Callable[[str], object],
         join: Callable[[list], object],
-        bound: int = 250_000,
+        bound: int = 120_000,
     ):
         super().__init__(lambda piece: self.of(" " + piece), bound)
         self.find = regex.compile(pattern).finditer

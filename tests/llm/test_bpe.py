@@ -77,7 +77,7 @@ def test_empty_tables(spark, ranks):
 
 def test_memo_forgets_and_stays_right(ranks, library):
     tokens = list(ranks)
-    codec = bpe.Codec(tokens, [ranks[t] for t in tokens], bpe.MinimalPerfectHash(tokens), public_tokenizers.PATTERN)
+    codec = bpe.Encoder(tokens, [ranks[t] for t in tokens], bpe.MinimalPerfectHash(tokens), public_tokenizers.PATTERN)
     codec.known.bound = codec.known.words.bound = 3
     for text in ["the the and of the and a b c d e f g the", *odd_texts(30)]:
         ids = library.encode_ordinary(text)
