@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spiketide.llm.frames import Shared, map_rows
-from spiketide.llm.pretokens import PieceTable, pieces
+from spiketide.llm.pretokens import PieceTable
 
 MASK = (1 << 64) - 1
 MAX_VOCABULARY = 1 << 20  # a broadcast stays below some 50 MB
@@ -129,18 +129,34 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
-        first, rest = pieces(text)
-        known = self.known
-        return b"".join([known.of(first), *[known[p] for p in rest]])
+        return self.known.of_text(text)
 
 
 class Decoder:
+    """Bytes of ids: lengths and places of the tokens, gathered from one blob."""
+
+    STEP = 1 << 18
+
     def __init__(self, tokens: list[bytes], ids: list[int]):
-        self.tokens = dict(zip(ids, tokens))
+        size = [0] * (max(ids, default=-1) + 1)
+        token = [b""] * len(size)
+        for t, i in zip(tokens, ids):
+            size[i], token[i] = len(t), t
+        self.size = np.array(size, "<i8")
+        self.start = np.cumsum(self.size) - self.size
+        self.blob = np.frombuffer(b"".join(token), "u1")
 
     def decode(self, ids: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        every = np.frombuffer(ids, "<u4")
+        return b"".join(self._part(every[k : k + self.STEP]) for k in range(0, len(every), self.STEP))
+
+    def _part(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        if not size.all():
+            raise ValueError("an id without a token")
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[ids] - (ends - size), size) + np.arange(ends[-1])
+        return self.blob[at].tobytes()
 
 
 class Codec(NamedTuple):

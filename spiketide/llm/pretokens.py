@@ -13,15 +13,17 @@ from collections.abc import Callable
 
 import regex
 
-# A space beside other white space: then only a cut between two visible characters is safe.
-_IRREGULAR = re.compile(r"\s | \s")
+# Where other white space stands beside a space, only a cut between two visible characters is safe.
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_RARE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_MARKS = frozenset(".,;:!?")
 KEPT_CHARS = 64
 
 
 def pieces(text: str) -> tuple[str, list[str]]:
     """First piece, and the others, each of which follows one space."""
-    first, *rest = _SAFE.split(text) if _IRREGULAR.search(text) else text.split(" ")
+    plain = not ("  " in text or " \n" in text or "\n " in text or any(c in text for c in _RARE))
+    first, *rest = text.split(" ") if plain else _SAFE.split(text)
     return first, rest
 
 
@@ -52,12 +54,26 @@ class PieceTable(Recent):
         pattern: str,
         value: Callable[[str], object],
         join: Callable[[list], object],
-        bound: int = 120_000,
+        bound: int = 100_000,
+        words_bound: int = 400_000,
     ):
-        super().__init__(lambda piece: self.of(" " + piece), bound)
+        super().__init__(self.parted, bound)
         self.find = regex.compile(pattern).finditer
-        self.words, self.join = Recent(value, bound), join
+        self.words, self.join = Recent(value, words_bound), join
+        self.first = Recent(self.of, bound // 10)
 
     def of(self, text: str) -> object:
         words = self.words
         return self.join([words[m.group()] for m in self.find(text)])
+
+    def parted(self, piece: str) -> object:
+        """Letters alone are one pre-token; letters and one mark are two; the pattern cuts all else."""
+        if piece.isalpha():
+            return self.words[" " + piece]
+        if piece[-1:] in _MARKS and piece[:-1].isalpha():
+            return self.join([self.words[" " + piece[:-1]], self.words[piece[-1]]])
+        return self.of(" " + piece)
+
+    def of_text(self, text: str) -> object:
+        first, rest = pieces(text)
+        return self.join([self.first[first], *map(self.__getitem__, rest)])

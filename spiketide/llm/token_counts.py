@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spiketide.llm.bpe import MAX_VOCABULARY
 from spiketide.llm.frames import Shared, map_rows
-from spiketide.llm.pretokens import PieceTable, pieces
+from spiketide.llm.pretokens import PieceTable
 
 Merges = dict[tuple[int, int], tuple[int, int]]
 
@@ -78,17 +78,12 @@ class Counter:
         raw = word.encode()
         return len(raw) - (merges_of(raw, self.table) if len(raw) > 1 else 0)
 
-    def plain(self, text: str) -> int:
-        first, rest = pieces(text)
-        known = self.known
-        return known.of(first) + sum([known[p] for p in rest])
-
     def count(self, text: str) -> int:
         """Tokens of a text; a special string inside it is one token and ends the text around it."""
         if not self.special or not self.special.search(text):
-            return self.plain(text)
+            return self.known.of_text(text)
         parts = self.special.split(text)
-        return len(parts) - 1 + sum(self.plain(p) for p in parts if p)
+        return len(parts) - 1 + sum(self.known.of_text(p) for p in parts if p)
 
 
 def token_counts(
