@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spiketide.llm import bpe, decontam, jaccard, ranking, token_counts
+from spiketide.llm import bpe, decontam, jaccard, ranking, secrets, token_counts
 from spiketide.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,56 @@ def _add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return fn
 
 
+@_add
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(load(spark, sf_dir, "documents")))
+
+
+def _located_sql(kind: int, pattern: str) -> str:
+    """Matches of a pattern with their places: text before the match is the pieces and matches before it."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {kind} AS kind, m[k] AS m,
+         CAST(coalesce(list_sum(list_transform(p[1 : k], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(m[1 : k - 1], lambda x: len(x))), 0) AS BIGINT) AS s
+  FROM (SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS k
+        FROM (SELECT doc_id, regexp_extract_all(t, '{quoted}') AS m, string_split_regex(t, '{quoted}') AS p FROM d))"""
+
+
+def _secrets_sql() -> str:
+    value = secrets.ASSIGN.replace("'", "''")
+    limit = f"{secrets.most(secrets.CLASSES[-1][1])}"
+    for pattern, bits in reversed(secrets.CLASSES[:-1]):
+        limit = f"CASE WHEN regexp_full_match(m, '{pattern}') THEN {secrets.most(bits)} ELSE {limit} END"
+    return f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+base AS MATERIALIZED (
+  SELECT doc_id, kind, s, s + len(m) AS e FROM ({_located_sql(0, secrets.ASSIGN)}) WHERE len(regexp_extract(m, '{value}', 2)) >= {secrets.ASSIGN_VALUE}
+  UNION ALL SELECT doc_id, kind, s, s + len(m) FROM ({_located_sql(1, secrets.ACCESS)})
+  UNION ALL SELECT doc_id, kind, s, s + len(m) FROM ({_located_sql(2, secrets.HEX)})),
+suspects AS (
+  SELECT doc_id, s, m, {limit} AS most FROM ({_located_sql(3, secrets.CANDIDATE)})
+  WHERE NOT regexp_full_match(m, '{"|".join(secrets.ALLOWED)}')),
+frames AS (SELECT doc_id, s, m, most, unnest(range(0, len(m) - {secrets.WINDOW} + 1)) AS o FROM suspects),
+letters AS (SELECT doc_id, s, m, most, o, substr(m, o + 1 + unnest(range(0, {secrets.WINDOW})), 1) AS c FROM frames),
+counted AS (SELECT doc_id, s, m, most, o, c, count(*) AS n FROM letters GROUP BY ALL),
+rated AS (SELECT doc_id, s, m, most, o, sum({secrets.terms()}[n + 1]) AS total FROM counted GROUP BY ALL),
+hot AS (SELECT doc_id, 3 AS kind, s + min(o) AS s, s + max(o) + {secrets.WINDOW} AS e FROM rated WHERE total <= most GROUP BY doc_id, rated.s, m),
+added AS (SELECT * FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.s < h.e AND h.s < b.e)),
+named AS (SELECT doc_id, kind, s, e, {list(secrets.KINDS)}[kind + 1] || ':' || s || ':' || e AS span
+          FROM (SELECT * FROM base UNION ALL SELECT * FROM added)),
+made AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h,
+         sha256(coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS b, string_agg(span, ',' ORDER BY s, kind) AS spans
+  FROM named GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       coalesce(b, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN made USING (doc_id)
+"""
+
+
+SQL["op3_secret_scan"] = _secrets_sql()
+
+
 @_add
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

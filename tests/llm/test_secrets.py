@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from spiketide.llm import secrets
+from tests.llm import oracle
+from tests.oracle import connect
+
+SF = "/root/testdata/sf0.001"
+RANDOM = "q7Rk2Zp9Xv4Lm8Tn1Wb6Yc3Df5Gh0"
+
+
+def brute(text: str | None) -> tuple[list, list]:
+    text = text or ""
+    assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    base = [(m.start(), 0, m.end()) for m in re.finditer(assign, text, re.I | re.A) if len(m.group(2)) >= 8]
+    base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
+    base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 32]
+    added = []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        word = m.group()
+        if re.fullmatch("|".join(secrets.ALLOWED), word):
+            continue
+        bits = next(b for p, b in secrets.CLASSES if re.fullmatch(p, word))
+        hot = []
+        for i in range(len(word) - secrets.WINDOW + 1):
+            counts = Counter(word[i : i + secrets.WINDOW]).values()
+            entropy = -sum(c / secrets.WINDOW * math.log2(c / secrets.WINDOW) for c in counts)
+            if entropy >= bits - 1e-9:
+                hot.append(i)
+        if hot:
+            s, e = m.start() + hot[0], m.start() + hot[-1] + secrets.WINDOW
+            if not any(a < e and s < b for a, _, b in base):
+                added.append((s, 3, e))
+    return sorted(base), sorted(base + added)
+
+
+TEXTS = [
+    None,
+    "",
+    "password=secret:abcdefghij token: short PASSWD = 'longenough1' apikey=\"a.b-c=d/e+f\"",
+    "éé😀 api_key='12345678' x AKIAABCDEFGHIJKL AKIASHORT AKIAAKIAABCDEFGH",
+    "deadbeef" * 4 + " " + "0123456789abcdef" * 2 + "g " + "ABCDEF0123456789ABCDEF9876",
+    f"key {RANDOM} and {RANDOM}{RANDOM} then {RANDOM.lower()}",
+    f"token={RANDOM} overlaps; aaaaaaaaaaaaaaaaaaaaaaaa1 {'z' * 25}{RANDOM}",
+    "thisisalongwordwithoutdigits/and/a/path 550e8400-e29b-41d4-a716-446655440000 sha256-" + RANDOM,
+    "token=token=abcdefghij secret==abcdefg ſecret=abcdefghij toKen=abcdefghij",
+    "filler " * 20_000 + "password=atthefarend",
+    " ".join(f"token=abcdefgh{i}" for i in range(300)),
+]
+
+
+def test_spans_as_brute_force(spark):
+    rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(None, TEXTS[3], 1), (2, TEXTS[2], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base int")
+    got = secrets.scan(docs).collect()
+    assert len(got) == len(rows)
+    for (key, text, _), r in zip(rows, got):
+        assert (r.doc_id, [tuple(s) for s in r.base], [tuple(s) for s in r.spans]) == (key, *brute(text)), text and text[:60]
+    assert secrets.report(secrets.scan(docs.limit(0))).collect() == []
+
+
+def test_masked(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS) if t is not None], "doc_id long, text string")
+    both = docs.join(secrets.scan(docs), "doc_id").select("text", "spans", secrets.masked(F.col("text"), F.col("spans")).alias("out"))
+    for r in both.collect():
+        marked = list(r.text)
+        for s in r.spans:
+            for k in range(s.start, s.end):
+                marked[k] = "\x00"
+        merged, at = [], -1
+        for s in r.spans:
+            if s.start >= at:
+                merged.append([s.start, s.end])
+            else:
+                merged[-1][1] = max(merged[-1][1], s.end)
+            at = max(at, s.end)
+        want, last = "", 0
+        for a, b in merged:
+            want += r.text[last:a] + "[SECRET]"
+            last = b
+        assert r.out == want + r.text[last:]
+
+
+def test_query(spark):
+    assert oracle.compare(spark, connect(SF), "op3_secret_scan", SF) == []
