@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spiketide.llm import bpe, decontam, jaccard, ranking, secrets, token_counts
+from spiketide.llm import bpe, decontam, jaccard, quality_rules, ranking, secrets, token_counts
 from spiketide.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,77 @@ def _add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return fn
 
 
+@_add
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(load(spark, sf_dir, "documents")).drop("d2")
+
+
+def _quality_sql() -> str:
+    r = quality_rules
+    same = "t.lang IS NOT DISTINCT FROM c.lang AND t.source IS NOT DISTINCT FROM c.source"
+    vectors = ", ".join(f"{e} AS v{i}" for i, e in enumerate(r.vector_sql()))
+    moments = ", ".join(f"{e} AS {c}" for c, e in r.moments_sql())
+    added = ", ".join(f"sum({c}) AS {c}" for c, _ in r.moments_sql())
+    doubles = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c, _ in r.moments_sql())
+    spread = ", ".join(f"CAST({2 * r.FLOORS[i] if i == j else 0} AS DOUBLE) AS l{i}{j}" for i, j in r.PAIRS)
+    centre = ", ".join(f"CAST(max(v) FILTER (k = {i}) AS DOUBLE) AS m{i}" for i in range(r.N))
+
+    def factored(sums: str, factor: float) -> str:
+        named = ", ".join(f"{e} AS {c}" for c, e in r.centre_sql(factor) + r.cholesky_sql())
+        keep = ", ".join([f"m{i}" for i in range(r.N)] + [c for c, _ in r.cholesky_sql()])
+        return f"SELECT lang, source, {keep} FROM (SELECT lang, source, {named} FROM (SELECT lang, source, {doubles} FROM {sums}))"
+
+    def measured(step: int) -> str:
+        return f"SELECT t.*, {r.distance_sql()} AS d2 FROM vec t JOIN cen{step} c ON {same}"
+
+    parts = []
+    for k in range(r.STEPS):
+        parts += [
+            f"bin{k} AS (SELECT lang, source, CAST(least({r.LAST_BIN}, floor(sqrt(d2) * {r.BINS_PER_UNIT})) AS INT) AS bin, {moments} FROM ({measured(k)}) GROUP BY ALL)",
+            f"half{k} AS (SELECT lang, source, {added} FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source ORDER BY bin ROWS UNBOUNDED PRECEDING) - n AS low,"
+            f" sum(n) OVER (PARTITION BY lang, source) AS every FROM bin{k}) WHERE low < floor((every + {r.N + 1}) / 2) GROUP BY lang, source)",
+            f"cen{k + 1} AS MATERIALIZED ({factored(f'half{k}', r.HALF_FACTOR)})",
+        ]
+    steps = ",\n".join(parts)
+    return rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+runs AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 4], ' ')) AS c
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+repeats AS (SELECT doc_id, count(*) AS n_repeat_words FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS p FROM runs WHERE c > 1) GROUP BY doc_id),
+stats AS MATERIALIZED (
+  SELECT d.doc_id, lang, source, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+         len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+judged AS (SELECT *, n_words < {r.MIN_WORDS} OR 100 * n_repeat_words > {r.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM stats),
+vec AS MATERIALIZED (SELECT doc_id, lang, source, {vectors} FROM judged WHERE NOT base_failed),
+each AS (SELECT lang, source, unnest(range(0, {r.N})) AS k, unnest([{", ".join(f"v{i}" for i in range(r.N))}]) AS v FROM vec),
+counts AS (SELECT lang, source, k, v, count(*) AS n FROM each GROUP BY ALL),
+middle AS (
+  SELECT lang, source, k, min(v) AS v
+  FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, k ORDER BY v ROWS UNBOUNDED PRECEDING) AS low, sum(n) OVER (PARTITION BY lang, source, k) AS every FROM counts)
+  WHERE 2 * low >= every GROUP BY lang, source, k),
+cen0 AS MATERIALIZED (SELECT lang, source, {centre}, {spread} FROM middle GROUP BY lang, source),
+{steps},
+inside AS (SELECT lang, source, {moments} FROM ({measured(r.STEPS)}) WHERE d2 <= {r.INNER} GROUP BY lang, source),
+last AS MATERIALIZED ({factored("inside", r.INNER_FACTOR)}),
+cen{r.STEPS + 1} AS MATERIALIZED (
+  SELECT * FROM last UNION ALL
+  SELECT * FROM cen{r.STEPS} t WHERE NOT EXISTS (SELECT 1 FROM last c WHERE {same})),
+rated AS ({measured(r.STEPS + 1)})
+SELECT j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(d2 <= {r.CUT}, false) AS kept
+FROM judged j LEFT JOIN rated USING (doc_id)
+"""
+
+
+SQL["op2_quality_rules"] = _quality_sql()
+
+
 @_add
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(load(spark, sf_dir, "documents")))
