@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spiketide.llm import bpe, decontam, jaccard, quality_rules, ranking, secrets, token_counts
+from spiketide.llm import bpe, decontam, jaccard, quality_rules, ranking, secrets, token_counts, toxicity
 from spiketide.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +140,15 @@ FROM d LEFT JOIN made USING (doc_id)
 SQL["op3_secret_scan"] = _secrets_sql()
 
 
+@_add
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    held_out = F.coalesce(ranking.crc("doc_id") % 3 == 1, F.lit(False))
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, ~held_out))
+    sentences = F.size("offending").cast("long").alias("n_offending")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", sentences)
+
+
 @_add
 def op5_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spiketide.llm.frames import map_rows
+from spiketide.session import stage
 
 SAMPLE_ROWS = 20_000  # labelled rows that the fit sees at most, on average; picked by a hash of the id
 PAIRS_PER_ROW = 4
@@ -134,8 +135,10 @@ def fit(
     n = rows.count()
     if n > sample_rows:
         rows = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int((1 << 20) * sample_rows / n))
-    joined = docs.select(id_col, text_col).join(rows, id_col)
-    got = featurise(joined.select("_y", F.col(text_col).alias("text")), "_y").orderBy("_y", "features").collect()
+    picked = stage(rows)  # bounded, so its size lets Spark broadcast it
+    joined = docs.select(id_col, text_col).join(picked, id_col)
+    got = featurise(joined.select("_y", F.col(text_col).alias("text")), "_y").collect()
+    got.sort(key=lambda r: (r["_y"], r.features))
     x = np.array([r.features for r in got], dtype=float).reshape(-1, len(FEATURES))
     return rank(x, np.array([r["_y"] for r in got], dtype=int))
 
