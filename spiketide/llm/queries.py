@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spiketide.llm import bpe, decontam, jaccard, quality_rules, ranking, secrets, token_counts, toxicity
+from spiketide.llm import bpe, decontam, html_main, jaccard, quality_rules, ranking, secrets, token_counts, toxicity
 from spiketide.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,6 +165,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+@_add
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_main.extract(load(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @_add
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
