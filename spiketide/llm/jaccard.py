@@ -11,8 +11,10 @@ What is left is counted exactly on whole rows.
 Nothing is squared where a group is large.  Rows with the same set are one row
 of the product.  In a first product each column links its rows only to a centre,
 so a group of near copies costs one candidate a member.  Afterwards only columns
-whose rows still lie in different components are multiplied out, which finds
-the links that have no centre.  The components are those of all links.
+whose rows still lie in different components are multiplied out, each distinct
+set of rows once, and a row names only its nearest few in each other component.
+That is repeated with more and then with all of them until no column has a pair left that
+was not named, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -31,11 +33,13 @@ from spiketide.operators.graphs import components
 from spiketide.session import stage
 
 GRAM = 5
-SLOTS = 1 << 20  # slots of the frequency sketch: it is one megabyte for any input
+SLOTS = 1 << 23  # slots of the frequency sketch: a table of eight megabytes for any input
 # a column may be salted once it is known to fill some 2**SALT_LEVEL rows
 SALT_LEVEL = 10
 ID_BITS = 1 << 25  # bitmap of wanted ids: four megabytes for any input
 MEMBERS_PER_TASK = 256
+#: candidates that a row names in each other component, round after round; the last round names all
+NEAREST = (4, 64, None)
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _hash = xxhash.xxh3_64_intdigest
@@ -114,7 +118,7 @@ def levels(docs: DataFrame, text_col: str) -> np.ndarray:
         if held:
             counts += np.bincount(np.concatenate(held), minlength=SLOTS)
         mean = counts.mean()
-        slots = np.flatnonzero(counts > mean + 6 * mean**0.5 + 20)
+        slots = np.flatnonzero(counts > mean + 4 * mean**0.5 + 4)
         yield pa.RecordBatch.from_arrays([pa.array(slots, "int32"), pa.array(counts[slots], "int64")], schema=arrow)
 
     heavy = docs.select(text_col).mapInArrow(run, schema).groupBy("slot").agg(F.sum("n").alias("n"))
@@ -218,34 +222,53 @@ def first_product(entries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def second_product(members: DataFrame) -> DataFrame:
-    """All pairs of like size in a column whose rows lie in different components: (a, na, b, nb).
+def second_product(members: DataFrame, nearest: int | None) -> DataFrame:
+    """Pairs of a column that lie in different components and that no bound rules out: (a, b, more).
 
-    ``members`` (key, comp, doc, n); the columns come sorted and are multiplied out
-    against themselves a slice of rows at a time.
+    ``members`` (key, n, doc, comp, bits).  Each row is multiplied with the larger rows
+    of its column, and names the ``nearest`` of each other component by the distance
+    of the bitmaps.  ``more`` marks rows that had others as well.
     """
-    schema = as_schema("a long, na int, b long, nb int")
+    schema = as_schema("a long, b long, more boolean")
     arrow = to_arrow_schema(schema)
 
+    def column(n, doc, comp, bits) -> Iterator[tuple]:
+        """Rows come by size, so bitmaps get no shorter, and like sizes differ by one fold at most."""
+        width = np.array([len(b) for b in bits])
+        whole = {int(w): (np.flatnonzero(width == w)[0], np.stack([np.frombuffer(b, "u1") for b in bits[width == w]])) for w in np.unique(width)}
+        folded = {w // 2: (at, m[:, : w // 2] ^ m[:, w // 2 :]) for w, (at, m) in whole.items()}
+        for k in range(len(n) - 1):
+            stop = k + 1 + int(np.searchsorted(4 * n[k + 1 :], 5 * n[k], "right"))
+            w = int(width[k])
+            mine = whole[w][1][k - whole[w][0]]
+            found, far = [], []
+            for at, rows in (whole[w], folded.get(w, (0, None))):
+                if rows is None:
+                    continue
+                low, high = max(k + 1, at), min(stop, at + len(rows))
+                other = np.flatnonzero(comp[low:high] != comp[k]) + low if low < high else np.empty(0, "i8")
+                if len(other):
+                    d = np.bitwise_count(rows[other - at] ^ mine).sum(axis=1, dtype="i8")
+                    near = 9 * d <= n[k] + n[other]
+                    found.append(other[near])
+                    far.append(d[near])
+            if not found or not len(other := np.concatenate(found)):
+                continue
+            order = np.lexsort((np.concatenate(far), comp[other]))
+            other = other[order]
+            change = np.flatnonzero(np.concatenate([[True], np.diff(comp[other]) != 0]))
+            place = np.arange(len(other)) - np.repeat(change, np.diff(np.concatenate([change, [len(other)]])))
+            kept = other if nearest is None else other[place < nearest]
+            yield np.full(len(kept), doc[k]), doc[kept], np.full(len(kept), len(kept) < len(other))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n, doc, comp in _runs(batches, 1):
+        for key, n, doc, comp, bits in _runs(batches, 1):
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             for i, end in zip(begin, np.concatenate([begin[1:], [len(key)]])):
-                seen: list[np.ndarray] = []
-                held = 0
-                for k in range(i, end):
-                    stop = k + 1 + int(np.searchsorted(4 * n[k + 1 : end], 5 * n[k], "right"))
-                    other = np.flatnonzero(comp[k + 1 : stop] != comp[k]) + k + 1
-                    if len(other):
-                        seen.append(np.stack([np.full(len(other), k), other]))
-                        held += len(other)
-                    if held > 100_000 or held and k == end - 1:
-                        x, y = np.concatenate(seen, axis=1)
-                        seen, held = [], 0
-                        columns = doc[x], n[x], doc[y], n[y]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
-
-    dealt = members.select("key", "n", "doc", "comp").repartition("key").sortWithinPartitions("key", "n", "doc")
+                for columns in column(n[i:end].astype("i8"), doc[i:end], comp[i:end], bits[i:end]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    dealt = members.select("key", "n", "doc", "comp", "bits").repartition("key").sortWithinPartitions("key", "n", "doc")
     return dealt.mapInArrow(run, schema)
 
 
@@ -284,10 +307,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 def not_far(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs that the parity bitmaps do not rule out: at most (na + nb) / 9 grams may lie in one set only."""
-    sets = only(sets.select("doc", "bits"), pairs.select(F.explode(F.array("a", "b")).alias("doc")))
-    left = sets.select(F.col("doc").alias("a"), F.col("bits").alias("bits_a"))
-    right = sets.select(F.col("doc").alias("b"), F.col("bits").alias("bits_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    sets = only(sets.select("doc", "n", "bits"), pairs.select(F.explode(F.array("a", "b")).alias("doc")))
+    left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    right = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    both = pairs.join(left, ["a", "na"]).join(right, ["b", "nb"])
 
     def start():
         def row(a, b, na, nb, x, y) -> Iterator[tuple]:
@@ -351,33 +374,43 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     named = sets.filter("n > 0 and doc is not null")
     classes = named.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))
     member = stage(named.select("doc", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).select("doc", "rep").distinct())
-    reps = stage(sets.join(classes.withColumnRenamed("rep", "doc"), ["doc", "n", "s1", "s2"], "left_semi").select("doc", "n", "bits", "columns"))
+    reps = stage(classes.select(F.col("rep").alias("doc"), "n", "s1", "s2"))
+    bits = sets.select("doc", "n", "s1", "s2", "bits")
 
     key = F.col("key")
     salts = F.expr(f"cast(shiftleft(1, greatest(0, cast(shiftrightunsigned(key, 58) as int) - {SALT_LEVEL})) as int)")
     salt = F.when(_level(key) > SALT_LEVEL, F.pmod(F.xxhash64("doc"), salts)).otherwise(-1).cast("int")
-    entries = reps.select(F.explode("columns").alias("key"), "doc", "n").withColumn("salt", salt)
-    product = stage(first_product(entries))
+    one_of_each = sets.select("doc", "n", "s1", "s2", "columns").join(reps, ["doc", "n", "s1", "s2"], "left_semi")
+    product = stage(first_product(one_of_each.select(F.explode("columns").alias("key"), "doc", "n").withColumn("salt", salt)))
     tops = product.filter("kind = 2").select("key", F.lit(-1).alias("salt"), F.col("a").alias("doc"), F.col("na").alias("n"))
     upper = stage(first_product(tops))
 
-    candidates = product.filter("kind = 0").union(upper.filter("kind = 0"))
-    tried = stage(_ordered(candidates.select("a", "na", "b", "nb")))
-    links = stage(verified(stage(not_far(tried, reps)), docs, id_col, text_col))
+    tried = stage(_ordered(product.filter("kind = 0").union(upper.filter("kind = 0")).select("a", "na", "b", "nb")))
+    links = stage(verified(stage(not_far(tried, bits)), docs, id_col, text_col))
     doubled = member.groupBy("doc").agg(F.collect_set("rep").alias("reps")).filter("size(reps) > 1")
-    same = doubled.select(F.col("reps")[0].alias("a"), F.explode("reps").alias("b")).filter("a <> b")
+    same = stage(doubled.select(F.col("reps")[0].alias("a"), F.explode("reps").alias("b")).filter("a <> b"))
     both_ways = F.inline(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
     nodes = reps.select(F.col("doc").alias("a")).distinct()
-    first = stage(components(nodes, links.union(same).select(both_ways)))
-
-    wide = product.filter("kind = 1").union(upper.filter("kind = 1")).union(product.filter("kind = 2"))
-    rows = wide.select("key", F.col("a").alias("doc"), F.col("na").alias("n")).distinct()
-    placed = stage(rows.join(first.withColumnRenamed("a", "doc"), "doc"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    rest = _ordered(second_product(placed.join(mixed, "key"))).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = stage(verified(stage(not_far(stage(rest), reps)), docs, id_col, text_col))
-    links = links.union(more).distinct()
-    final = components(nodes, links.union(same).select(both_ways))
+
+    wide = product.filter("kind > 0").union(upper.filter("kind = 1"))
+    rows = stage(wide.select("key", F.col("a").alias("doc"), F.col("na").alias("n")).distinct())
+    final = stage(components(nodes, links.union(same).select(both_ways)))
+    for nearest in NEAREST:
+        placed = stage(rows.join(final.withColumnRenamed("a", "doc"), "doc"))
+        mark = [F.bit_xor(F.xxhash64(F.lit(k), "doc", "n")).alias(f"x{k}") for k in (1, 2)]
+        columns = placed.groupBy("key").agg(F.count("*").alias("k"), *mark, F.min("comp").alias("low"), F.max("comp").alias("high"))
+        mixed = stage(columns.filter("low < high").groupBy("k", "x1", "x2").agg(F.min("key").alias("key")).select("key"))
+        if mixed.isEmpty():
+            break
+        inside = stage(placed.join(mixed, "key", "left_semi"))
+        shown = only(bits, inside.select("doc")).join(reps, ["doc", "n", "s1", "s2"], "left_semi").select("doc", "n", "bits")
+        named_pairs = stage(second_product(inside.join(shown, ["doc", "n"]), nearest))
+        pairs = named_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+        more = stage(verified(pairs, docs, id_col, text_col))
+        links = stage(links.union(more).distinct())
+        final = stage(components(nodes, links.union(same).select(both_ways)))
+        if named_pairs.filter("more").isEmpty():
+            break
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named_rep = final.select(F.col("a").alias("rep"), "comp").join(degree, "rep", "left")
