@@ -211,8 +211,8 @@ def decode(encoded: DataFrame, codec: Codec, id_col: str = "doc_id", ids_col: st
     return map_rows(encoded.select(id_col, ids_col), ddl, start)
 
 
-def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """Token count and digests of the ids and of what they decode to."""
+def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """Token count and digests of the ids and of what they decode to; on demand the packed ids."""
     codec = share(docs, ranks, pattern)
     both = decode(encode(docs, codec, id_col), codec, id_col)
     return both.select(
@@ -220,4 +220,5 @@ def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if keep_ids else []),
     )

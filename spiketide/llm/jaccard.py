@@ -272,11 +272,12 @@ def second_product(members: DataFrame, nearest: int | None) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``rows`` (doc, ...) whose id is in ``ids`` (doc), and a few others: an id stands for its last 25 bits.
+def only(rows: DataFrame, ids: DataFrame, id_col: str = "doc", inside: bool = True) -> DataFrame:
+    """Rows whose id is in ``ids`` (doc), and a few others: an id stands for its last 25 bits.
 
-    The bitmap keeps the rows that no join will want out of its shuffle.
+    The bitmap keeps the rows that no join will want out of its shuffle; ``inside`` False gives those.
     """
+    where = rows.columns.index(id_col)
     place = F.pmod(F.col("doc"), F.lit(ID_BITS)) + 1
     parts = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     bitmap = np.zeros(ID_BITS // 8, "u1")
@@ -287,8 +288,8 @@ def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False) & (ID_BITS - 1)
-            yield batch.filter(pa.array((box.value[doc >> 3] >> (doc & 7).astype("u1")) & 1 == 1))
+            doc = batch.column(where).fill_null(0).to_numpy(zero_copy_only=False) & (ID_BITS - 1)
+            yield batch.filter(pa.array(((box.value[doc >> 3] >> (doc & 7).astype("u1")) & 1 == 1) == inside))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -422,3 +423,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("comp", "doc").cast(kind).alias("component_id"),
     )
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id (a long) is not in ``ids`` (doc); only rows that may be among them are shuffled."""
+    maybe = only(docs, ids, id_col).join(ids.select(F.col("doc").alias(id_col)), id_col, "left_anti")
+    return only(docs, ids, id_col, inside=False).unionByName(maybe)

@@ -110,8 +110,8 @@ def hot_part(candidate: Column) -> Column:
     return F.aggregate(pairs, zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Secrets of each text: ``id_col``, ``base`` and ``spans``, arrays of (start, kind, end) by start.
+def scan(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
+    """Secrets of each text: the kept columns, ``base`` and ``spans``, arrays of (start, kind, end) by start.
 
     Positions are code points and ``end`` is exclusive; ``kind`` numbers KINDS.
     ``base`` has the matches of the fixed patterns.  ``spans`` adds high-entropy
@@ -119,10 +119,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     no base span.  A null text counts as empty and has no spans; null ids and
     repeated rows stay; an empty table gives an empty one; other columns are not read.
     """
+    keep = keep or ("doc_id",)
     allowed = "^(" + "|".join(ALLOWED) + ")$"
     text = F.col("_text")
-    matched = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")).select(
-        id_col,
+    matched = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("_text")).select(
+        *keep,
         "_text",
         F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(0)).alias("_assign"),
         F.regexp_extract_all("_text", F.lit(ASSIGN), F.lit(2)).alias("_value"),
@@ -145,9 +146,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.filter(rated, lambda c: c["hot"]["first"] >= 0), lambda c: _span(3, c["start"] + c["hot"]["first"], c["start"] + c["hot"]["last"])
     )
     added = F.when(F.size("_candidate") > 0, hot).otherwise(F.array().cast(_NONE))
-    found = matched.select(id_col, base.alias("base"), added.alias("_added"))
+    found = matched.select(*keep, base.alias("base"), added.alias("_added"))
     apart = F.filter("_added", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.select(id_col, "base", F.array_sort(F.concat("base", apart)).alias("spans"))
+    return found.select(*keep, "base", F.array_sort(F.concat("base", apart)).alias("spans"))
 
 
 def named(spans: str) -> Column:
