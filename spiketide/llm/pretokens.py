@@ -55,7 +55,7 @@ class PieceTable(Recent):
         value: Callable[[str], object],
         join: Callable[[list], object],
         bound: int = 100_000,
-        words_bound: int = 400_000,
+        words_bound: int = 300_000,
     ):
         super().__init__(self.parted, bound)
         self.find = regex.compile(pattern).finditer

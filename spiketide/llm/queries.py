@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spiketide.llm import bpe, decontam, html_main, jaccard, quality_rules, ranking, secrets, token_counts, toxicity
+from spiketide.llm import bpe, chat, decontam, html_main, jaccard, quality_rules, ranking, secrets, token_counts, toxicity
 from spiketide.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,31 @@ def _add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return fn
 
 
+@_add
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.format_chats(load(spark, sf_dir, "conversations"))
+    return chats.withColumn("n_chars", F.length("rendered").cast("long"))
+
+
+SQL["op1_chat_format"] = """
+WITH p AS MATERIALIZED (
+  SELECT conv_id, turn, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k,
+         count(*) OVER (PARTITION BY conv_id) AS n,
+         list({'role': role, 'text': text}) OVER (
+           PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS UNBOUNDED PRECEDING) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL),
+ends AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE k = n GROUP BY turns),
+inner_ones AS (SELECT DISTINCT turns FROM p WHERE k < n),
+kept AS (SELECT * FROM ends e WHERE NOT EXISTS (SELECT 1 FROM inner_ones i WHERE i.turns = e.turns)),
+shown AS (
+  SELECT kept.conv_id, n_copies, count(*) AS n_turns,
+         string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || replace(coalesce(text, ''), '<|im_', '<|_im_') || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered
+  FROM kept JOIN p USING (conv_id) GROUP BY kept.conv_id, n_copies)
+SELECT conv_id, n_turns, n_copies, rendered, len(rendered) AS n_chars FROM shown
+"""
+
+
 @_add
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(load(spark, sf_dir, "documents")).drop("d2")
