@@ -12,9 +12,9 @@ Nothing is squared where a group is large.  Rows with the same set are one row
 of the product.  In a first product each column links its rows only to a centre,
 so a group of near copies costs one candidate a member.  Afterwards only columns
 whose rows still lie in different components are multiplied out, each distinct
-set of rows once, and a row names only its nearest few in each other component.
-That is repeated with more and then with all of them until no column has a pair left that
-was not named, so the components are those of all links.
+set of rows once, and a row names only the nearest row outside its component.
+Components merge, and that is repeated with more and at last with all of them until no column has a
+pair left that was not named, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -38,8 +38,8 @@ SLOTS = 1 << 23  # slots of the frequency sketch: a table of eight megabytes for
 SALT_LEVEL = 10
 ID_BITS = 1 << 25  # bitmap of wanted ids: four megabytes for any input
 MEMBERS_PER_TASK = 256
-#: candidates that a row names in each other component, round after round; the last round names all
-NEAREST = (4, 64, None)
+#: candidates in other components that a row of a column names, round after round; the last round names all
+NEAREST = (1, 4, 16, None)
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _hash = xxhash.xxh3_64_intdigest
@@ -226,7 +226,7 @@ def second_product(members: DataFrame, nearest: int | None) -> DataFrame:
     """Pairs of a column that lie in different components and that no bound rules out: (a, b, more).
 
     ``members`` (key, n, doc, comp, bits).  Each row is multiplied with the larger rows
-    of its column, and names the ``nearest`` of each other component by the distance
+    of its column, and names the ``nearest`` outside its component by the distance
     of the bitmaps.  ``more`` marks rows that had others as well.
     """
     schema = as_schema("a long, b long, more boolean")
@@ -254,11 +254,7 @@ def second_product(members: DataFrame, nearest: int | None) -> DataFrame:
                     far.append(d[near])
             if not found or not len(other := np.concatenate(found)):
                 continue
-            order = np.lexsort((np.concatenate(far), comp[other]))
-            other = other[order]
-            change = np.flatnonzero(np.concatenate([[True], np.diff(comp[other]) != 0]))
-            place = np.arange(len(other)) - np.repeat(change, np.diff(np.concatenate([change, [len(other)]])))
-            kept = other if nearest is None else other[place < nearest]
+            kept = other[np.argsort(np.concatenate(far), kind="stable")[:nearest]]
             yield np.full(len(kept), doc[k]), doc[kept], np.full(len(kept), len(kept) < len(other))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
