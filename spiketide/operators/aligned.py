@@ -55,6 +55,8 @@ def joint_presence(hits: DataFrame, first: str, second: str, trigger_keys: Seque
     def mask(c: str) -> Column:
         return F.bit_or(F.when(F.col(c), one).otherwise(F.lit(0)))
 
+    if bins > 64:
+        raise ValueError("a presence mask has 64 bins at most")
     masks = hits.groupBy(*trigger_keys).agg(mask(first).alias("m1"), mask(second).alias("m2"))
     kinds = masks.groupBy("m1", "m2").agg(F.count("*").alias("k"))
     spread = kinds.select("k", "m2", "m1", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("b1")).select(
@@ -76,9 +78,9 @@ def joint_presence(hits: DataFrame, first: str, second: str, trigger_keys: Seque
 
 
 def scatter(unit: str | Column, seed: int = 0) -> Column:
-    """Order units pseudo-randomly: an odd multiplier modulo 2^32 keeps ids distinct."""
+    """Order units pseudo-randomly by an odd multiplier modulo 2^32; ids that agree modulo 2^32 tie."""
     u = F.col(unit) if isinstance(unit, str) else unit
-    return F.pmod(u * F.lit(2654435761) + F.lit(seed * 97531), F.lit(4294967296))
+    return F.pmod(F.pmod(u.cast("bigint"), F.lit(4294967296)).cast("decimal(20,0)") * F.lit(2654435761).cast("decimal(20,0)") + F.lit(seed * 97531).cast("decimal(20,0)"), F.lit(4294967296).cast("decimal(20,0)")).cast("bigint")
 
 
 def control_partner(units: DataFrame, unit: str, pop: str, slots: int = 4096) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spiketide.functions.columns import rank_hash
@@ -46,25 +47,38 @@ def threshold_clusters(matrix: DataFrame, level: float) -> DataFrame:
     return components(nodes, far.select(F.inline(pairs))).select(F.col("a").alias("sig"), F.col("comp").alias("cluster"))
 
 
-def random_edges(posts: DataFrame, n_pre: Column, degree: int, seed: int) -> DataFrame:
-    """``degree`` distinct sources in [0, n_pre) for every row of ``posts`` (post): (pre, post).
+def random_edges(posts: DataFrame, pres: DataFrame, degree: int, seed: int) -> DataFrame:
+    """``degree`` distinct sources, drawn by hash from the keys of ``pres`` (pre), for every row of ``posts`` (post): (pre, post).
 
-    Source j of a node is (start + j * stride) mod n_pre with a hashed start and
-    a hashed stride coprime to n_pre, so no draw repeats and none is rejected.
-    A node never links to itself.  The degree is cut to the sources there are.
+    A node draws with repetition, eight times as often as it needs, keeps the first
+    occurrences, and never links to itself.  Where the sources are so few that draws may run out it
+    takes all of them in a hashed order.  Sources are numbered inside ranges of
+    their keys, so no task sees all of them.
     """
-    h = posts.withColumn("seed", F.lit(seed)).withColumn("two", F.lit(seed + 1)).withColumn("_n", n_pre)
-    stride = 1 + F.pmod(rank_hash("post", "two"), F.greatest(F.col("_n") - 1, F.lit(1)))
-    d = h.withColumn("_start", F.pmod(rank_hash("post", "seed"), F.col("_n"))).withColumn("_stride", stride)
-    gcd = F.aggregate(
-        F.sequence(F.lit(1), F.lit(64)),
-        F.struct(F.col("_n").alias("x"), F.col("_stride").alias("y")),
-        lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.pmod(s["x"], F.greatest(s["y"], F.lit(1).cast("bigint"))).alias("y"))),
-        lambda s: s["x"],
-    )
-    d = d.withColumn("_stride", F.when(gcd == 1, F.col("_stride")).otherwise(F.lit(1).cast("bigint")))
-    # one draw more than wanted: it stands in for the node itself if that comes up
-    j = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(degree).cast("bigint"), F.col("_n") - 1))
-    drawn = F.transform(j, lambda k: F.pmod(F.col("_start") + k * F.col("_stride"), F.col("_n")))
-    others = F.slice(F.filter(drawn, lambda x: x != F.col("post")), 1, degree)
-    return d.select(F.explode(others).alias("pre"), "post")
+    pres = pres.select("pre").distinct()
+    numbered, n = dense_rank(pres, "pre")
+    few = n < 2 * degree
+    if few:
+        listed = sorted(r.pre for r in pres.collect())  # fewer than 2 x degree keys
+        if not listed:
+            return posts.select(F.col("post").alias("pre"), "post").limit(0)
+        keys = F.array(*(F.lit(p).cast(pres.schema["pre"].dataType) for p in listed))
+        ranked = F.array_sort(F.transform(keys, lambda p: F.struct(F.xxhash64(p, F.col("post"), F.lit(seed)).alias("h"), p.alias("p"))))
+        drawn = F.slice(F.filter(F.transform(ranked, lambda s: s["p"]), lambda p: p != F.col("post")), 1, degree)
+        return posts.select(F.explode(drawn).alias("pre"), "post")
+    draws = posts.select("post", F.explode(F.sequence(F.lit(0), F.lit(8 * degree - 1))).alias("_j")).withColumn("_seed", F.lit(seed))
+    index = F.pmod(rank_hash("post", "_j", "_seed"), F.lit(n).cast("bigint"))
+    first = draws.withColumn("_i", index).groupBy("post", "_i").agg(F.min("_j").alias("_j"))
+    found = first.join(numbered, "_i").filter("pre <> post")
+    kept = found.groupBy("post").agg(F.slice(F.array_sort(F.collect_list(F.struct("_j", "pre"))), 1, degree).alias("_d"))  # 8 x degree at most
+    return kept.select(F.explode("_d.pre").alias("pre"), "post")
+
+
+def dense_rank(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(_i, key): distinct keys numbered 0, 1, 2 ... in their order, and how many there are."""
+    spread = stage(keys.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each range
+    before = stage(sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"), "_n"))
+    total = before.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    place = F.row_number().over(W.partitionBy("_part").orderBy(key)) - 1
+    return spread.join(before, "_part").select((F.col("_before") + place).alias("_i"), key), int(total)

@@ -61,6 +61,33 @@ def lagged_joint_2d(df: DataFrame, track: Track, x: str, y: str, lags: int) -> D
     )
 
 
+def lagged_contrast_2d(df: DataFrame, track: Track, x: str, y: str, lags: int) -> DataFrame:
+    """Counts of (target now, source ``lag1`` before, target ``lag2`` before) for every pair of lags and both directions.
+
+    Direction 0: y is the target and x the source; direction 1 the reverse.
+    """
+    wide, w = halo(df.select(*track.keys, track.pos, x, y), track, ahead=lags)
+    at = {(c, k): (F.lead(c, k).over(w) if k else F.col(c)) for c in (x, y) for k in range(lags + 1)}
+    wide = wide.select("*", *[e.alias(f"_{c}{k}") for (c, k), e in at.items()]).filter("_own")
+    rows = []
+    for d, (target, source) in enumerate(((y, x), (x, y))):
+        for l1 in range(1, lags + 1):
+            for l2 in range(1, lags + 1):
+                m = max(l1, l2)  # a row stands for the earliest of the three samples
+                rows.append(
+                    F.struct(
+                        F.lit(l1).cast("bigint").alias("lag1"),
+                        F.lit(l2).cast("bigint").alias("lag2"),
+                        F.lit(d).cast("bigint").alias("dir"),
+                        F.col(f"_{target}{m}").alias("now"),
+                        F.col(f"_{source}{m - l1}").alias("src"),
+                        F.col(f"_{target}{m - l2}").alias("then"),
+                    )
+                )
+    flat = wide.select(F.inline(F.array(*rows))).filter("now IS NOT NULL")
+    return flat.groupBy("lag1", "lag2", "dir", "now", "src", "then").agg(F.count("*").alias("n"))
+
+
 def transfer_entropy(joint: DataFrame, by: Sequence[str] = ("lag", "dir")) -> DataFrame:
     """Sum of p log2(p(now, then, src) p(then) / (p(then, src) p(now, then))) from counts.
 
@@ -84,13 +111,15 @@ def transfer_entropy(joint: DataFrame, by: Sequence[str] = ("lag", "dir")) -> Da
 
 
 def lagged_pairs(df: DataFrame, track: Track, x: str, y: str, lags: range, by: Sequence[str] = ()) -> DataFrame:
-    """Moments of (x_n, y_{n+lag}) per key and lag: n, sums and sum of products."""
-    wide, w = halo(df.select(*track.keys, track.pos, *dict.fromkeys((x, y)), *by), track, ahead=max(lags))
-    rows = F.array(
-        *[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(x).alias("a"), (F.lead(y, k).over(w) if k else F.col(y)).alias("b")) for k in lags]
-    )
+    """Moments of (x_n, y_{n+lag}) per key and lag, of either sign: n, sums and sum of products."""
+    wide, w = halo(df.select(*track.keys, track.pos, *dict.fromkeys((x, y)), *by), track, ahead=max(map(abs, lags)))
+
+    def ahead(c: str, k: int):
+        return F.lead(c, k).over(w) if k > 0 else F.col(c)
+
+    rows = F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), ahead(x, -k).alias("a"), ahead(y, k).alias("b")) for k in lags])
     flat = wide.select("_own", *track.keys, *by, rows.alias("r")).filter("_own").select(*track.keys, *by, F.inline("r"))
-    return flat.filter("b IS NOT NULL").groupBy(*track.keys, *by, "lag").agg(
+    return flat.filter("a IS NOT NULL AND b IS NOT NULL").groupBy(*track.keys, *by, "lag").agg(
         F.count("*").alias("n"),
         F.sum("a").alias("sa"),
         F.sum("b").alias("sb"),

@@ -9,7 +9,7 @@ from spiketide.functions.columns import zero_filled_moments
 from spiketide.operators.ordered import Track, neighbours, running
 
 
-def firing_rate(counts: DataFrame, pop: str, units: Column, duration: float) -> DataFrame:
+def firing_rate(counts: DataFrame, pop: str, units: Column, duration: Column | float) -> DataFrame:
     """Mean and population deviation of count/duration over all units of a population.
 
     ``counts`` has one row per (pop, unit) with column ``c``; units without an
@@ -46,13 +46,13 @@ def interval_cv_compat(df: DataFrame, track: Track, step: str) -> DataFrame:
     )
 
 
-def chi_synchrony(counts: DataFrame, pop: str, unit: str, time: str, bins: int) -> DataFrame:
+def chi_synchrony(counts: DataFrame, pop: str, unit: str, time: str, bins: Column | int) -> DataFrame:
     """sqrt(Var(mean signal) * units / sum of unit variances) per population.
 
     ``counts`` holds the non-zero samples ``c`` of (pop, unit, time); the zeros
     enter through the moments, so no unit x time grid is built.
     """
-    n = F.lit(bins)
+    n = bins if isinstance(bins, Column) else F.lit(bins)
     _, unit_var = zero_filled_moments(F.count("*"), F.avg("c"), F.var_pop("c"), n)
     per_unit = counts.groupBy(pop, unit).agg(unit_var.alias("v"))
     spread = per_unit.groupBy(pop).agg(F.sum("v").alias("unit_var"), F.count("*").alias("units"))

@@ -10,7 +10,7 @@ from spiketide.operators import aligned, lagged
 from spiketide.operators.ordered import Track
 from spiketide.plans.rates import EV, POP, SER, pop_of
 from spiketide.plans.registry import query
-from spiketide.plans.tables import DAY, DAYS, HOUR, T0, event_track, events, row_count, series, table
+from spiketide.plans.tables import HOUR, T0, event_track, events, row_count, series, table
 
 EDGES = [i * HOUR for i in range(25)]
 PROBE = f"""pb AS (SELECT event_id, u, b.b, t + b.b * {HOUR} AS s FROM ev CROSS JOIN range(0, 24) b(b) WHERE kind = 'click')"""
@@ -20,7 +20,8 @@ def time_track(spark: SparkSession, sf: str) -> Track:
     """Chunks of time that hold about as many rows as a chunk of events."""
     tr = event_track(spark, sf)
     rows = max(1, row_count(spark, sf, "events"))
-    return tr.at("t", width=max(1, DAYS * DAY * tr.width // rows))
+    low, high = events(spark, sf).agg(F.min("t"), F.max("t")).first()
+    return tr.at("t", width=max(1, ((high or 0) - (low or 0)) * tr.width // rows))
 
 
 def _responses(ev: DataFrame, *marks: str) -> DataFrame:
@@ -155,13 +156,13 @@ def autocorr_unbiased(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {SER}, d AS (SELECT u, n, x - avg(x) OVER w AS x, ((t - {T0}) // {HOUR}) % 24 - avg(((t - {T0}) // {HOUR}) % 24) OVER w AS y
       FROM ser WINDOW w AS (PARTITION BY u)), s AS (SELECT u, stddev_pop(x) * stddev_pop(y) AS s FROM d GROUP BY u)
     SELECT a.u, b.n - a.n AS lag, round(avg(a.x * b.y) / any_value(s.s), 6) AS c
-    FROM d a JOIN d b ON a.u = b.u AND b.n - a.n BETWEEN 0 AND 10 JOIN s ON s.u = a.u GROUP BY 1, 2""",
+    FROM d a JOIN d b ON a.u = b.u AND b.n - a.n BETWEEN -10 AND 10 JOIN s ON s.u = a.u GROUP BY 1, 2""",
 )
 def cross_corr(spark: SparkSession, sf: str) -> DataFrame:
-    """Value against hour of day, later samples of the hour."""
+    """Value against hour of day, up to ten samples later or earlier."""
     ser, tr = series(spark, sf, "x", "t")
     df = ser.select("u", "n", "x", F.expr(f"cast(((t - {T0}) div {HOUR}) % 24 AS double)").alias("y"))
-    return lagged.correlation(df, tr, "x", "y", range(0, 11), scale=True).withColumn("c", rounded("c"))
+    return lagged.correlation(df, tr, "x", "y", range(-10, 11), scale=True).withColumn("c", rounded("c"))
 
 
 @query(

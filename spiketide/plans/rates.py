@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spiketide.functions.columns import circular_dispersion, circular_mean, floor_div, rounded
 from spiketide.operators import rates
 from spiketide.plans.registry import query
-from spiketide.plans.tables import DAY, DAYS, HOUR, HOURS, T0, event_track, events, table
+from spiketide.plans.tables import BASE_SQL, DAY, DAYS_SQL, HOUR, T0, days, event_track, events, table
 
 EV = "ev AS (SELECT user_id AS u, event_id, epoch_us(ts) AS t, event_type AS kind, value AS x FROM events)"
 SER = EV + ", ser AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY event_id) - 1 AS n FROM ev)"
@@ -28,7 +28,7 @@ def in_pops(df: DataFrame) -> DataFrame:
     "firing_rate",
     f"""WITH {EV}, us AS (SELECT DISTINCT u FROM ev), ks AS (SELECT DISTINCT kind FROM ev),
     c AS (SELECT kind, u, count(*) AS c FROM ev GROUP BY kind, u),
-    f AS (SELECT ks.kind, coalesce(c.c, 0) / {HOURS}.0 AS r FROM us CROSS JOIN ks
+    f AS (SELECT ks.kind, coalesce(c.c, 0) / ({DAYS_SQL} * 24.0) AS r FROM us CROSS JOIN ks
           LEFT JOIN c ON c.u = us.u AND c.kind = ks.kind)
     SELECT kind, round(avg(r), 9) AS frs_m, round(stddev_pop(r), 9) AS frs_s FROM f GROUP BY kind""",
 )
@@ -36,7 +36,7 @@ def firing_rate(spark: SparkSession, sf: str) -> DataFrame:
     ev = events(spark, sf).select("kind", "u")
     counts = ev.groupBy("kind", "u").agg(F.count("*").alias("c"))
     units = ev.agg(F.countDistinct("u")).scalar()
-    out = rates.firing_rate(counts.withColumn("units", units), "kind", F.max("units"), HOURS)
+    out = rates.firing_rate(counts.withColumn("units", units), "kind", F.max("units"), days(spark, sf) * 24)
     return out.select("kind", rounded("frs_m", 9).alias("frs_m"), rounded("frs_s", 9).alias("frs_s"))
 
 
@@ -73,8 +73,8 @@ def hourly(spark: SparkSession, sf: str) -> DataFrame:
     return ev.groupBy("u", floor_div(F.col("t") - T0, HOUR).alias("h")).agg(F.count("*").alias("c"))
 
 
-GRID_SQL = f"""grid AS (SELECT us.u, h.h FROM (SELECT DISTINCT u FROM ev) us CROSS JOIN range(0, {HOURS}) h(h)),
-    c AS (SELECT u, (t - {T0}) // {HOUR} AS h, count(*) AS c FROM ev GROUP BY 1, 2),
+GRID_SQL = f"""grid AS (SELECT us.u, h.h FROM (SELECT DISTINCT u FROM ev) us CROSS JOIN (SELECT unnest(range(0, {DAYS_SQL} * 24)) AS h) h),
+    c AS (SELECT u, (t - {BASE_SQL}) // {HOUR} AS h, count(*) AS c FROM ev GROUP BY 1, 2),
     g AS (SELECT grid.u, grid.h, coalesce(c.c, 0) AS c FROM grid LEFT JOIN c USING (u, h)),
     gp AS (SELECT *, {POP} AS pop FROM g UNION ALL SELECT *, 'total' AS pop FROM g),
     uv AS (SELECT pop, u, var_pop(c) AS v FROM gp GROUP BY pop, u),
@@ -86,7 +86,7 @@ GRID_SQL = f"""grid AS (SELECT us.u, h.h FROM (SELECT DISTINCT u FROM ev) us CRO
 
 @query("chi_sync", f"WITH {EV}, {GRID_SQL} SELECT pop, units, round(chi, 6) AS chi FROM chi")
 def chi_sync(spark: SparkSession, sf: str) -> DataFrame:
-    out = rates.chi_synchrony(in_pops(hourly(spark, sf)), "pop", "u", "h", HOURS)
+    out = rates.chi_synchrony(in_pops(hourly(spark, sf)), "pop", "u", "h", days(spark, sf) * 24)
     return out.select("pop", "units", rounded("chi").alias("chi"))
 
 
@@ -94,18 +94,19 @@ def chi_sync(spark: SparkSession, sf: str) -> DataFrame:
     "run_summary",
     f"""WITH {EV}, {CV_SQL}, {GRID_SQL},
     cp AS (SELECT *, {POP} AS pop FROM cv UNION ALL SELECT *, 'total' AS pop FROM cv),
-    s AS (SELECT pop, avg(cv) AS cv, avg(events) / {HOURS} AS frs_m, stddev_pop(events) / {HOURS} AS frs_s
+    s AS (SELECT pop, avg(cv) AS cv, avg(events) / any_value({DAYS_SQL} * 24) AS frs_m, stddev_pop(events) / any_value({DAYS_SQL} * 24) AS frs_s
           FROM cp GROUP BY pop)
     SELECT pop, round(chi, 6) AS chi, round(cv, 6) AS cv, round(frs_m, 9) AS frs_m, round(frs_s, 9) AS frs_s
     FROM s JOIN chi USING (pop)""",
 )
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     """One row per population and one for the total, as a run is summarised."""
+    hours = days(spark, sf) * 24
     per_unit = in_pops(rates.interval_cv(events(spark, sf).select("u", "event_id", "t"), event_track(spark, sf), "t"))
     basic = per_unit.groupBy("pop").agg(
         rounded(F.avg("cv")).alias("cv"),
-        rounded(F.avg("events") / HOURS, 9).alias("frs_m"),
-        rounded(F.stddev_pop("events") / HOURS, 9).alias("frs_s"),
+        rounded(F.avg("events") / hours, 9).alias("frs_m"),
+        rounded(F.stddev_pop("events") / hours, 9).alias("frs_s"),
     )
     return chi_sync(spark, sf).drop("units").join(basic, "pop")
 

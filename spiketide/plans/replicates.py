@@ -153,17 +153,18 @@ def consensus_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "random_edges",
-    """WITH n AS (SELECT count(*) AS n FROM supplier), h AS (SELECT p_partkey AS post, n, ('0x' || substr(md5(p_partkey || ':11'), 1, 8))::BIGINT % n AS s,
-      1 + ('0x' || substr(md5(p_partkey || ':12'), 1, 8))::BIGINT % greatest(n - 1, 1) AS st FROM part, n),
-    d AS (SELECT post, j.j, (s + j.j * CASE WHEN gcd(n, st) = 1 THEN st ELSE 1 END) % n AS pre FROM h JOIN range(0, 6) j(j) ON j.j < n),
-    r AS (SELECT post, pre, row_number() OVER (PARTITION BY post ORDER BY j) AS k FROM d WHERE pre <> post)
+    """WITH s AS (SELECT s_suppkey AS pre, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier),
+    d AS (SELECT p_partkey AS post, j.j, (SELECT max(n) FROM s) AS n FROM part CROSS JOIN range(0, 40) j(j)),
+    h AS (SELECT post, j, ('0x' || substr(md5(post || ':' || j || ':11'), 1, 8))::BIGINT % n AS i FROM d),
+    f AS (SELECT post, i, min(j) AS j FROM h GROUP BY post, i),
+    r AS (SELECT post, pre, row_number() OVER (PARTITION BY post ORDER BY j) AS k FROM f JOIN s USING (i) WHERE pre <> post)
     SELECT pre, post FROM r WHERE k <= 5""",
 )
 def random_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Random graph of fixed in-degree 5 over the given nodes."""
-    n = table(spark, sf, "supplier", "s_suppkey").agg(F.count("*")).scalar()
+    """Random graph of fixed in-degree 5 from suppliers to parts."""
+    pres = table(spark, sf, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("pre"))
     posts = table(spark, sf, "part", "p_partkey").select(F.col("p_partkey").alias("post"))
-    return graphs.random_edges(posts, n, 5, seed=11)
+    return graphs.random_edges(posts, pres, 5, seed=11)
 
 
 @query(
@@ -248,22 +249,25 @@ def feature_cube(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "phase_lag",
-    f"""WITH cc AS ({SQL['cross_corr']}), ac AS ({SQL['autocorr_peaks']}), t AS (SELECT u, arg_max(lag, c) AS tau FROM cc GROUP BY u),
-    p AS (SELECT {POP} AS pop, 2 * pi() * (tau % large_lag) / large_lag AS p FROM t JOIN ac USING (u))
-    SELECT pop, count(*) AS n, round(atan2(avg(sin(p)), avg(cos(p))), 6) AS phase, round(1 - (avg(cos(p)) ** 2 + avg(sin(p)) ** 2), 6) AS dispersion FROM p GROUP BY pop""",
+    f"""WITH cc AS ({SQL['cross_corr']}), ac AS ({SQL['autocorr_peaks']}), t AS (SELECT u, arg_max(lag, {{'c': c, 'near': -abs(lag), 'lag': lag}}) AS tau FROM cc GROUP BY u),
+    c AS (SELECT {POP} AS pop, ((tau % large_lag) + large_lag) % large_lag / large_lag AS c FROM t JOIN ac USING (u)),
+    p AS (SELECT pop, CASE WHEN c > 0.5 THEN c - 1 ELSE c END AS c, 2 * pi() * c AS p FROM c)
+    SELECT pop, count(*) AS n, round(avg(c), 6) AS cycles, round(atan2(avg(sin(p)), avg(cos(p))), 6) AS phase, round(1 - (avg(cos(p)) ** 2 + avg(sin(p)) ** 2), 6) AS dispersion FROM p GROUP BY pop""",
 )
 def phase_lag(spark: SparkSession, sf: str) -> DataFrame:
-    """Lag of the strongest cross-correlation as a phase of the own period, averaged on the circle."""
+    """Lag of the strongest cross-correlation, of either sign, in cycles of the own period within (-0.5, 0.5], and its mean phase."""
     from spiketide.functions.columns import circular_dispersion, circular_mean
     from spiketide.plans.joins import cross_corr
     from spiketide.plans.signals import autocorr_peaks
 
-    tau = cross_corr(spark, sf).groupBy("u").agg(F.max_by("lag", "c").alias("tau"))
+    best = F.struct("c", -F.abs(F.col("lag")), "lag")  # of equal correlations the shortest lag
+    tau = cross_corr(spark, sf).groupBy("u").agg(F.max_by("lag", best).alias("tau"))
     period = autocorr_peaks(spark, sf).select("u", "large_lag")
-    p = F.lit(2.0) * F.pi() * F.pmod(F.col("tau"), F.col("large_lag")) / F.col("large_lag")
-    ph = tau.join(period, "u").select(pop_of().alias("pop"), p.alias("p"))
+    c = F.pmod(F.col("tau"), F.col("large_lag")) / F.col("large_lag")
+    ph = tau.join(period, "u").select(pop_of().alias("pop"), F.when(c > 0.5, c - 1).otherwise(c).alias("c"))
+    ph = ph.withColumn("p", F.lit(2.0) * F.pi() * F.col("c"))
     return ph.groupBy("pop").agg(
-        F.count("*").alias("n"), rounded(circular_mean(F.col("p"))).alias("phase"), rounded(circular_dispersion(F.col("p"))).alias("dispersion")
+        F.count("*").alias("n"), rounded(F.avg("c")).alias("cycles"), rounded(circular_mean(F.col("p"))).alias("phase"), rounded(circular_dispersion(F.col("p"))).alias("dispersion")
     )
 
 
@@ -313,17 +317,20 @@ def cooccurrence_significance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "transfer_entropy_2d",
-    f"""WITH j AS ({SQL['lagged_joint_2d']}), m AS (SELECT lag1, lag2, dir, n, sum(n) OVER (PARTITION BY lag1, lag2, dir) AS t,
-      sum(n) OVER (PARTITION BY lag1, lag2, dir, c) AS c, sum(n) OVER (PARTITION BY lag1, lag2, dir, c, b) AS cs,
-      sum(n) OVER (PARTITION BY lag1, lag2, dir, a, c) AS nc FROM j)
-    SELECT lag1, lag2, dir, round(sum(n / t * log2(n * c / (cs * nc))), 8) AS te FROM m GROUP BY 1, 2, 3""",
+    f"""WITH {BINNED}, tr AS (SELECT now.u, now.n - s.n AS lag1, now.n - t.n AS lag2, now.xb AS xn, now.yb AS yn, s.xb AS xs, s.yb AS ys, t.xb AS xt, t.yb AS yt
+      FROM bn now JOIN bn s ON s.u = now.u AND now.n - s.n BETWEEN 1 AND 3 JOIN bn t ON t.u = now.u AND now.n - t.n BETWEEN 1 AND 3),
+    k AS (SELECT lag1, lag2, 0::BIGINT AS dir, yn AS now, xs AS src, yt AS past, count(*) AS n FROM tr GROUP BY ALL
+      UNION ALL SELECT lag1, lag2, 1::BIGINT, xn, ys, xt, count(*) FROM tr GROUP BY ALL),
+    h AS (SELECT lag1, lag2, dir, n, n / sum(n) OVER g AS p, n / sum(n) OVER (PARTITION BY lag1, lag2, dir, src, past) AS given_both,
+      sum(n) OVER (PARTITION BY lag1, lag2, dir, now, past) / sum(n) OVER (PARTITION BY lag1, lag2, dir, past) AS given_past
+      FROM k WINDOW g AS (PARTITION BY lag1, lag2, dir))
+    SELECT lag1, lag2, dir, round(sum(p * log2(given_both / given_past)), 8) AS te FROM h GROUP BY lag1, lag2, dir""",
 )
 def transfer_entropy_2d(spark: SparkSession, sf: str) -> DataFrame:
-    """Information of the source at one lag about the target at another, for all pairs of lags."""
-    from spiketide.plans.joins import lagged_joint_2d
-
-    j = lagged_joint_2d(spark, sf).select("lag1", "lag2", "dir", F.col("a").alias("now"), F.col("c").alias("then"), F.col("b").alias("src"), "n")
-    return lagged.transfer_entropy(j, ["lag1", "lag2", "dir"]).withColumn("te", rounded("te", 8))
+    """What the source lag1 ago tells about the target now beyond the target lag2 ago, for all pairs of lags."""
+    df, tr = _binned(spark, sf)
+    joint = lagged.lagged_contrast_2d(df, tr, "xb", "yb", 3)
+    return lagged.transfer_entropy(joint, ["lag1", "lag2", "dir"]).withColumn("te", rounded("te", 8))
 
 
 @query(

@@ -9,7 +9,7 @@ from spiketide.functions.columns import gaussian_taps, rounded
 from spiketide.operators import segments
 from spiketide.plans.rates import EV, POP, SER, pop_of
 from spiketide.plans.registry import query
-from spiketide.plans.tables import DAYS, HOUR, T0, event_track, events, series, table
+from spiketide.plans.tables import BASE_SQL, DAYS_SQL, HOUR, T0, days, event_track, events, first_day, series, table
 from spiketide.session import stage
 
 
@@ -131,7 +131,7 @@ def motif_intervals(spark: SparkSession, sf: str) -> DataFrame:
     "motif_proportion",
     f"""{CHAIN}, c AS (SELECT {POP} AS pop, state, count(*) AS n FROM ab WHERE state <> 0 GROUP BY 1, 2)
     SELECT pop, state, n, round(n / sum(n) OVER (PARTITION BY pop), 9) AS share,
-    round(n / ({DAYS} * 86400.0 * count(*) OVER ()), 12) AS rate FROM c""",
+    round(n / ({DAYS_SQL} * 86400.0 * count(*) OVER ()), 12) AS rate FROM c""",
 )
 def motif_proportion(spark: SparkSession, sf: str) -> DataFrame:
     """Share of each non-zero motif within its population, and motifs per second and state."""
@@ -141,7 +141,7 @@ def motif_proportion(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "pop", "state", "n",
         rounded(F.col("n") / F.col("tot"), 9).alias("share"),
-        rounded(F.col("n") / (F.col("k") * (DAYS * 86400.0)), 12).alias("rate"),
+        rounded(F.col("n") / (F.col("k") * (days(spark, sf) * 86400.0)), 12).alias("rate"),
     )
 
 
@@ -240,11 +240,12 @@ def gaussian_smooth(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "mua_smooth",
     f"""WITH {EV}, k(j, w) AS (VALUES {TAP_ROWS}),
-    g AS (SELECT p.pop, h.h FROM (SELECT DISTINCT {POP} AS pop FROM ev) p CROSS JOIN range(0, 720) h(h)),
-    c AS (SELECT {POP} AS pop, (t - {T0}) // {HOUR} AS h, count(*) AS c FROM ev GROUP BY 1, 2),
+    g AS (SELECT p.pop, h.h FROM (SELECT DISTINCT {POP} AS pop FROM ev) p CROSS JOIN (SELECT unnest(range(0, {DAYS_SQL} * 24)) AS h) h),
+    c AS (SELECT {POP} AS pop, (t - {BASE_SQL}) // {HOUR} AS h, count(*) AS c FROM ev GROUP BY 1, 2),
     m AS (SELECT g.pop, g.h, coalesce(c.c, 0)::DOUBLE AS c FROM g LEFT JOIN c USING (pop, h)),
-    i AS (SELECT pop, h, w, CASE WHEN h + j < 0 THEN -1 - (h + j) WHEN h + j > 719 THEN 1439 - (h + j) ELSE h + j END AS s
-          FROM m CROSS JOIN k)
+    n AS (SELECT {DAYS_SQL} * 24 AS n),
+    i AS (SELECT pop, h, w, CASE WHEN h + j < 0 THEN -1 - (h + j) WHEN h + j >= n THEN 2 * n - 1 - (h + j) ELSE h + j END AS s
+          FROM m CROSS JOIN k CROSS JOIN n)
     SELECT i.pop, i.h, round(sum(m.c * w), 6) AS mua FROM i JOIN m ON m.pop = i.pop AND m.h = i.s GROUP BY i.pop, i.h""",
 )
 def mua_smooth(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,9 +254,9 @@ def mua_smooth(spark: SparkSession, sf: str) -> DataFrame:
     from spiketide.operators.ordered import Track
 
     tr = Track(("pop",), "h", 720, flat=True)
-    h = floor_div(F.col("t") - T0, HOUR)
+    h = floor_div(F.col("t") - first_day(spark, sf), HOUR)
     counts = events(spark, sf).groupBy(pop_of().alias("pop"), h.alias("h")).agg(F.count("*").cast("double").alias("c"))
-    length = counts.select("pop").distinct().withColumn("length", F.lit(720).cast("bigint"))
+    length = counts.select("pop").distinct().withColumn("length", days(spark, sf) * 24)
     blank = length.select("pop", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1)).alias("h"), F.lit(0.0).alias("c"))
     full = counts.unionByName(blank).groupBy("pop", "h").agg(F.sum("c").alias("c"))
     out = segments.smooth(full, tr, "c", TAPS, length)
@@ -285,7 +286,7 @@ def second_difference(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sliding_summary",
-    f"""WITH {EV}, s AS (SELECT {T0} - 43200000000 + i * 43200000000 AS s FROM range(0, 61) r(i))
+    f"""WITH {EV}, s AS (SELECT {BASE_SQL} - 43200000000 + i * 43200000000 AS s FROM (SELECT unnest(range(0, 2 * {DAYS_SQL} + 1)) AS i))
     SELECT s.s AS start_us, count(*) AS n, round(avg(x), 9) AS m, round(stddev_pop(x), 9) AS sd
     FROM s JOIN ev ON ev.t >= s.s AND ev.t < s.s + 86400000000 GROUP BY s.s""",
 )

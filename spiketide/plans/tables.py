@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spiketide.functions.columns import micros
+from spiketide.functions.columns import floor_div, micros
 from spiketide.operators.ordered import Track, balanced_width, find_hot, ordinal
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
-# fixed values: the events table starts at this instant (2024-01-01) and covers 30 days
+# fixed value: an instant at the start of a day, from which hours of day and days are counted
 T0 = 1_704_067_200_000_000
-DAYS = 30
-HOURS = 24 * DAYS
+# start of the first day with an event and number of days up to the last one, from the data
+BASE_SQL = f"(SELECT min(epoch_us(ts)) // {DAY} * {DAY} FROM events)"
+DAYS_SQL = f"(SELECT max(epoch_us(ts)) // {DAY} - min(epoch_us(ts)) // {DAY} + 1 FROM events)"
 
 
 def table(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
@@ -59,6 +60,16 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def first_day(spark: SparkSession, sf: str) -> Column:
+    """Start of the first day with an event, as a scalar subquery."""
+    return events(spark, sf).agg(floor_div(F.min("t"), DAY) * DAY).scalar()
+
+
+def days(spark: SparkSession, sf: str) -> Column:
+    """Days from the first to the last event, both included, as a scalar subquery."""
+    return events(spark, sf).agg(floor_div(F.max("t"), DAY) - floor_div(F.min("t"), DAY) + 1).scalar()
+
+
 def series(spark: SparkSession, sf: str, *cols: str) -> tuple[DataFrame, Track]:
     """Sampled signal: the events of a unit numbered n = 0, 1, 2 ..."""
     tr = event_track(spark, sf)

@@ -11,12 +11,28 @@ from pyspark.sql import functions as F
 from spiketide.session import shared_dir
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str, schema: str) -> DataFrame:
-    """Parquet files of a folder as a stream; ``ts`` is cast because watermarks need an instant."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-        .withColumn("ts", F.col("ts").cast("timestamp"))
-    )
+def event_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table, one file or a folder of files, as a stream; ``ts`` is cast because watermarks need an instant.
+
+    Without ``files_per_batch`` everything there is makes one micro-batch.  A path without a file is an error.
+    """
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    if not files:
+        raise FileNotFoundError(f"no Parquet file in {path}")
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    if len(files) == 1 and files[0].endswith(f"/{name}") and not files[0].endswith(f"/{name}/{name}"):
+        reader, path = reader.option("pathGlobFilter", name), folder  # a stream starts from a folder
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def whole_span(table: DataFrame, time: str = "ts") -> str:
+    """A watermark delay under which no row of a table is late, in whatever order its files come."""
+    t = F.unix_micros(F.col(time).cast("timestamp"))
+    low, high = table.agg(F.min(t), F.max(t)).first()
+    return f"{((high or 0) - (low or 0)) // 1_000_000 + 1} seconds"
 
 
 def _drain(query) -> None:

@@ -245,11 +245,49 @@ def test_random_edges(spark):
     from spiketide.operators import graphs
 
     posts = spark.range(40).withColumnRenamed("id", "post")
-    got = [tuple(r) for r in graphs.random_edges(posts, F.lit(40).cast("bigint"), 6, seed=1).collect()]
+    pres = spark.range(0, 4000, 100).withColumnRenamed("id", "pre")
+    got = [tuple(r) for r in graphs.random_edges(posts, pres, 6, seed=1).collect()]
     assert len(got) == len(set(got)) == 240
-    assert all(a != b and 0 <= a < 40 for a, b in got)
-    full = graphs.random_edges(posts, F.lit(40).cast("bigint"), 100, seed=1)
+    assert all(a != b and a % 100 == 0 and 0 <= a < 4000 for a, b in got)
+    full = graphs.random_edges(posts, posts.withColumnRenamed("post", "pre"), 100, seed=1)
     assert full.count() == 40 * 39
+    assert graphs.random_edges(posts, pres.limit(0), 3, seed=1).count() == 0
+
+
+def test_random_edges_are_spread(spark):
+    from spiketide.operators import graphs
+
+    posts = spark.range(400).withColumnRenamed("id", "post")
+    got = graphs.random_edges(posts, posts.withColumnRenamed("post", "pre"), 5, seed=2).collect()
+    by_post: dict[int, list[int]] = {}
+    for a, b in got:
+        by_post.setdefault(b, []).append(a)
+    steps = [y - x for s in by_post.values() for x, y in zip(sorted(s), sorted(s)[1:])]
+    assert sum(d == 1 for d in steps) < 0.05 * len(steps)
+    counts = [sum(a == k for a, _ in got) for k in range(400)]
+    assert 0 < max(counts) < 20 and sum(counts) == 2000
+
+
+def test_scatter_takes_any_id(spark):
+    from spiketide.operators import aligned
+
+    ids = [0, 1, 4_000_000_000, 2**62, -5]
+    df = spark.createDataFrame([(i,) for i in ids], "u bigint")
+    got = [r[0] for r in df.select(aligned.scatter("u", 3)).collect()]
+    assert got == [((i % 2**32) * 2654435761 + 3 * 97531) % 2**32 for i in ids]
+
+
+def test_cross_pairs_of_either_sign(spark):
+    from spiketide.operators import lagged
+    from spiketide.operators.ordered import Track
+
+    x, y = [1.0, 5.0, 2.0, 8.0, 3.0], [2.0, 1.0, 7.0, 4.0, 9.0]
+    df = spark.createDataFrame([(0, n, a, b) for n, (a, b) in enumerate(zip(x, y))], "u int, n bigint, x double, y double")
+    for track in (Track(("u",), "n", 3), Track(("u",), "n", 3, flat=True)):
+        got = {r.lag: (r.n, r.sab) for r in lagged.lagged_pairs(df, track, "x", "y", range(-2, 3)).collect()}
+        for lag in range(-2, 3):
+            pairs = [(x[n], y[n + lag]) for n in range(5) if 0 <= n + lag < 5]
+            assert got[lag] == (len(pairs), sum(a * b for a, b in pairs))
 
 
 def test_hills(spark):
