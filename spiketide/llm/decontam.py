@@ -1,7 +1,7 @@
 """Benchmark decontamination over a positional inverted index that is stored in segments of documents.
 
 Every segment holds the postings of some documents: for each benchmark term the
-positions at which it stands.  A segment has about a million words, so postings
+positions at which it stands.  A segment has about 400,000 words, so postings
 are built, stored and searched without any shuffle, and no list of a frequent
 term ever meets in one task.  A window of benchmark words is found by shifting
 the lists of its terms by their offsets and intersecting them from the rarest
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spiketide.llm.frames import Shared, as_schema, map_rows
+from spiketide.llm.frames import Shared, as_schema, map_batches, map_rows
 from spiketide.llm.pretokens import Recent
 from spiketide.session import stage
 
@@ -29,7 +29,7 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 WINDOW = 10
-SEGMENT_WORDS = 1_000_000
+SEGMENT_WORDS = 400_000
 BLOCK_CHARS = 16_000_000  # benchmark text that is broadcast at a time
 NEAR_TERMS, NEAR_SLOP = 4, 2
 HITS = (
@@ -54,7 +54,7 @@ class Vocabulary:
 
     def __init__(self, terms: list[str]):
         known = {t: i for i, t in enumerate(terms)}
-        self.number = Recent(lambda w: known.get(w.translate(_LOWER), -1), 250_000)
+        self.number = Recent(lambda w: known.get(w.translate(_LOWER), -1), 100_000)
 
 
 def build_index(docs: DataFrame, terms: list[str], id_col: str, text_col: str, row_col: str) -> DataFrame:
@@ -96,7 +96,7 @@ def build_index(docs: DataFrame, terms: list[str], id_col: str, text_col: str, r
         if streams:
             yield segment()
 
-    return docs.select(id_col, text_col, row_col).mapInArrow(run, schema)
+    return map_batches(docs.select(id_col, text_col, row_col), run, schema)
 
 
 def term_counts(index: DataFrame) -> dict[int, int]:
@@ -207,7 +207,7 @@ def _search_block(docs: DataFrame, items: list[tuple], item_kind: str, id_col: s
                 columns = zip(*searcher.search(seg))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return index.mapInArrow(run, schema)
+    return map_batches(index, run, schema)
 
 
 def _joined(parts: DataFrame, ddl: str) -> DataFrame:

@@ -24,6 +24,22 @@ def as_schema(ddl: str) -> StructType:
     return kind
 
 
+BATCH_BYTES = 8 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """``mapInArrow`` with batches of BATCH_BYTES at most, so that texts of any length pass in bounded memory.
+
+    The limit is a setting of the session; a smaller one that is already there stays.
+    """
+    conf = df.sparkSession.conf
+    now = int(conf.get(_BATCH_KEY).rstrip("b"))
+    if now > BATCH_BYTES:
+        conf.set(_BATCH_KEY, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(
     df: DataFrame,
     ddl: str,
@@ -56,7 +72,7 @@ def map_rows(
         if out:
             yield pack(out)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 class Shared:

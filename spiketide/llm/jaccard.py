@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spiketide.llm.frames import as_schema, map_rows
+from spiketide.llm.frames import as_schema, map_batches, map_rows
 from spiketide.operators.graphs import components
 from spiketide.session import stage
 
@@ -106,22 +106,15 @@ def levels(docs: DataFrame, text_col: str) -> np.ndarray:
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = np.zeros(SLOTS, "i8"), [], 0
+        counts = np.zeros(SLOTS, "u4")
         for batch in batches:
             for text in batch.column(0):
-                grams = shingles(text.as_py())
-                held.append(slot_of(grams))
-                size += len(grams)
-                if size > SLOTS:
-                    counts += np.bincount(np.concatenate(held), minlength=SLOTS)
-                    held, size = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=SLOTS)
+                np.add.at(counts, slot_of(shingles(text.as_py())), 1)  # a set names a slot about once
         mean = counts.mean()
         slots = np.flatnonzero(counts > mean + 4 * mean**0.5 + 4)
         yield pa.RecordBatch.from_arrays([pa.array(slots, "int32"), pa.array(counts[slots], "int64")], schema=arrow)
 
-    heavy = docs.select(text_col).mapInArrow(run, schema).groupBy("slot").agg(F.sum("n").alias("n"))
+    heavy = map_batches(docs.select(text_col), run, schema).groupBy("slot").agg(F.sum("n").alias("n"))
     out = np.zeros(SLOTS, "u1")
     for r in heavy.collect():  # at most SLOTS rows
         out[r.slot] = min(63, int(r.n).bit_length() - 1)
@@ -133,7 +126,7 @@ def rows_of(docs: DataFrame, level: np.ndarray, id_col: str, text_col: str) -> D
     box = docs.sparkSession.sparkContext.broadcast(level)
 
     def start():
-        order = box.value.astype("u8")
+        order = box.value
 
         def row(key, text: str | None) -> Iterator[tuple]:
             grams = shingles(text)
@@ -141,7 +134,7 @@ def rows_of(docs: DataFrame, level: np.ndarray, id_col: str, text_col: str) -> D
             if not n:
                 yield key, 0, 0, 0, None, []
                 return
-            columns = (grams >> U(6)) | (order[slot_of(grams)] << U(58))
+            columns = (grams >> U(6)) | (order[slot_of(grams)].astype("u8") << U(58))
             first = np.partition(columns, n // 5)[: n // 5 + 1]
             mixed = (grams ^ (grams >> U(27))) * _MIX[2]
             sums = np.array([grams.sum(dtype="u8"), mixed.sum(dtype="u8")]).view("i8").tolist()
@@ -219,7 +212,7 @@ def first_product(entries: DataFrame) -> DataFrame:
             yield from block(*columns)
 
     dealt = entries.select("key", "salt", "doc", "n").repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "doc")
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)
 
 
 def second_product(members: DataFrame, nearest: int | None) -> DataFrame:
@@ -265,7 +258,7 @@ def second_product(members: DataFrame, nearest: int | None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     dealt = members.select("key", "n", "doc", "comp", "bits").repartition("key").sortWithinPartitions("key", "n", "doc")
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)
 
 
 def only(rows: DataFrame, ids: DataFrame, id_col: str = "doc", inside: bool = True) -> DataFrame:
@@ -287,7 +280,7 @@ def only(rows: DataFrame, ids: DataFrame, id_col: str = "doc", inside: bool = Tr
             doc = batch.column(where).fill_null(0).to_numpy(zero_copy_only=False) & (ID_BITS - 1)
             yield batch.filter(pa.array(((box.value[doc >> 3] >> (doc & 7).astype("u1")) & 1 == 1) == inside))
 
-    return rows.mapInArrow(run, rows.schema)
+    return map_batches(rows, run, rows.schema)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -354,7 +347,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
                 out = []
 
     order = [F.col("a"), F.col("part"), F.col("b").asc_nulls_first()]
-    return dealt.sortWithinPartitions(*order).mapInArrow(run, schema)
+    return map_batches(dealt.sortWithinPartitions(*order), run, schema)
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

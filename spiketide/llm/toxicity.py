@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spiketide.llm.frames import Shared, as_schema, map_rows
+from spiketide.llm.frames import Shared, as_schema, map_batches, map_rows
 from spiketide.llm.pretokens import Recent
 from spiketide.session import stage
 
@@ -80,7 +80,7 @@ def _feature_counts(rows: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    each = rows.select("_y", "text").mapInArrow(run, schema)
+    each = map_batches(rows.select("_y", "text"), run, schema)
     return each.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
@@ -97,7 +97,7 @@ class Scorer:
     def __init__(self, features: list[str], weights: list[float], bias: float):
         weight = dict(zip(features, weights))
         self.bias = bias
-        self.adds = Recent(lambda token: sum(weight.get(f, 0.0) for f in features_of(token)), 300_000)
+        self.adds = Recent(lambda token: sum(weight.get(f, 0.0) for f in features_of(token)), 150_000)
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """P of the text, and (start, end, p) of its offending sentences in code points."""
@@ -165,7 +165,7 @@ def _gradient(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
             total[-1] += by_sentence.sum() + (pull * empty * p0).sum()
         yield pa.RecordBatch.from_pydict({"g": [total.tobytes()]})
 
-    parts = rows.mapInArrow(run, "g binary").collect()  # TASKS vectors at most
+    parts = map_batches(rows, run, as_schema("g binary")).collect()  # TASKS vectors at most
     return sum((np.frombuffer(bytes(r.g)) for r in parts), np.zeros(size))
 
 
