@@ -52,7 +52,7 @@ def zero_filled_moments(k: Column, mean: Column, var: Column, n: Column) -> tupl
     return avg, (k * var + mean * mean * k * (n - k) / n) / n
 
 
-def encode_index(indices: Sequence[Column | str], sizes: Sequence[int]) -> Column:
+def encode_index(indices: Sequence[Column | str], sizes: Sequence[int | Column]) -> Column:
     """Row-major flat id; NULL as soon as one index leaves its axis."""
     cols = [as_col(i).cast("bigint") for i in indices]
     flat = functools.reduce(lambda acc, cs: acc * cs[1] + cs[0], zip(cols, sizes), F.lit(0).cast("bigint"))

@@ -65,9 +65,10 @@ def adjusted_rand(table: DataFrame, a: str, b: str) -> DataFrame:
 def adjusted_mutual_info(table: DataFrame, a: str, b: str, slice_len: int = 65536) -> DataFrame:
     """Adjusted mutual information, arithmetic normalisation, natural logs.
 
-    The expected value under random labelings runs over every possible cell
-    count of every pair of labels; those are generated in slices so that no
-    row holds more than ``slice_len`` of them.
+    The expected value under random labelings runs over the possible cell counts
+    of every pair of labels.  A count is hypergeometric; beyond twelve deviations and
+    forty from its mean its probability is zero in double precision, so only
+    those in between are generated, in slices of at most ``slice_len`` that are dealt out again.
     """
     n = table.select(a, b, "n", F.sum("n").over(W.partitionBy(F.lit(1))).alias("all"))  # one row per cell
     rows = n.groupBy(a).agg(F.sum("n").alias("na"), F.max("all").alias("all"))
@@ -81,11 +82,17 @@ def adjusted_mutual_info(table: DataFrame, a: str, b: str, slice_len: int = 6553
     )
     other = cols.agg(F.collect_list("nb")).scalar()  # one entry per label
     pair = rows.select("na", "all", F.explode(other).alias("nb"))
-    lo = F.greatest(F.lit(1).cast("bigint"), F.col("na") + F.col("nb") - F.col("all"))
-    hi = F.least("na", "nb")
+    x, y, t = (F.col(c).cast("double") for c in ("na", "nb", "all"))
+    mid = x * y / t
+    reach = 12 * F.sqrt(mid * (1 - x / t) * (1 - y / t) * t / F.greatest(t - 1, F.lit(1.0))) + 40
+    lo = F.greatest(F.lit(1).cast("bigint"), F.col("na") + F.col("nb") - F.col("all"), F.floor(mid - reach))
+    hi = F.least(F.col("na"), F.col("nb"), F.ceil(mid + reach))
+    tasks = pair.sparkSession.sparkContext.defaultParallelism
     cell = (
-        pair.withColumn("_from", F.explode(F.sequence(lo, hi, F.lit(slice_len).cast("bigint"))))
-        .withColumn("k", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + slice_len - 1, hi))))
+        pair.select("*", lo.alias("_lo"), hi.alias("_hi")).filter("_lo <= _hi")
+        .withColumn("_from", F.explode(F.sequence("_lo", "_hi", F.lit(slice_len).cast("bigint"))))
+        .repartition(tasks, "na", "nb", "_from")
+        .withColumn("k", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + slice_len - 1, F.col("_hi")))))
     )
     f = ln_factorial
     ln_p = (

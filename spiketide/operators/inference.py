@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -98,14 +100,23 @@ def interval_overlap(df: DataFrame, keys: Sequence[str], sample: str, a: str, b:
     return picked.withColumn("differs", (F.col("lo_a") > F.col("hi_b")) | (F.col("hi_a") < F.col("lo_b")))
 
 
+PRIME = 2_147_483_647
+
+
+def split_factor(r: int) -> int:
+    """Multiplier of round ``r``: a hash of its number, never a multiple of the prime."""
+    return int(hashlib.md5(f"split:{r}".encode()).hexdigest()[:8], 16) % (PRIME - 1) + 1
+
+
 def permutation_test(
     df: DataFrame, keys: Sequence[str], row_id: str, value: str, in_first: str, rounds: int, lo: float = 0.01, hi: float = 0.99
 ) -> DataFrame:
     """Difference of means against ``rounds`` random splits of the same sizes.
 
-    A split gives the first sample's size to the rows of smallest hash.  Hash
-    buckets are counted and summed before anything is ordered, so only the
-    bucket that the border falls into is sorted.
+    A split gives the first sample's size to the rows of smallest hash.  A row
+    is hashed once; a round multiplies that modulo a prime with a factor of its own.  Hash
+    buckets, about as many as a bucket of the largest group has rows, are counted and summed before anything is ordered,
+    so only the bucket that the border falls into is sorted.
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(
@@ -115,11 +126,16 @@ def permutation_test(
         (F.avg(F.when(F.col(in_first), F.col(value))) - F.avg(F.when(~F.col(in_first), F.col(value)))).alias("dm"),
     )
     sizes = stage(sizes)
+    largest = sizes.agg(F.max("n")).first()[0] or 1
+    wide = PRIME // max(1, math.isqrt(largest)) + 1
     # spread the rows first: each one is about to become ``rounds`` rows
     tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = df.select(*keys, row_id, F.col(value).alias("v")).repartition(tasks, row_id)
-    draws = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    draws = draws.withColumn("h", rank_hash(row_id, "round")).withColumn("bucket", F.shiftright("h", 20))
+    base = F.pmod(rank_hash(row_id), F.lit(PRIME))
+    rows = df.select(*keys, row_id, F.col(value).alias("v"), base.alias("_base")).repartition(tasks, row_id)
+    factors = F.array(*[F.lit(split_factor(r)) for r in range(rounds)])
+    draws = rows.select("*", F.posexplode(factors).alias("round", "_factor"))
+    draws = draws.withColumn("h", F.pmod(F.col("_base") * F.col("_factor"), F.lit(PRIME)))
+    draws = draws.withColumn("bucket", F.call_function("div", F.col("h"), F.lit(wide))).drop("_base", "_factor")
     w = W.partitionBy(*keys, "round").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     buckets = draws.groupBy(*keys, "round", "bucket").agg(F.count("*").alias("k"), F.sum("v").alias("sv")).select(
         "*", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("below"), F.coalesce(F.sum("sv").over(w), F.lit(0.0)).alias("sum_below")

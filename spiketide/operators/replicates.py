@@ -15,20 +15,30 @@ from spiketide.operators.lagged import lagged_joint
 from spiketide.operators.ordered import Track
 
 
+WORD = 32  # rounds that one hash of a unit decides
+
+
 def membership(rounds: int, *keys: str) -> Column:
-    """Bit r tells whether a unit belongs to random half r; at most 31 rounds."""
-    return rank_hash(*keys).bitwiseAND(F.lit((1 << rounds) - 1).cast("bigint"))
+    """Words of WORD bits: bit r tells whether a unit belongs to random half r.  Word 0 hashes the keys, word k also k."""
+    words = [rank_hash(*keys)]
+    for k in range(1, -(-rounds // WORD)):
+        parts = F.concat_ws(":", *[F.col(c).cast("string") for c in keys], F.lit(str(k)))
+        words.append(F.conv(F.substring(F.md5(parts), 1, 8), 16, 10).cast("bigint"))
+    return F.array(*words)
 
 
 def half_samples(joint: DataFrame, mask: str, rounds: int) -> DataFrame:
     """Joint counts of ``rounds`` random halves of the units: the columns of ``joint`` plus round.
 
-    ``joint`` holds counts per ``membership`` mask: units in the same halves are
-    interchangeable, so the table does not grow with the units.  All rounds come
-    from one aggregation with one conditional sum each.
+    ``joint`` holds counts per ``membership`` mask.  All rounds come from one
+    aggregation with one conditional sum each.
     """
     cells = [c for c in joint.columns if c not in (mask, "n")]
-    sums = [F.sum(F.when(F.getbit(mask, F.lit(r)) == 1, F.col("n")).otherwise(F.lit(0))).alias(f"_{r}") for r in range(rounds)]
+
+    def inside(r: int) -> Column:
+        return F.getbit(F.get(mask, F.lit(r // WORD)), F.lit(r % WORD)) == 1
+
+    sums = [F.sum(F.when(inside(r), F.col("n")).otherwise(F.lit(0))).alias(f"_{r}") for r in range(rounds)]
     wide = joint.groupBy(*cells).agg(*sums)
     rows = F.array(*[F.struct(F.lit(r).cast("bigint").alias("round"), F.col(f"_{r}").alias("n")) for r in range(rounds)])
     return wide.select(*cells, F.inline(rows)).filter("n > 0")

@@ -132,8 +132,9 @@ def significant_sign_runs(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "perm_test",
     f"""WITH {EV}, p AS (SELECT event_id, x, kind = 'click' AS f FROM ev WHERE kind IN ('click', 'view')),
-    r AS (SELECT r.r, p.x, row_number() OVER (PARTITION BY r.r ORDER BY ('0x' || substr(md5(event_id || ':' || r.r), 1, 8))::BIGINT, event_id) AS k
-      FROM p CROSS JOIN range(0, 50) r(r)), nx AS (SELECT count(*) FILTER (f) AS nx, avg(x) FILTER (f) - avg(x) FILTER (NOT f) AS dm FROM p),
+    r AS (SELECT r.r, p.x, row_number() OVER (PARTITION BY r.r ORDER BY ((('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 2147483647)
+        * (('0x' || substr(md5('split:' || r.r), 1, 8))::BIGINT % 2147483646 + 1)) % 2147483647, event_id) AS k
+      FROM p CROSS JOIN range(0, 1000) r(r)), nx AS (SELECT count(*) FILTER (f) AS nx, avg(x) FILTER (f) - avg(x) FILTER (NOT f) AS dm FROM p),
     d AS (SELECT r, avg(x) FILTER (k <= nx) - avg(x) FILTER (k > nx) AS d FROM r, nx GROUP BY r),
     q AS (SELECT quantile_cont(d, 0.01) AS lo, quantile_cont(d, 0.99) AS hi FROM d)
     SELECT 'click-view' AS pair, round(dm, 6) AS dm, round(lo, 6) AS lo, round(hi, 6) AS hi, lo > dm OR hi < dm AS differs FROM q, nx""",
@@ -144,7 +145,7 @@ def perm_test(spark: SparkSession, sf: str) -> DataFrame:
         .filter(F.col("kind").isin("click", "view"))
         .select(F.lit("click-view").alias("pair"), "event_id", "x", (F.col("kind") == "click").alias("first"))
     )
-    out = inference.permutation_test(df, ["pair"], "event_id", "x", "first", rounds=50)
+    out = inference.permutation_test(df, ["pair"], "event_id", "x", "first", rounds=1000)
     return out.select("pair", *[rounded(c).alias(c) for c in ("dm", "lo", "hi")], "differs")
 
 

@@ -17,14 +17,14 @@ from spiketide.plans.signals import DFT, vectors
 from spiketide.plans.tables import HOUR, event_track, events, series, table
 from spiketide.session import stage
 
-LAGS, ROUNDS = 6, 8
+LAGS, ROUNDS = 6, 100
 
 JOINT = f"""pr AS (SELECT a.u, b.n - a.n AS lag, a.xb AS x0, a.yb AS y0, b.xb AS x1, b.yb AS y1
       FROM bn a JOIN bn b ON a.u = b.u AND b.n - a.n BETWEEN 1 AND {LAGS}),
     lj AS (SELECT u, lag, 0::BIGINT AS dir, y1 AS now, y0 AS "then", x0 AS src, count(*) AS n FROM pr GROUP BY ALL
       UNION ALL SELECT u, lag, 1::BIGINT, x1, x0, y0, count(*) FROM pr GROUP BY ALL),
     hs AS (SELECT r.r AS round, lag, dir, now, "then", src, sum(n) AS n FROM lj JOIN range(0, {ROUNDS}) r(r)
-      ON (('0x' || substr(md5(lj.u::VARCHAR), 1, 8))::BIGINT >> r.r) & 1 = 1 GROUP BY ALL)"""
+      ON (('0x' || substr(md5(lj.u || CASE WHEN r.r < 32 THEN '' ELSE ':' || (r.r // 32) END), 1, 8))::BIGINT >> (r.r % 32)) & 1 = 1 GROUP BY ALL)"""
 
 
 def te_sql(out: str, src: str) -> str:

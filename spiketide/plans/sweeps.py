@@ -21,8 +21,9 @@ AXES = ("l_returnflag", "l_linestatus", "l_linenumber")
 )
 def param_sweep_cross(spark: SparkSession, sf: str) -> DataFrame:
     """Full grid of the values that occur; the job id is the row-major index."""
-    g = sweeps.expand_values(table(spark, sf, "lineitem", *AXES), AXES)
-    sizes = (3, 2, 7)  # fixed values: return flags, line statuses, line numbers
+    src = table(spark, sf, "lineitem", *AXES)
+    g = sweeps.expand_values(src, AXES)
+    sizes = [src.agg(F.count_distinct(a)).scalar() for a in AXES]
     flat = encode_index([f"i_{a}" for a in AXES], sizes)
     return g.select(flat.alias("job_id"), F.col(AXES[0]).alias("flag"), F.col(AXES[1]).alias("status"), F.col(AXES[2]).cast("bigint").alias("line"))
 

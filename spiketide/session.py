@@ -42,12 +42,6 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable; keeps a folder the cluster has set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 def stage(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 

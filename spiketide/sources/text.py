@@ -82,10 +82,12 @@ def read_axes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_params(spark: SparkSession, path: str, with_seed: bool = False) -> DataFrame:
-    """Parameter lines as (job_id?, seed, w, p, nu, wratio, tdelay).
+    """Parameter lines as (job_id, seed, w, p, nu, wratio, tdelay).
 
-    The short form has 22 numbers; ``with_seed`` expects a seed before and a
-    weight ratio and a delay after them.
+    The job id is the number of the line after the first one, which counts the jobs.  The short form has 22
+    numbers; ``with_seed`` expects a seed before and a weight ratio and a
+    delay after them.  A line of another length stops the job with an error;
+    blank lines are passed over.
     """
     v = _numbers(F.col("line"))
     first = 1 if with_seed else 0
@@ -97,11 +99,15 @@ def read_params(spark: SparkSession, path: str, with_seed: bool = False) -> Data
     def only(c: Column, kind: str) -> Column:
         return (c if with_seed else F.lit(None)).cast(kind)
 
+    whole = spark.read.option("pathGlobFilter", "params_to_run.txt").text(path, wholetext=True)
+    lines = whole.select(F.posexplode(F.split("value", "\\r?\\n")).alias("at", "line")).filter("at > 0 AND trim(line) <> ''")
+    wrong = F.raise_error(F.concat(F.lit(f"a parameter line has {need} numbers: "), F.col("line")))
+    checked = F.when(F.size("v") == need, F.col("v")).otherwise(wrong)
     return (
-        _lines(spark, path, "params_to_run.txt")
-        .select(v.alias("v"))
-        .filter(F.size("v") == need)
+        lines.select((F.col("at") - 1).cast("bigint").alias("job_id"), "line", v.alias("v"))
+        .select("job_id", checked.alias("v"))
         .select(
+            "job_id",
             only(F.get("v", F.lit(0)), "bigint").alias("seed"),
             F.slice("v", first + 1, PARAM_WEIGHTS).alias("w"),
             p.alias("p"),

@@ -338,3 +338,35 @@ def test_cut_chunks(spark):
     iv = spark.createDataFrame([(1, 3, 6, 4), (1, 6, 9, 2)], "u bigint, start bigint, end bigint, state bigint")
     got = rows(segments.cut_chunks(pts, iv, TR, lead_in=2), "state", "k", "x")
     assert got == [(2, k, 6 + k) for k in range(-2, 3)] + [(4, k, 3 + k) for k in range(-2, 3)]
+
+
+def test_half_samples_of_many_rounds(spark):
+    from spiketide.operators import replicates
+
+    rounds = 100
+    units = spark.range(300).select(F.col("id").alias("u"), F.lit(1).cast("bigint").alias("n"))
+    masked = units.withColumn("mask", replicates.membership(rounds, "u")).groupBy("mask").agg(F.sum("n").alias("n"))
+    got = {r.round: r.n for r in replicates.half_samples(masked, "mask", rounds).collect()}
+    assert set(got) == set(range(rounds)) and all(100 < n < 200 for n in got.values()) and len(set(got.values())) > 10
+
+
+def test_small_expressions(spark):
+    from spiketide.functions.columns import linspace, logistic
+    from spiketide.operators.sweeps import mean_degrees
+
+    out, back = mean_degrees(F.lit(0.1), F.lit(800), F.lit(200))
+    r = spark.range(1).select(linspace(1, 2, 5).alias("a"), linspace(3, 9, 1).alias("b"), logistic(F.lit(2.0), 3.0, 2.0).alias("c"), out.alias("d"), back.alias("e")).first()
+    assert (r.a, r.b, r.c) == ([1.0, 1.25, 1.5, 1.75, 2.0], [3.0], 0.5)
+    assert abs(r.d - 20) < 1e-9 and abs(r.e - 80) < 1e-9
+
+
+def test_adjusted_mutual_info_of_many_rows(spark):
+    import time
+
+    from spiketide.operators import hist
+
+    table = spark.createDataFrame([(0, 0, 3_000_000), (0, 1, 2_000_000), (1, 0, 1_500_000), (1, 1, 3_500_000)], "a int, b int, n bigint")
+    start = time.time()
+    r = hist.adjusted_mutual_info(table, "a", "b").first()
+    assert time.time() - start < 60
+    assert 0 < r.emi < 1e-6 and abs(r.ami - r.mi / 0.6909) < 0.002

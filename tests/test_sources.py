@@ -67,6 +67,11 @@ def test_params_round_trip(spark, tmp_path, with_seed):
     r = text.read_params(spark, str(tmp_path), with_seed).first()
     assert (r["w"], r["p"], r["nu"]) == (w, p, nu)
     assert (r["seed"], r["tdelay"]) == ((7, 12.5) if with_seed else (None, None))
+    (tmp_path / "params_to_run.txt").write_text("3\n" + line.strip() + "\n\n" + line)
+    assert sorted(r["job_id"] for r in text.read_params(spark, str(tmp_path), with_seed).collect()) == [0, 2]
+    (tmp_path / "params_to_run.txt").write_text("2\n" + line.strip() + "\n1,2,3\n")
+    with pytest.raises(Exception, match="a parameter line has"):
+        text.read_params(spark, str(tmp_path), with_seed).collect()
 
 
 def test_axis_lines(spark):
@@ -101,3 +106,11 @@ def test_cached_table(spark, tmp_path):
     for params in ({"a": 1}, {"a": 1}, {"a": 2}):
         assert sinks.cached_table(spark, str(tmp_path), params, compute).count() == 3
     assert len(calls) == 2
+
+
+def test_bundle_sink(spark, tmp_path):
+    df = spark.range(6).select((F.col("id") % 2).alias("job_id"), "id")
+    sinks.write_bundle({"spikes": df, "signals": df.limit(0)}, str(tmp_path / "run"))
+    assert spark.read.parquet(str(tmp_path / "run" / "spikes")).count() == 6
+    with pytest.raises(AnalysisException):
+        sinks.write_bundle({"spikes": df}, str(tmp_path / "run"))
