@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import math
 import operator
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,6 +86,35 @@ def circular_dispersion(phase: Column) -> Column:
     return F.lit(1.0) - (F.pow(F.avg(F.cos(phase)), 2) + F.pow(F.avg(F.sin(phase)), 2))
 
 
+def angle_spread_compat(phase: Column) -> Column:
+    """Mean angle of the squared values less the square of the mean angle: an older measure, no circular deviation."""
+    return circular_mean(phase * phase) - F.pow(circular_mean(phase), 2)
+
+
+def period_ms(frequency: Column | str, fallback: float = 30.0) -> Column:
+    """Length of a cycle in milliseconds; without a positive frequency the fallback."""
+    f = as_col(frequency)
+    return F.when(f > 0, F.lit(1000.0) / f).otherwise(F.lit(fallback))
+
+
+def in_band(frequency: Column | str, pop: Column | str, bands: Mapping[str, tuple[float | None, float | None]]) -> Column:
+    """Whether a frequency lies strictly inside the (low, high) of its own population; an open end is None."""
+    f, out = as_col(frequency), F.lit(None).cast("boolean")
+    for name, (low, high) in bands.items():
+        above = F.lit(True) if low is None else f > low
+        below = F.lit(True) if high is None else f < high
+        out = F.when(as_col(pop) == name, above & below).otherwise(out)
+    return out
+
+
+def motif_flags(label: Column | str) -> Column:
+    """Four 0/1 flags of a label such as ``F(fs)S(-s)``: fast and slow of either population."""
+    c = as_col(label)
+    marks = ((3, "f"), (4, "s"), (8, "f"), (9, "s"))  # fixed values: places counted from one
+    flags = F.array(*[(F.substring(c, at, 1) == mark).cast("int") for at, mark in marks])
+    return F.when(c.startswith("F"), flags)
+
+
 def logistic(x: Column | str, gain: float = 1.0, mid: float = 0.0) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-gain) * (as_col(x) - F.lit(mid))))
 

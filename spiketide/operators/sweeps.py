@@ -74,6 +74,19 @@ def cell_ranges(sizes: DataFrame, order: str, size: str) -> DataFrame:
     return sizes.select(order, (F.sum(size).over(w) - F.col(size)).alias("first"), F.sum(size).over(w).alias("last"))
 
 
+def unset_couplings(edges: DataFrame, weight: str = "w") -> DataFrame:
+    """Edges whose weight was never set (NULL, NaN or infinite): what has to be empty before a run."""
+    w = F.col(weight).cast("double")
+    return edges.filter(w.isNull() | F.isnan(w) | (F.abs(w) == float("inf")))
+
+
+def job_parameters(jobs: DataFrame, job_id: int) -> DataFrame:
+    """(name, value) of one job of an expanded sweep."""
+    names = [c for c in jobs.columns if c != "job_id"]
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names])
+    return jobs.filter(F.col("job_id") == job_id).select(F.inline(pairs))
+
+
 def mean_degrees(p: Column, n_pre: Column, n_post: Column) -> tuple[Column, Column]:
     """Mean (out, in) degree of a random connection of probability p."""
     return p * n_post, p * n_pre

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spiketide.functions.columns import circular_dispersion, circular_mean, floor_div, rounded
+from spiketide.functions.columns import angle_spread_compat, circular_dispersion, circular_mean, floor_div, in_band, period_ms, rounded
 from spiketide.operators import rates
 from spiketide.plans.registry import query
 from spiketide.plans.tables import BASE_SQL, DAY, DAYS_SQL, HOUR, T0, days, event_track, events, table
@@ -215,3 +215,27 @@ def circular_phase(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("kind")
         .agg(rounded(circular_mean(F.col("p"))).alias("phase"), rounded(circular_dispersion(F.col("p"))).alias("dispersion"))
     )
+
+
+@query(
+    "angle_spread_compat",
+    f"""WITH {EV}, p AS (SELECT kind, 2 * pi() * ((t - {T0}) % {DAY}) / {DAY} - pi() AS p FROM ev)
+    SELECT kind, round(atan2(avg(sin(p * p)), avg(cos(p * p))) - atan2(avg(sin(p)), avg(cos(p))) ** 2, 6) AS spread FROM p GROUP BY kind""",
+)
+def angle_spread(spark: SparkSession, sf: str) -> DataFrame:
+    """The older spread of the time of day, for comparison with earlier figures."""
+    p = F.lit(2.0) * F.pi() * F.pmod(F.col("t") - T0, F.lit(DAY)) / DAY - F.pi()
+    return events(spark, sf).groupBy("kind").agg(rounded(angle_spread_compat(p)).alias("spread"))
+
+
+@query(
+    "population_bands",
+    f"""WITH {EV} SELECT {POP} AS pop, count(*) FILTER (CASE WHEN u % 2 = 0 THEN x > 50 ELSE x < 40 END) AS inside, count(*) AS n,
+    round(avg(CASE WHEN x > 0 THEN 1000 / x ELSE 30 END) FILTER (CASE WHEN u % 2 = 0 THEN x > 50 ELSE x < 40 END), 6) AS period FROM ev GROUP BY 1""",
+)
+def population_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Bursts inside the band of their own population, and their mean period."""
+    ev = events(spark, sf).select(pop_of().alias("pop"), "x")
+    ok = in_band("x", "pop", {"F": (50.0, None), "S": (None, 40.0)})
+    period = rounded(F.avg(F.when(ok, period_ms("x"))))
+    return ev.groupBy("pop").agg(F.count_if(ok).alias("inside"), F.count("*").alias("n"), period.alias("period"))

@@ -370,3 +370,20 @@ def test_adjusted_mutual_info_of_many_rows(spark):
     r = hist.adjusted_mutual_info(table, "a", "b").first()
     assert time.time() - start < 60
     assert 0 < r.emi < 1e-6 and abs(r.ami - r.mi / 0.6909) < 0.002
+
+
+def test_labels_couplings_and_lookups(spark):
+    from spiketide.functions.columns import in_band, motif_flags, period_ms
+    from spiketide.operators import sweeps
+
+    df = spark.createDataFrame([("F(fs)S(fs)",), ("F(--)S(-s)",), ("S(fs)",), (None,)], "lb string")
+    assert [r[0] for r in df.select(motif_flags("lb")).collect()] == [[1, 1, 1, 1], [0, 0, 0, 1], None, None]
+    f = spark.createDataFrame([(60.0, "F"), (45.0, "F"), (30.0, "S"), (0.0, "x"), (None, "S")], "f double, pop string")
+    got = f.select(in_band("f", "pop", {"F": (50.0, None), "S": (None, 40.0)}).alias("b"), period_ms("f").alias("p")).collect()
+    assert [r.b for r in got] == [True, False, True, None, None]
+    assert [round(r.p, 3) for r in got] == [16.667, 22.222, 33.333, 30.0, 30.0]
+    e = spark.createDataFrame([(0, 1, 0.5), (1, 2, None), (2, 3, float("inf")), (3, 4, float("nan"))], "pre int, post int, w double")
+    assert sorted(r.pre for r in sweeps.unset_couplings(e).collect()) == [1, 2, 3]
+    jobs = sweeps.expand(spark, {"alpha": [0.0, 1.0], "beta": [0.5, 0.7]})
+    named = {r["name"]: r["value"] for r in sweeps.job_parameters(jobs.select("job_id", "alpha", "beta"), 2).collect()}
+    assert named == {"alpha": 1.0, "beta": 0.5}
