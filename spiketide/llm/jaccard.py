@@ -65,9 +65,9 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
-    """Bitmap of two to four bits a gram; a bit is set if an odd number of grams falls on it."""
+    """Bitmap of one to two bits a gram; a bit is set if an odd number of grams falls on it."""
     bits = 64
-    while bits < 2 * len(grams):
+    while bits < len(grams):
         bits *= 2
     odd = np.bincount((grams & U(bits - 1)).astype("i8"), minlength=bits) & 1
     return np.packbits(odd.astype("u1"), bitorder="little")
@@ -216,13 +216,13 @@ def first_product(entries: DataFrame) -> DataFrame:
 
 
 def second_product(members: DataFrame, nearest: int | None) -> DataFrame:
-    """Pairs of a column that lie in different components and that no bound rules out: (a, b, more).
+    """Pairs of a column that lie in different components and that no bound rules out: (key, a, b, more).
 
     ``members`` (key, n, doc, comp, bits).  Each row is multiplied with the larger rows
     of its column, and names the ``nearest`` outside its component by the distance
     of the bitmaps.  ``more`` marks rows that had others as well.
     """
-    schema = as_schema("a long, b long, more boolean")
+    schema = as_schema("key long, a long, b long, more boolean")
     arrow = to_arrow_schema(schema)
 
     def column(n, doc, comp, bits) -> Iterator[tuple]:
@@ -254,7 +254,8 @@ def second_product(members: DataFrame, nearest: int | None) -> DataFrame:
         for key, n, doc, comp, bits in _runs(batches, 1):
             begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             for i, end in zip(begin, np.concatenate([begin[1:], [len(key)]])):
-                for columns in column(n[i:end].astype("i8"), doc[i:end], comp[i:end], bits[i:end]):
+                for a, b, more in column(n[i:end].astype("i8"), doc[i:end], comp[i:end], bits[i:end]):
+                    columns = np.full(len(a), key[i]), a, b, more
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     dealt = members.select("key", "n", "doc", "comp", "bits").repartition("key").sortWithinPartitions("key", "n", "doc")
@@ -390,8 +391,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         mark = [F.bit_xor(F.xxhash64(F.lit(k), "doc", "n")).alias(f"x{k}") for k in (1, 2)]
         columns = placed.groupBy("key").agg(F.count("*").alias("k"), *mark, F.min("comp").alias("low"), F.max("comp").alias("high"))
         mixed = stage(columns.filter("low < high").groupBy("k", "x1", "x2").agg(F.min("key").alias("key")).select("key"))
-        if mixed.isEmpty():
-            break
         inside = stage(placed.join(mixed, "key", "left_semi"))
         shown = only(bits, inside.select("doc")).join(reps, ["doc", "n", "s1", "s2"], "left_semi").select("doc", "n", "bits")
         named_pairs = stage(second_product(inside.join(shown, ["doc", "n"]), nearest))
@@ -399,8 +398,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         more = stage(verified(pairs, docs, id_col, text_col))
         links = stage(links.union(more).distinct())
         final = stage(components(nodes, links.union(same).select(both_ways)))
-        if named_pairs.filter("more").isEmpty():
+        open_ones = named_pairs.filter("more").select("key").distinct()
+        if open_ones.isEmpty():
             break
+        rows = stage(rows.join(open_ones, "key", "left_semi"))  # all other columns have named every pair
 
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     named_rep = final.select(F.col("a").alias("rep"), "comp").join(degree, "rep", "left")
