@@ -159,19 +159,29 @@ class Decoder:
         return self.blob[at].tobytes()
 
 
+class Both(NamedTuple):
+    encoder: Encoder
+    decoder: Decoder
+
+
+def _both(tokens: list[bytes], ids: list[int], hashed: MinimalPerfectHash, pattern: str) -> Both:
+    return Both(Encoder(tokens, ids, hashed, pattern), Decoder(tokens, ids))
+
+
 class Codec(NamedTuple):
     """Both directions of one vocabulary, broadcast apart: a decoding worker holds no more than the tokens."""
 
     encoder: Shared
     decoder: Shared
+    both: Shared
 
 
 def share(df: DataFrame, ranks: dict[bytes, int], pattern: str) -> Codec:
     """Vocabulary, its hash and the pattern of pre-tokens for the executors."""
     spark, tokens = df.sparkSession, list(ranks)
     ids = [ranks[t] for t in tokens]
-    encoder = Shared(spark, (tokens, ids, MinimalPerfectHash(tokens), pattern), Encoder)
-    return Codec(encoder, Shared(spark, (tokens, ids), Decoder))
+    whole = tokens, ids, MinimalPerfectHash(tokens), pattern
+    return Codec(Shared(spark, whole, Encoder), Shared(spark, (tokens, ids), Decoder), Shared(spark, whole, _both))
 
 
 def encode(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,10 +221,26 @@ def decode(encoded: DataFrame, codec: Codec, id_col: str = "doc_id", ids_col: st
     return map_rows(encoded.select(id_col, ids_col), ddl, start)
 
 
+def round_trip(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode`` of ``encode`` in one pass: one Python worker a task holds both."""
+
+    def start():
+        encoder, decoder = codec.both.get()
+
+        def row(key, text: str | None) -> Iterator[tuple]:
+            ids = encoder.encode(text or "")
+            yield key, ids, decoder.decode(ids)
+
+        return row
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return map_rows(docs.select(id_col, text_col), f"`{id_col}` {kind}, ids binary, decoded binary", start, rows=64)
+
+
 def digest(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """Token count and digests of the ids and of what they decode to; on demand the packed ids."""
     codec = share(docs, ranks, pattern)
-    both = decode(encode(docs, codec, id_col), codec, id_col)
+    both = round_trip(docs, codec, id_col)
     return both.select(
         id_col,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

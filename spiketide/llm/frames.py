@@ -24,7 +24,7 @@ def as_schema(ddl: str) -> StructType:
     return kind
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -78,17 +78,16 @@ def map_rows(
 class Shared:
     """A broadcast value of proven size and what a Python worker makes of it, once for all its tasks.
 
-    A worker keeps one made value of each kind: what an earlier job left is dropped.
+    A worker keeps the last made value only: what another job or operator left is dropped first.
     """
 
-    _made: dict[str, tuple[str, object]] = {}
+    _made: tuple[str, object] = ("", None)
 
     def __init__(self, spark: SparkSession, value: tuple, build: Callable[..., object]):
         self.key, self.box, self.build = uuid.uuid4().hex, spark.sparkContext.broadcast(value), build
 
     def get(self) -> object:
-        kind = self.build.__qualname__
-        if Shared._made.get(kind, ("",))[0] != self.key:
-            Shared._made.pop(kind, None)
-            Shared._made[kind] = self.key, self.build(*self.box.value)
-        return Shared._made[kind][1]
+        if Shared._made[0] != self.key:
+            Shared._made = ("", None)
+            Shared._made = (self.key, self.build(*self.box.value))
+        return Shared._made[1]

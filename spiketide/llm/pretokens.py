@@ -54,8 +54,8 @@ class PieceTable(Recent):
         pattern: str,
         value: Callable[[str], object],
         join: Callable[[list], object],
-        bound: int = 100_000,
-        words_bound: int = 300_000,
+        bound: int = 60_000,
+        words_bound: int = 160_000,
     ):
         super().__init__(self.parted, bound)
         self.find = regex.compile(pattern).finditer
