@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from spiketide.session import stage
 
 # fixed values: limits and characters of the base rules
-SYMBOLS = "#*$%&|<>"
-WHITE = "\t\n\x0b\f\r"
+SYMBOLS = "[#*$%&|<>]"
+WHITE = r"[\x20\x09-\x0D]+"
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 
 DIMS = ("length", "symbols", "lines", "repeats", "capitals")
@@ -40,13 +40,12 @@ PAIRS = [(i, j) for i in range(N) for j in range(i + 1)]
 def statistics(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
     """The kept columns and the counts of each text; a null text has no words and all counts are 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.array_remove(F.split(F.translate(text, WHITE, " " * len(WHITE)), " ", -1), "")
+    words = F.array_remove(F.split(text, WHITE, -1), "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     held = docs.select(
         *keep,
-        F.length(F.translate(text, " " + WHITE, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
+        (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]", ""))).cast("long").alias("n_capitals"),
         words.alias("_words"),
         lines.alias("_lines"),
     )
@@ -56,7 +55,7 @@ def statistics(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame
     held = held.select(
         *keep,
         F.size(w).cast("long").alias("n_words"),
-        "word_chars",
+        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         "n_symbols",
         "n_capitals",
         F.size("_lines").cast("long").alias("n_lines"),
