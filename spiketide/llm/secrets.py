@@ -32,13 +32,14 @@ WINDOW = 20
 UNIT = 1 << 20
 #: pattern of a class of candidates, and the entropy in bits that a window of it must reach
 CLASSES = (("[0-9A-Fa-f]+", 3.0), ("[0-9A-Z]+|[0-9a-z]+", 3.5), (".*", 3.8))
+PLACEHOLDER = ".*(EXAMPLE|XXXX|xxxx|1234567|abcdefg|ABCDEFG).*"
 #: candidates that are no secrets: words and paths of letters, numbers, UUIDs, integrity digests, placeholders
 ALLOWED = (
     "[A-Za-z/_+-]+",
     "[0-9/_+-]+",
     "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
     "(sha256|sha384|sha512)-.*",
-    ".*(EXAMPLE|XXXX|xxxx|1234567|abcdefg|ABCDEFG).*",
+    PLACEHOLDER,
 )
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -82,16 +83,44 @@ def _spans(kind: int, text: Column, pattern: str, found: Column, value: Column |
     return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_NONE))
 
 
-def hot_part(candidate: Column) -> Column:
-    """(first, last): the first hot window of a candidate starts, and the last one ends; -1 without one."""
-    table = F.array(*(F.lit(t).cast("long") for t in terms()))
-    codes = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - 42)  # + is 43, z is 122
+_PARTS = "array<struct<start:int,end:int>>"
+
+
+def _part(start: Column, end: Column) -> Column:
+    return F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
+
+
+def limit_of(candidate: Column) -> Column:
+    """Largest sum of the terms that a hot window of the candidate may have."""
     limit = F.lit(most(CLASSES[-1][1])).cast("long")
     for pattern, bits in reversed(CLASSES[:-1]):
         limit = F.when(candidate.rlike(f"^({pattern})$"), F.lit(most(bits)).cast("long")).otherwise(limit)
+    return limit
+
+
+def outside(start: Column, end: Column, base: Column) -> Column:
+    """Parts of [start, end) of a window or more that lie between base spans (sorted by start)."""
+
+    def upto(s: Column, stop: Column) -> Column:
+        return F.when(stop - s["at"] >= WINDOW, F.concat(s["parts"], _part(s["at"], stop))).otherwise(s["parts"])
+
+    cuts = F.filter(base, lambda b: (b["start"] < end) & (start < b["end"]))
+    zero = F.struct(start.cast("int").alias("at"), F.array().cast(_PARTS).alias("parts"))
+    return F.aggregate(
+        cuts,
+        zero,
+        lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), upto(s, b["start"]).alias("parts")),
+        lambda s: upto(s, end),
+    )
 
-    def state(counts, total, at, first, last) -> Column:
-        return F.struct(counts.alias("counts"), total.alias("total"), at.alias("at"), first.alias("first"), last.alias("last"))
+
+def hot_parts(piece: Column, limit: Column) -> Column:
+    """(start, end) of each stretch of a piece that hot windows cover without a gap."""
+    table = F.array(*(F.lit(t).cast("long") for t in terms()))
+    codes = F.transform(F.split(piece, ""), lambda c: F.ascii(c) - 42)  # + is 43, z is 122
+
+    def state(counts, total, at, first, last, done) -> Column:
+        return F.struct(counts.alias("counts"), total.alias("total"), at.alias("at"), first.alias("first"), last.alias("last"), done.alias("done"))
 
     def step(s: Column, x: Column) -> Column:
         come, go = x["come"], x["go"]
@@ -101,13 +130,30 @@ def hot_part(candidate: Column) -> Column:
         counts = F.transform(s["counts"], lambda v, k: v + (k == come - 1).cast("int") - (k == go - 1).cast("int"))
         at = s["at"] + 1
         hot = (at >= WINDOW) & (total <= x["limit"])
-        first = F.when(hot & (s["first"] < 0), at - WINDOW).otherwise(s["first"])
-        return state(counts, total, at, first, F.when(hot, at).otherwise(s["last"]))
+        apart = hot & (s["first"] >= 0) & (at - WINDOW > s["last"])
+        first = F.when(hot & ((s["first"] < 0) | apart), at - WINDOW).otherwise(s["first"])
+        done = F.when(apart, F.concat(s["done"], _part(s["first"], s["last"]))).otherwise(s["done"])
+        return state(counts, total, at, first, F.when(hot, at).otherwise(s["last"]), done)
 
     gone = F.concat(F.array_repeat(F.lit(0), WINDOW), codes)
     pairs = F.zip_with(codes, F.slice(gone, F.lit(1), F.size(codes)), lambda c, g: F.struct(c.alias("come"), g.alias("go"), limit.alias("limit")))
-    zero = state(F.array_repeat(F.lit(0), 80), F.lit(0).cast("long"), F.lit(0), F.lit(-1), F.lit(-1))
-    return F.aggregate(pairs, zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    zero = state(F.array_repeat(F.lit(0), 80), F.lit(0).cast("long"), F.lit(0), F.lit(-1), F.lit(-1), F.array().cast(_PARTS))
+    return F.aggregate(pairs, zero, step, lambda s: F.when(s["first"] >= 0, F.concat(s["done"], _part(s["first"], s["last"]))).otherwise(s["done"]))
+
+
+def unreleased(piece: Column, parts: Column) -> Column:
+    """Hot parts without a placeholder; those with nothing but cold characters between them become one."""
+
+    def flush(s: Column) -> Column:
+        return F.when(s["first"] >= 0, F.concat(s["done"], _part(s["first"], s["last"]))).otherwise(s["done"])
+
+    def step(s: Column, x: Column) -> Column:
+        released = F.substring(piece, x["start"] + 1, x["end"] - x["start"]).rlike(PLACEHOLDER)
+        first = F.when(released, F.lit(-1)).when(s["first"] < 0, x["start"]).otherwise(s["first"])
+        return F.struct(first.alias("first"), x["end"].alias("last"), F.when(released, flush(s)).otherwise(s["done"]).alias("done"))
+
+    zero = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.array().cast(_PARTS).alias("done"))
+    return F.aggregate(parts, zero, step, flush)
 
 
 def scan(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
@@ -115,12 +161,13 @@ def scan(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
 
     Positions are code points and ``end`` is exclusive; ``kind`` numbers KINDS.
     ``base`` has the matches of the fixed patterns.  ``spans`` adds high-entropy
-    parts of candidate strings that no allow pattern covers and that overlap
-    no base span.  A null text counts as empty and has no spans; null ids and
+    parts of candidate strings that no allow pattern covers: windows that touch a base
+    span do not count, those before and after it do, and a placeholder releases
+    the hot part it stands in.  A null text counts as empty and has no spans; null ids and
     repeated rows stay; an empty table gives an empty one; other columns are not read.
     """
     keep = keep or ("doc_id",)
-    allowed = "^(" + "|".join(ALLOWED) + ")$"
+    allowed = "^(" + "|".join(a for a in ALLOWED if a != PLACEHOLDER) + ")$"
     text = F.col("_text")
     matched = docs.select(*keep, F.coalesce(text_col, F.lit("")).alias("_text")).select(
         *keep,
@@ -141,14 +188,24 @@ def scan(docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
     at = _located(text, CANDIDATE, F.col("_candidate"))
     placed = F.zip_with(at, F.col("_candidate"), lambda s, c: F.struct(s.alias("start"), c.alias("text")))
     suspects = F.filter(placed, lambda c: ~c["text"].rlike(allowed))
-    rated = F.transform(suspects, lambda c: F.struct(c["start"].alias("start"), hot_part(c["text"]).alias("hot")))
-    hot = F.transform(
-        F.filter(rated, lambda c: c["hot"]["first"] >= 0), lambda c: _span(3, c["start"] + c["hot"]["first"], c["start"] + c["hot"]["last"])
+    matched = matched.select(*keep, "_text", base.alias("base"), F.when(F.size("_candidate") > 0, suspects).alias("_suspects"))
+    pieces = F.flatten(
+        F.transform(
+            F.coalesce("_suspects", F.array().cast("array<struct<start:int,text:string>>")),
+            lambda c: F.transform(
+                outside(c["start"], c["start"] + F.length(c["text"]), F.col("base")),
+                lambda p: F.struct(
+                    p["start"].alias("start"),
+                    F.substring(c["text"], p["start"] - c["start"] + 1, p["end"] - p["start"]).alias("text"),
+                    limit_of(c["text"]).alias("limit"),
+                ),
+            ),
+        )
     )
-    added = F.when(F.size("_candidate") > 0, hot).otherwise(F.array().cast(_NONE))
-    found = matched.select(*keep, base.alias("base"), added.alias("_added"))
-    apart = F.filter("_added", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return found.select(*keep, "base", F.array_sort(F.concat("base", apart)).alias("spans"))
+    found = matched.select(*keep, "base", pieces.alias("_pieces"))
+    rated = F.transform("_pieces", lambda p: F.struct(p["start"].alias("start"), p["text"].alias("text"), hot_parts(p["text"], p["limit"]).alias("hot")))
+    spans = F.transform(rated, lambda p: F.transform(unreleased(p["text"], p["hot"]), lambda h: _span(3, p["start"] + h["start"], p["start"] + h["end"])))
+    return found.select(*keep, "base", F.array_sort(F.concat("base", F.flatten(spans))).alias("spans"))
 
 
 def named(spans: str) -> Column:
