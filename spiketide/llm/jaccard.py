@@ -354,9 +354,9 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near copies: sets of 5-word shingles with a Jaccard similarity of 0.8 or more are linked.
 
-    Rows: ``id_col``, ``n_shingles``, ``n_links`` (to other texts that were counted
-    exactly on the way) and ``component_id`` (smallest id reachable by links), one for
-    each row of ``docs``.  A null text has no words; texts without words have an
+    Rows: ``id_col``, ``n_shingles`` and ``component_id`` (smallest id reachable by links),
+    one for each row of ``docs``.  Components are whole; links inside a component are
+    neither all named nor counted.  A null text has no words; texts without words have an
     empty set, no links, and their own id.  A row without an id takes no part in
     linking and gets no component.  Repeated rows count once in linking; if one id has several texts it
     has the links of all of them.  Ids are integers.  Extra columns are not read.
@@ -403,14 +403,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             break
         rows = stage(rows.join(open_ones, "key", "left_semi"))  # all other columns have named every pair
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    named_rep = final.select(F.col("a").alias("rep"), "comp").join(degree, "rep", "left")
-    result = member.join(named_rep, "rep").groupBy("doc").agg(F.min("comp").alias("comp"), F.max("n_links").alias("n_links"))
+    result = member.join(final.select(F.col("a").alias("rep"), "comp"), "rep").groupBy("doc").agg(F.min("comp").alias("comp"))
     kind = docs.schema[id_col].dataType
     return sets.select("doc", "n").join(result, "doc", "left").select(
         F.col("doc").cast(kind).alias(id_col),
         F.col("n").cast("long").alias("n_shingles"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("comp", "doc").cast(kind).alias("component_id"),
     )
 

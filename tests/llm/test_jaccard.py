@@ -68,6 +68,14 @@ def test_components(spark, monkeypatch, salt):
     assert sorted((str(r.doc_id), r.n_shingles) for r in got) == sorted((str(k), len(grams(t))) for k, t in rows)
 
 
+def test_no_partial_count_of_links(spark):
+    """60 near copies are all linked; a column that counts some of the links would be wrong."""
+    rows = [(i, " ".join(f"w{k if k != i else 1000 + i}" for k in range(200))) for i in range(60)]
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert got[0].asDict().keys() == {"doc_id", "n_shingles", "component_id"}
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, 0) for i in range(60)}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.similar(docs).collect() == []
