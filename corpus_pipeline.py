@@ -19,10 +19,24 @@ KEY = "_pipeline_key"
 TOKENS = "byte_bpe_multi_50k.tiktoken"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds a key that is never null: the id, or a negative number that follows from the text."""
-    spare: Column = F.shiftrightunsigned(F.xxhash64("text"), 1) * -1 - 1
-    return docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), spare))
+def _own(*cols: str) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(*cols), 1) * -1 - 1
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Adds a key that is never null and has one text: the id, or a negative number.
+
+    That follows from the text where there is no id, and from id and text where an
+    id has different texts; the second value says whether there are such ids.
+    """
+    keyed = docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), _own("text")))
+    hashes = keyed.select(KEY, F.xxhash64("text").alias("h")).groupBy(KEY).agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    mixed = stage(hashes.filter("low <> high").select(F.col(KEY).alias("doc")))
+    if mixed.isEmpty():
+        return keyed, False
+    maybe = jaccard.only(keyed, mixed, KEY).join(mixed.select(F.col("doc").alias(KEY), F.lit(True).alias("_mixed")), KEY, "left")
+    own = maybe.withColumn(KEY, F.when(F.col("_mixed"), _own(KEY, "text")).otherwise(F.col(KEY))).select(*keyed.columns)
+    return jaccard.only(keyed, mixed, KEY, inside=False).unionByName(own), True
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +48,14 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; equal rows of one id are one document."""
-    keyed = _keyed(docs)
+    """The document with the smallest id of each group of near copies; equal texts of one id are one document."""
+    keyed, mixed = _keyed(docs)
     found = stage(jaccard.similar(keyed, KEY).select(KEY, "component_id"))
+    if mixed:  # keys of ids with different texts do not follow the order of the ids
+        ids = keyed.filter((F.col(KEY) < 0) & F.col("doc_id").isNotNull()).select(KEY, F.col("doc_id").cast("long").alias("_id")).distinct()
+        order = found.join(ids, KEY, "left").select("component_id", F.struct(F.coalesce("_id", KEY).alias("at"), F.col(KEY).alias("key")).alias("row"))
+        first = order.groupBy("component_id").agg(F.min("row")["key"].alias("_first"))
+        found = stage(found.join(first, "component_id").select(KEY, F.col("_first").alias("component_id")))
     copies = found.filter(F.col(KEY) != F.col("component_id")).select(F.col(KEY).alias("doc"))
     repeated = found.groupBy(KEY).agg(F.count("*").alias("n")).filter("n > 1").select(F.col(KEY).alias("doc"))
     repeated = repeated.join(copies, "doc", "left_anti")
@@ -50,7 +69,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
-    keyed = _keyed(docs)
+    keyed, _ = _keyed(docs)
     found = decontam.contamination(keyed, load(spark, sf_dir, "benchmark"), KEY)
     leaks = stage(found.filter("size(spans) > 0").select(F.col(KEY).alias("doc")).distinct())
     return jaccard.without(keyed, leaks, KEY).select(*docs.columns)

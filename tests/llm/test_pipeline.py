@@ -54,6 +54,18 @@ def test_run_as_brute_force(spark):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256, bytes(r.ids)) for r in got} == want and len(got) == len(want)
 
 
+def test_unlike_texts_of_one_id(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    leak = load(spark, SF, "benchmark").filter("length(text) > 80").first().text
+    rows = [(7, text("a")), (7, text("b")), (7, text("b")), (3, text("b") + " more"), (8, text("c")), (9, text("c") + " more"), (9, text("d")), (5, text("e")), (5, text("e") + " more")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.one_of_each_group(spark, docs, SF).collect()
+    first = sorted((r.doc_id, r.text.split()[0]) for r in got)
+    assert first == [(3, "b0"), (5, "e0"), (7, "a0"), (8, "c0"), (9, "d0")]
+    leaky = spark.createDataFrame([(7, text("a"), "en", "s", 1), (7, leak, "en", "s", 1)], docs.schema)
+    assert [r.text for r in corpus_pipeline.drop_contaminated(spark, leaky, SF).collect()] == [text("a")]
+
+
 def test_odd_rows_in_every_stage(spark):
     real = load(spark, SF, "documents")
     plain = next(r.text for r in real.collect() if r.n_chars > 500)
