@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spiketide.llm import bpe, chat, decontam, html_main, jaccard, quality_rules, ranking, secrets, token_counts, toxicity
+from spiketide.llm import bpe, chat, decontam, html_main, jaccard, merkle, quality_rules, ranking, secrets, token_counts, toxicity
 from spiketide.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,3 +256,80 @@ def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(ranking.crc("doc_id") % 5 == 0, F.lit(False))
     fitted = ranking.fit(docs, labels, ~held_out)
     return ranking.score(docs, fitted).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@_add
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tampered = F.when(ranking.crc("doc_id") % 5 == 0, F.translate("text", capitals, small)).otherwise(F.col("text"))
+    rows = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], changed={"text": tampered})
+    rows = rows.withColumn("folded_root", merkle.fold(F.col("changed"), F.col("path")))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _merkle_sql() -> str:
+    def part(col: str) -> str:
+        return f"coalesce(strlen(CAST({col} AS VARCHAR)) || ':' || CAST({col} AS VARCHAR), '-')"
+
+    def digest(text: str) -> str:
+        return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    return f"""
+WITH RECURSIVE bits AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s,
+         list_transform(range(0, 8 * len(CAST(doc_id AS VARCHAR))),
+                        lambda i: CAST((ascii(substr(CAST(doc_id AS VARCHAR), CAST(i // 8 + 1 AS BIGINT), 1)) >> CAST(i % 8 AS INTEGER)) & 1 AS BIGINT)) AS b
+  FROM documents),
+crc AS (
+  SELECT DISTINCT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+                                 lambda c, x: xor(c >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295) AS crc FROM bits),
+d AS MATERIALIZED (
+  SELECT documents.*, {digest("text")} AS leaf,
+         CASE WHEN crc % 5 = 0 THEN {digest("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {digest("text")} END AS seen,
+         row_number() OVER (PARTITION BY source ORDER BY documents.doc_id) - 1 AS k, count(*) OVER (PARTITION BY source) AS n
+  FROM documents JOIN crc USING (doc_id)),
+low AS (
+  SELECT 0 AS level, source, k, n, leaf AS h FROM d
+  UNION ALL
+  SELECT any_value(level) + 1, source, k // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY k)) FROM low WHERE n > 1 GROUP BY source, k // 16),
+subroots AS MATERIALIZED (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS k, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, k, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT any_value(level) + 1, k // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY k)) FROM high WHERE n > 1 GROUP BY k // 16),
+nodes AS MATERIALIZED (
+  SELECT level, source, k, n, h, true AS inside FROM low UNION ALL SELECT level, NULL, k, n, h, false FROM high),
+heights AS (SELECT source, max(level) AS height FROM low GROUP BY source),
+steps AS (
+  SELECT d.doc_id, l.level AS step, d.source, true AS inside, l.level AS level, d.k // CAST(pow(16, l.level) AS BIGINT) AS k
+  FROM d JOIN heights t ON t.source IS NOT DISTINCT FROM d.source, (SELECT DISTINCT level FROM low) l WHERE l.level < t.height
+  UNION ALL
+  SELECT d.doc_id, t.height + l.level, NULL, false, l.level, s.k // CAST(pow(16, l.level) AS BIGINT)
+  FROM d JOIN heights t ON t.source IS NOT DISTINCT FROM d.source JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source, (SELECT DISTINCT level FROM high WHERE n > 1) l),
+sides AS MATERIALIZED (
+  SELECT a.doc_id, a.step, coalesce(string_agg(o.h, '' ORDER BY o.k) FILTER (o.k < a.k), '') AS lefts, coalesce(string_agg(o.h, '' ORDER BY o.k) FILTER (o.k > a.k), '') AS rights
+  FROM steps a JOIN nodes o ON o.inside = a.inside AND o.level = a.level AND o.source IS NOT DISTINCT FROM a.source AND o.k // 16 = a.k // 16
+  GROUP BY a.doc_id, a.step),
+fold AS (
+  SELECT doc_id, 0 AS step, seen AS h FROM d
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(lefts || f.h || rights) FROM fold f JOIN sides s ON s.doc_id = f.doc_id AND s.step = f.step),
+ends AS (SELECT doc_id, arg_max(h, step) AS folded_root FROM fold GROUP BY doc_id),
+proofs AS (SELECT doc_id, sha256(string_agg(lefts || rights, '' ORDER BY step)) AS p FROM sides GROUP BY doc_id),
+top AS (SELECT h AS root FROM high WHERE n = 1)
+SELECT d.doc_id, leaf, subroot, root, coalesce(p, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source CROSS JOIN top JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id)
+"""
+
+
+SQL["op11_merkle_manifest"] = _merkle_sql()
