@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spiketide.llm import bpe, chat, decontam, html_main, jaccard, merkle, quality_rules, ranking, secrets, token_counts, toxicity
+from spiketide.llm import alignment, bpe, chat, decontam, html_main, jaccard, merkle, quality_rules, ranking, secrets, token_counts, toxicity
 from spiketide.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -333,3 +333,13 @@ FROM d JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source CROSS JOIN top
 
 
 SQL["op11_merkle_manifest"] = _merkle_sql()
+
+
+@_add
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.counted(alignment.align(load(spark, sf_dir, "documents"), a, b))
+    counts = "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"
+    return found.select(F.col("id").alias("doc_id"), *counts, "groups_sha256")
