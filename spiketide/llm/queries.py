@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spiketide.llm import alignment, bpe, chat, decontam, html_main, jaccard, merkle, quality_rules, ranking, secrets, token_counts, toxicity
+from spiketide.llm import alignment, bpe, chat, decontam, html_main, jaccard, language, merkle, quality_rules, ranking, secrets, token_counts, toxicity
 from spiketide.llm.frames import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,6 +276,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: crc32 of the decimal id, bit by bit
+_CRC_SQL = """bits AS (
+  SELECT DISTINCT doc_id,
+         list_transform(range(0, 8 * len(CAST(doc_id AS VARCHAR))),
+                        lambda i: CAST((ascii(substr(CAST(doc_id AS VARCHAR), CAST(i // 8 + 1 AS BIGINT), 1)) >> CAST(i % 8 AS INTEGER)) & 1 AS BIGINT)) AS b
+  FROM documents),
+crc AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, x: xor(c >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295) AS crc
+  FROM bits)"""
+
+
 def _merkle_sql() -> str:
     def part(col: str) -> str:
         return f"coalesce(strlen(CAST({col} AS VARCHAR)) || ':' || CAST({col} AS VARCHAR), '-')"
@@ -284,14 +295,7 @@ def _merkle_sql() -> str:
         return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
 
     return f"""
-WITH RECURSIVE bits AS (
-  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s,
-         list_transform(range(0, 8 * len(CAST(doc_id AS VARCHAR))),
-                        lambda i: CAST((ascii(substr(CAST(doc_id AS VARCHAR), CAST(i // 8 + 1 AS BIGINT), 1)) >> CAST(i % 8 AS INTEGER)) & 1 AS BIGINT)) AS b
-  FROM documents),
-crc AS (
-  SELECT DISTINCT doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
-                                 lambda c, x: xor(c >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295) AS crc FROM bits),
+WITH RECURSIVE {_CRC_SQL},
 d AS MATERIALIZED (
   SELECT documents.*, {digest("text")} AS leaf,
          CASE WHEN crc % 5 = 0 THEN {digest("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {digest("text")} END AS seen,
@@ -343,3 +347,40 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.counted(alignment.align(load(spark, sf_dir, "documents"), a, b))
     counts = "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"
     return found.select(F.col("id").alias("doc_id"), *counts, "groups_sha256")
+
+
+@_add
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = F.coalesce(ranking.crc("doc_id") % 3 == 1, F.lit(False))
+    found = language.predict(docs, language.profiles(docs, ~held_out))
+    held_out = F.coalesce(ranking.crc("id") % 3 == 1, F.lit(False))
+    return found.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
+
+
+SQL["op12_language_id"] = rf"""
+WITH {_CRC_SQL},
+d AS MATERIALIZED (
+  SELECT documents.doc_id, lang, coalesce(crc % 3 = 1, false) AS held_out,
+         CASE WHEN regexp_matches(text, '\p{{L}}') THEN string_split(' ' || trim(regexp_replace(lower(text), '[^\p{{L}}\p{{M}}]+', ' ', 'g')) || ' ', '') END AS c
+  FROM documents LEFT JOIN crc USING (doc_id)),
+places AS (SELECT doc_id, c, unnest(range(1, len(c))) AS i FROM d WHERE c IS NOT NULL),
+grams AS MATERIALIZED (
+  SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest([c[i], c[i] || c[i + 1], c[i] || c[i + 1] || c[i + 2]]) AS gram FROM places)
+  WHERE gram <> ' ' GROUP BY ALL),
+own AS MATERIALIZED (SELECT doc_id, gram, r FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, gram) - 1 AS r FROM grams) WHERE r < {language.PROFILE}),
+picked AS (
+  SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) AS k
+                            FROM (SELECT DISTINCT doc_id, lang FROM d WHERE NOT held_out AND doc_id IS NOT NULL AND lang IS NOT NULL))
+  WHERE k <= {language.SAMPLE_PER_LANG}),
+listed AS MATERIALIZED (
+  SELECT lang, gram, r FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, gram) - 1 AS r FROM grams JOIN picked USING (doc_id) GROUP BY lang, gram)
+  WHERE r < {language.PROFILE}),
+away AS (
+  SELECT o.doc_id, l.lang, sum(coalesce(abs(p.r - o.r), {language.PROFILE})) AS away, count(*) AS n
+  FROM own o CROSS JOIN (SELECT DISTINCT lang FROM listed) l LEFT JOIN listed p ON p.lang = l.lang AND p.gram = o.gram GROUP BY ALL),
+best AS (SELECT * FROM away QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY away, lang) = 1)
+SELECT d.doc_id, held_out, coalesce(best.lang, '{language.UNKNOWN}') AS lang_pred,
+       coalesce(1 - CAST(away AS DOUBLE) / CAST({language.PROFILE} * n AS DOUBLE), 0) AS score
+FROM d LEFT JOIN best USING (doc_id)
+"""
