@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_own_dirs: dict[str, str] = {}  # folders made for local applications, by application
 
 
 def local_session(cores: str | int = "*", app: str = "spiketide", partitions: int = 8) -> SparkSession:
@@ -37,9 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="spiketide-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_KEY, made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="spiketide-", dir="/tmp")
+    return _own_dirs[app]
 
 
 def stage(df: DataFrame) -> DataFrame:
