@@ -18,7 +18,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -44,7 +45,8 @@ SHIFT = 20  # a pair of ids in one number: A's id above, B's below
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Between a visible character and one space that a visible character follows, both tokenizers end a token.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n |^\s|\s$")
+_RARE_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+JOINED = 128  # new words that are cut together
 
 
 def read_byte_level(path: str) -> dict[bytes, int]:
@@ -80,7 +82,8 @@ def words_of(text: str) -> list[str]:
     """Parts of a text that stand behind one space each, the first behind the space put before the text."""
     if not text:
         return []
-    return _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+    odd = text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or any(c in text for c in _RARE_SPACE)
+    return _CUT.split(text) if odd else text.split(" ")
 
 
 def crossings(a: np.ndarray, b: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,16 +111,15 @@ def common_in_piece(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def common_ends(a: np.ndarray, b: np.ndarray, step: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``a`` and in ``b`` of all equal ends: pieces by themselves, then what the diagonals have parted."""
     i, j = crossings(a, b, step)
-    found = []
+    found = [(np.empty(0, "i8"), np.empty(0, "i8"))]
     for k in range(len(i) - 1):
         x, y = common_in_piece(a[i[k] : i[k + 1]], b[j[k] : j[k + 1]])
         found.append((x + i[k], y + j[k]))
-    parted = np.flatnonzero((i > 0) & (j < len(b)))
-    parted = parted[a[i[parted] - 1] == b[j[parted]]]
-    found.append((i[parted] - 1, j[parted]))
+        p, q = i[k + 1], j[k + 1]
+        if p and q < len(b) and a[p - 1] == b[q]:  # one end on either side of the diagonal
+            found.append((np.array([p - 1]), np.array([q])))
     left, right = (np.concatenate(side) for side in zip(*found))
-    order = np.argsort(left, kind="stable")
-    return left[order], right[order]
+    return left, right
 
 
 class Side(NamedTuple):
@@ -128,14 +130,12 @@ class Side(NamedTuple):
     n: np.ndarray
 
     @classmethod
-    def of(cls, words: list[list[int]]) -> Side:
-        n = np.fromiter(map(len, words), "i8", len(words))
-        flat = np.fromiter((t for w in words for t in w), "i8", int(n.sum()))
-        return cls(flat, np.cumsum(n) - n, n)
+    def empty(cls) -> Side:
+        return cls(*(np.empty(0, "i8") for _ in range(3)))
 
-    def more(self, words: list[list[int]]) -> Side:
-        new = Side.of(words)
-        return Side(*(np.concatenate(x) for x in ((self.ids, new.ids), (self.start, new.start + len(self.ids)), (self.n, new.n))))
+    def more(self, ids: np.ndarray, n: np.ndarray) -> Side:
+        start = np.cumsum(n) - n + len(self.ids)
+        return Side(*(np.concatenate(x) for x in ((self.ids, ids), (self.start, start), (self.n, n))))
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the words at ``at``, and how many each has."""
@@ -180,7 +180,7 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.side_a, self.side_b = Side.of([]), Side.of([])
+        self.side_a, self.side_b = Side.empty(), Side.empty()
         self.bad: set[str] = set()
 
     def learn(self, words: list[str]) -> bool:
@@ -189,19 +189,45 @@ class Aligner:
             self.forget()
         different = set(words)
         if new := [w for w in different if w not in self.known]:
-            cut_a, cut_b = [self.a(" " + w) for w in new], self.b.encode(new, num_threads=1)
-            for w, x, y in zip(new, cut_a, cut_b):
-                raw = (" " + w).encode()
-                if b"".join(map(self.bytes_a.__getitem__, x)) != raw or b"".join(map(self.bytes_b.__getitem__, y)) != raw:
-                    self.bad.add(w)
+            smooth = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+            parts = [smooth[k : k + JOINED] for k in range(0, len(smooth), JOINED)]
+            if len(smooth) < len(new):
+                joinable = set(smooth)
+                parts += [[w] for w in new if w not in joinable]
+            new = [w for part in parts for w in part]
             first = len(self.known)
             self.known.update(zip(new, range(first, first + len(new))))
-            self.side_a, self.side_b = self.side_a.more(cut_a), self.side_b.more(cut_b)
+            texts = [" ".join(part) for part in parts]
+            cut_a, cut_b = [self.a(" " + t) for t in texts], self.b.encode(texts, num_threads=1)
+            raw = [(" " + t).encode() for t in texts]
+            if self.gives(cut_a, self.bytes_a, raw) and self.gives(cut_b, self.bytes_b, raw):
+                ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in new), "i8", len(new)))
+            else:
+                cut_a, cut_b = self.one_by_one(new)
+                ends = None
+            for name, cut, size in (("side_a", cut_a, self.size_a), ("side_b", cut_b, self.size_b)):
+                ids = np.fromiter(chain.from_iterable(cut), "i8", sum(map(len, cut)))
+                words_end = np.cumsum(list(map(len, cut))) if ends is None else np.searchsorted(np.cumsum(size[ids]), ends, "right")
+                setattr(self, name, getattr(self, name).more(ids, np.diff(words_end, prepend=0)))
         return self.bad.isdisjoint(different) if self.bad else True
 
+    @staticmethod
+    def gives(cut: list[list[int]], token: Mapping[int, bytes] | list[bytes], raw: list[bytes]) -> bool:
+        return all(b"".join(map(token.__getitem__, ids)) == r for ids, r in zip(cut, raw))
+
+    def one_by_one(self, words: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Tokens of each word; a word that does not come back is marked and has none."""
+        cut_a, cut_b = [self.a(" " + w) for w in words], self.b.encode(words, num_threads=1)
+        for k, w in enumerate(words):
+            raw = [(" " + w).encode()]
+            if not (self.gives([cut_a[k]], self.bytes_a, raw) and self.gives([cut_b[k]], self.bytes_b, raw)):
+                self.bad.add(w)
+                cut_a[k] = cut_b[k] = []
+        return cut_a, cut_b
+
     def merged(self, parts: list[list[str]]) -> list[Part]:
         """Word lists, whose words are known and good, merged in one go."""
-        at = np.fromiter((self.known[w] for p in parts for w in p), "i8", sum(map(len, parts)))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), "i8", sum(map(len, parts)))
         a, per_word_a = self.side_a.gather(at)
         b, per_word_b = self.side_b.gather(at)
         i, j = common_ends(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
@@ -242,25 +268,25 @@ class Chunk:
     def __init__(self, schema: pa.Schema, keep_groups: bool):
         self.schema, self.keep_groups = schema, keep_groups
         self.rows: list[tuple] = []
-        self.links: list[np.ndarray] = []
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []  # distinct pairs of a document in order, and their counts
         self.size = 0
 
     def add(self, key, parts: list[Part], digest: str, groups: str | None, size: int) -> None:
-        links = [p.links for p in parts]
-        self.links.append(np.concatenate(links) if links else np.empty(0, "i8"))
-        n = len(self.links[-1])
+        links = np.concatenate([p.links for p in parts]) if parts else np.empty(0, "i8")
+        self.links.append(np.unique(links, return_counts=True))
+        n = len(links)
         self.rows.append((key, sum(p.n_a for p in parts), sum(p.n_b for p in parts), n, n, digest, groups))
         self.size += size
 
     def batches(self, number: int) -> Iterator[pa.RecordBatch]:
         """Pairs of the chunk with their numbers and counts, and the documents with numbers in place of pairs."""
-        pairs, at, counts = np.unique(np.concatenate(self.links), return_inverse=True, return_counts=True)
+        pairs, at = np.unique(np.concatenate([p for p, _ in self.links]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([n for _, n in self.links]), len(pairs)).astype("i8")
         yield self.batch(len(pairs), chunk=[number] * len(pairs), idx=np.arange(len(pairs), dtype="i4"), pair=pairs, n=counts)
         packed, low = [], 0
-        for links in self.links:
-            idx, n = np.unique(at[low : low + len(links)], return_counts=True)
-            low += len(links)
-            packed.append(pack(idx, n))
+        for own, n in self.links:
+            packed.append(pack(at[low : low + len(own)], n))
+            low += len(own)
         names = ["id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups"]
         values = dict(zip(names, map(list, zip(*self.rows))))
         yield self.batch(len(self.rows), chunk=[number] * len(self.rows), links=packed, **values)
