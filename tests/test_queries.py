@@ -22,7 +22,10 @@ def narrow(spark):
     spark.conf.unset("spark.spiketide.chunkWidth")
 
 
-@pytest.mark.parametrize("name", list(catalog.PLANS))
+LONG = [n for n in catalog.PLANS if n.startswith("kmeans_") and n != "kmeans_restarts"]  # smaller studies are in test_kmeans
+
+
+@pytest.mark.parametrize("name", [n for n in catalog.PLANS if n not in LONG])
 def test_query(spark, con, name):
     assert oracle.compare(spark, con, name, SF) == []
 
@@ -41,7 +44,8 @@ def test_entry(spark):
 
 ORDERED = (
     "cv_isi lead_lag_ratio rle_states gap_fill absorb_short interval_stab peaks_nearest session_bursts event_response "
-    "joint_presence_2x2 lagged_joint_hist cross_corr te_shift_surrogates motif_chunks linear_interpolation gaussian_smooth"
+    "joint_presence_2x2 lagged_joint_hist cross_corr te_shift_surrogates motif_chunks linear_interpolation gaussian_smooth "
+    "peak_prominence peak_prominence_hot frame_spectrum row_spectrum band_motifs"
 ).split()
 
 
