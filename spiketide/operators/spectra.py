@@ -70,7 +70,8 @@ def frame_spectrum(df: DataFrame, track: Track, value: str, width: int, hop: int
         n, x = table[pos].to_numpy(), table["_v"].to_numpy()
         own = table["_own"].to_numpy(zero_copy_only=False)
         first = int(n[0])
-        frames = np.arange(-(-first // hop), int(n[own][-1]) // hop + 1)
+        last = int(n[own][-1]) if own.any() else first - 1  # copies alone: there is no chunk before the first
+        frames = np.arange(-(-first // hop), last // hop + 1)
         at = frames * hop - first
         frames, at = frames[at + width < len(x)], at[at + width < len(x)]
         cuts = x[at[:, None] + np.arange(width)] if len(at) else np.empty((0, width))
