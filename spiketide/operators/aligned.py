@@ -58,21 +58,25 @@ def joint_presence(hits: DataFrame, first: str, second: str, trigger_keys: Seque
     if bins > 64:
         raise ValueError("a presence mask has 64 bins at most")
     masks = hits.groupBy(*trigger_keys).agg(mask(first).alias("m1"), mask(second).alias("m2"))
-    kinds = masks.groupBy("m1", "m2").agg(F.count("*").alias("k"))
-    spread = kinds.select("k", "m2", "m1", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("b1")).select(
-        "k", "m2", "b1", F.getbit("m1", F.col("b1")).cast("bigint").alias("s1")
+    return joint_table(masks.groupBy("m1", "m2").agg(F.count("*").alias("k")), bins)
+
+
+def joint_table(kinds: DataFrame, bins: int, by: Sequence[str] = ()) -> DataFrame:
+    """``by, b1, b2, s1, s2, n`` from counts ``k`` of presence masks (by, m1, m2)."""
+    spread = kinds.select(*by, "k", "m2", "m1", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("b1")).select(
+        *by, "k", "m2", "b1", F.getbit("m1", F.col("b1")).cast("bigint").alias("s1")
     )
     bit = [F.sum(F.when(F.getbit("m2", F.lit(j)) == 1, F.col("k")).otherwise(F.lit(0))).alias(f"_{j}") for j in range(bins)]
-    wide = spread.groupBy("b1", "s1").agg(F.sum("k").alias("_k"), *bit)
+    wide = spread.groupBy(*by, "b1", "s1").agg(F.sum("k").alias("_k"), *bit)
     cells = F.array(*[F.struct(F.lit(j).alias("b2"), F.col(f"_{j}").alias("on")) for j in range(bins)])
     states = F.array(
         F.struct(F.lit(1).cast("bigint").alias("s2"), F.col("c.on").alias("n")),
         F.struct(F.lit(0).cast("bigint").alias("s2"), (F.col("_k") - F.col("c.on")).alias("n")),
     )
     return (
-        wide.select("b1", "s1", "_k", F.explode(cells).alias("c"))
-        .select("b1", "s1", "c.b2", F.explode(states).alias("s"))
-        .select(F.col("b1").cast("bigint").alias("b1"), F.col("b2").cast("bigint").alias("b2"), "s1", "s.s2", "s.n")
+        wide.select(*by, "b1", "s1", "_k", F.explode(cells).alias("c"))
+        .select(*by, "b1", "s1", "c.b2", F.explode(states).alias("s"))
+        .select(*by, F.col("b1").cast("bigint").alias("b1"), F.col("b2").cast("bigint").alias("b2"), "s1", "s.s2", "s.n")
         .filter("n > 0")
     )
 
