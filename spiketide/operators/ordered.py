@@ -196,3 +196,18 @@ def halo(df: DataFrame, track: Track, behind: int = 0, ahead: int = 0) -> tuple[
 def own(df: DataFrame) -> DataFrame:
     """Drop the border copies made by ``halo``."""
     return df.filter("_own").drop("_own", CHUNK)
+
+
+def dense_rank_of_all(df: DataFrame, order: Sequence[str], name: str = "rank") -> DataFrame:
+    """Place 0, 1, 2 ... of every row among all rows of a table, by columns that tell the rows apart.
+
+    Rows are dealt by ranges, so no task sees more than its range; places
+    follow from one count for each range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = stage(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))  # one row a range
+    base = stage(sizes.select("_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_base")))
+    return placed.join(base, "_part").withColumn(name, F.col("_at") + F.col("_base")).drop("_at", "_part", "_base")
