@@ -35,7 +35,7 @@ def drawn_chunks(chunks: DataFrame, rounds: int, draws: int, seed: int) -> DataF
     count = chunks.agg(F.count("*")).scalar()
     spark = chunks.sparkSession
     each = spark.range(rounds * draws).select(F.expr(f"id div {draws}").alias("round"), (F.col("id") % draws).alias("_d"), F.lit(seed).alias("_s"))
-    hit = F.pmod(rank_hash("round", "_d", "_s"), count)
+    hit = F.try_mod(rank_hash("round", "_d", "_s"), count)  # null without chunks
     return each.select("round", hit.alias("rank")).filter("rank is not null").groupBy("round", "rank").agg(F.count("*").alias("times"))
 
 
