@@ -94,7 +94,9 @@ def active_information(df: DataFrame, track: Track, value: str, size: int, lags:
     samples = chunks_of(df.select(*keys, track.pos, F.col(value).cast("double").alias("_v")), track, size)
     w = W.partitionBy(*keys, "chunk").orderBy(track.pos)
     led = samples.select("*", *[F.lead("_v", k).over(w).alias(f"_{k}") for k in lags]).filter(F.col(track.pos) % size < n)
-    wide = led.groupBy(*keys, "chunk").agg(*[F.corr("_v", f"_{k}").alias(f"r{k}") for k in lags])
+    wide = led.groupBy(*keys, "chunk").agg(
+        *[F.try_divide(F.covar_pop("_v", f"_{k}"), F.stddev_pop("_v") * F.stddev_pop(f"_{k}")).alias(f"r{k}") for k in lags]
+    )
     rows = wide.select(F.inline(F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"r{k}").alias("r")) for k in lags])))
     half = F.lit(n / 2.0)
     bias = (digamma(half - 1.0) - digamma(half - 0.5)) / 2
