@@ -22,7 +22,7 @@ def narrow(spark):
     spark.conf.unset("spark.spiketide.chunkWidth")
 
 
-LONG = [n for n in catalog.PLANS if n.startswith("kmeans_") and n != "kmeans_restarts"]  # smaller studies are in test_kmeans
+LONG = [n for n in catalog.PLANS if n.startswith(("kmeans_", "nmf_")) and n != "kmeans_restarts"]  # shorter runs are in test_kmeans and test_nmf
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.PLANS if n not in LONG])
