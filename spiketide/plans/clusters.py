@@ -59,15 +59,14 @@ def gated_contingency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RUNS = """l AS (SELECT vec_id, CAST(label AS BIGINT) AS r0, vec_id % 10 AS r1,
-      list_position(embedding[1:10], list_max(embedding[1:10]))::BIGINT - 1 AS r2 FROM embeddings)"""
+      list_position(embedding, list_max(embedding))::BIGINT - 1 AS r2 FROM embeddings)"""
 
 
 def labelings(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.slice("embedding", 1, 10)
     return table(spark, sf, "embeddings").select(
         F.col("label").cast("bigint").alias("r0"),
         (F.col("vec_id") % 10).alias("r1"),
-        (F.array_position(head, F.array_max(head)) - 1).cast("bigint").alias("r2"),
+        (F.array_position("embedding", F.array_max("embedding")) - 1).cast("bigint").alias("r2"),
     )
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from spiketide.functions.columns import rounded
 from spiketide.operators import inference, segments
 from spiketide.operators.ordered import Track
+from spiketide.plans.clusters import SIL, scored
 from spiketide.plans.rates import EV, POP, pop_of
 from spiketide.plans.registry import query
-from spiketide.plans.tables import HOUR, T0, events, table
+from spiketide.plans.tables import HOUR, T0, events
 from spiketide.session import stage
 
 HOD = f"((t - {T0}) // {HOUR}) % 24"
@@ -151,34 +152,29 @@ def perm_test(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "top_percent_softmax",
-    """WITH p AS (SELECT CAST(label AS BIGINT) AS label, vec_id, embedding[1]::DOUBLE AS s FROM embeddings),
-    q AS (SELECT label, quantile_cont(s, 0.75) AS q FROM p GROUP BY label),
-    c AS (SELECT label, vec_id, exp(s) AS w, sum(exp(s)) OVER (PARTITION BY label ORDER BY vec_id) AS hi FROM p JOIN q USING (label) WHERE s >= q),
+    f"""WITH {SIL}, q AS (SELECT label, quantile_cont(s, 0.75) AS q FROM sil GROUP BY label),
+    c AS (SELECT label, vec_id, exp(s) AS w, sum(exp(s)) OVER (PARTITION BY label ORDER BY vec_id) AS hi FROM sil JOIN q USING (label) WHERE s >= q),
     r AS (SELECT label, vec_id, floor((hi - w) / max(hi) OVER (PARTITION BY label) * 1099511627776) AS lo FROM c),
-    d AS (SELECT l.label, d.d AS draw, ('0x' || substr(md5(l.label || ':42:' || d.d), 1, 8))::BIGINT * 256 AS pos
+    dw AS (SELECT l.label, d.d AS draw, ('0x' || substr(md5(l.label || ':42:' || d.d), 1, 8))::BIGINT * 256 AS pos
       FROM (SELECT DISTINCT label FROM p) l CROSS JOIN range(0, 200) d(d))
-    SELECT d.label, draw, arg_max(vec_id, lo) AS vec_id FROM d JOIN r ON r.label = d.label AND r.lo <= d.pos GROUP BY 1, 2""",
+    SELECT dw.label, draw, arg_max(vec_id, lo) AS vec_id FROM dw JOIN r ON r.label = dw.label AND r.lo <= dw.pos GROUP BY 1, 2""",
 )
 def top_percent_softmax(spark: SparkSession, sf: str) -> DataFrame:
-    """200 weighted draws per label among the points in the top quarter of a score."""
-    score = F.element_at("embedding", 1).cast("double")
-    pts = table(spark, sf, "embeddings").select(F.col("label").cast("bigint").alias("label"), "vec_id", score.alias("score"))
+    """200 weighted draws per label among the points in the top quarter of its silhouettes."""
+    pts = stage(scored(spark, sf).select("label", "vec_id", F.col("s").alias("score")))
     out = inference.softmax_draws(pts, ["label"], "vec_id", "score", top=0.25, draws=200, seed=42)
     return out.withColumn("draw", F.col("draw").cast("bigint"))
 
 
 @query(
     "best_mid_worst",
-    """WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY embedding[1], vec_id) AS k,
-      count(*) OVER (PARTITION BY label) AS n FROM embeddings)
-    SELECT CAST(label AS BIGINT) AS label, vec_id, CASE WHEN k <= 2 THEN 'worst' WHEN k > n - 2 THEN 'best' ELSE 'mid' END AS pick
+    f"""WITH {SIL}, r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY s, vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM sil)
+    SELECT label, vec_id, CASE WHEN k <= 2 THEN 'worst' WHEN k > n - 2 THEN 'best' ELSE 'mid' END AS pick
     FROM r WHERE k <= 2 OR k > n - 2 OR k IN (n // 2, n // 2 + 1)""",
 )
 def best_mid_worst(spark: SparkSession, sf: str) -> DataFrame:
-    """The two lowest, two middle and two highest scores of each label."""
+    """The two lowest, two middle and two highest silhouettes of each label."""
     from spiketide.operators.clusters import picks
 
-    pts = table(spark, sf, "embeddings").select(
-        F.col("label").cast("bigint").alias("label"), "vec_id", F.element_at("embedding", 1).alias("score")
-    )
+    pts = stage(scored(spark, sf).select("label", "vec_id", F.col("s").alias("score")))
     return picks(pts, "label", "vec_id", "score", 2)
