@@ -11,8 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from spiketide.functions.columns import rank_hash
-from spiketide.operators.lagged import lagged_joint
-from spiketide.operators.ordered import Track
 
 
 WORD = 32  # rounds that one hash of a unit decides
@@ -44,25 +42,6 @@ def half_samples(joint: DataFrame, mask: str, rounds: int) -> DataFrame:
     return wide.select(*cells, F.inline(rows)).filter("n > 0")
 
 
-def rotated(df: DataFrame, track: Track, x: str, y: str, rounds: int) -> DataFrame:
-    """(keys, round, pos, x, y) with x rotated against y within every unit, once per round.
-
-    The rotation of a unit is a hash of unit and round.  The moved samples of x
-    meet y at (unit, position), so no unit is gathered and y is sent only once.
-    """
-    keys, pos = list(track.keys), track.pos
-    length = df.groupBy(*keys).agg(F.count("*").alias("_len"))
-    copies = df.join(length, keys).select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"))
-    moved = F.pmod(F.col(pos) - F.pmod(rank_hash(*keys, "round"), F.col("_len")), F.col("_len"))
-    sent = copies.select(*keys, F.col("round").cast("bigint").alias("round"), moved.alias(pos), x)
-    return sent.join(df.select(*keys, pos, y), [*keys, pos])
-
-
-def shifted_joint(df: DataFrame, track: Track, x: str, y: str, lags: int, rounds: int) -> DataFrame:
-    """Lagged joint counts of the rotated signals, per round."""
-    return lagged_joint(rotated(df, track, x, y, rounds), track.within("round"), x, y, lags, by=["round"])
-
-
 def above_chance(seen: DataFrame, chance: DataFrame, cells: Sequence[str], rounds: int, level: float) -> DataFrame:
     """Cells counted more often than the ``level`` quantile of their counts by chance: (cells, n, th, above).
 

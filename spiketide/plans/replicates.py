@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spiketide.functions.columns import rounded
-from spiketide.operators import aligned, clusters, graphs, lagged, replicates, segments, signals
+from spiketide.operators import aligned, clusters, graphs, lagged, replicates, rotations, segments, signals
 from spiketide.operators.ordered import Track
 from spiketide.plans.clusters import CONSENSUS, labelings
 from spiketide.plans.joins import BINNED, EDGES, PROBE, _binned, _responses, event_response, event_response_control, time_track
@@ -55,7 +55,7 @@ def te_rounds(spark: SparkSession, sf: str) -> DataFrame:
 
 def te_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     df, tr = _binned(spark, sf)
-    return lagged.transfer_entropy(replicates.shifted_joint(stage(df), tr, "xb", "yb", LAGS, ROUNDS), BY)
+    return lagged.transfer_entropy(rotations.rotated_counts(stage(df), tr, "xb", "yb", LAGS, ROUNDS), BY)
 
 
 @query("te_half_samples", f"WITH {BINNED}, {JOINT}, {te_sql('te', 'hs')} SELECT round, lag, dir, round(te, 8) AS te FROM te")
@@ -310,7 +310,7 @@ def cooccurrence_significance(spark: SparkSession, sf: str) -> DataFrame:
     df, tr = _binned(spark, sf)
     df = stage(df)
     seen = df.groupBy("xb", "yb").agg(F.count("*").alias("n"))
-    chance = replicates.rotated(df, tr, "xb", "yb", ROUNDS).groupBy("round", "xb", "yb").agg(F.count("*").alias("n"))
+    chance = rotations.rotated_counts(df, tr, "xb", "yb", 0, ROUNDS).select("round", F.col("x").alias("xb"), F.col("y").alias("yb"), "n")
     out = replicates.above_chance(seen, chance, ["xb", "yb"], ROUNDS, 0.9)
     return out.select("xb", "yb", "n", rounded("th").alias("th"), "above")
 
