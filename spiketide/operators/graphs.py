@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,28 +52,34 @@ def threshold_clusters(matrix: DataFrame, level: float) -> DataFrame:
 def random_edges(posts: DataFrame, pres: DataFrame, degree: int, seed: int) -> DataFrame:
     """``degree`` distinct sources, drawn by hash from the keys of ``pres`` (pre), for every row of ``posts`` (post): (pre, post).
 
-    A node draws with repetition, eight times as often as it needs, keeps the first
-    occurrences, and never links to itself.  Where the sources are so few that draws may run out it
-    takes all of them in a hashed order.  Sources are numbered inside ranges of
-    their keys, so no task sees all of them.
+    A node draws with repetition, keeps the first occurrences and never links
+    to itself.  Nodes that have drawn too few draw on, four times as often in
+    every round, until they have ``degree`` sources or all there are.  Sources
+    are numbered inside ranges of their keys, so no task sees all of them.
     """
     pres = pres.select("pre").distinct()
     numbered, n = dense_rank(pres, "pre")
-    few = n < 2 * degree
-    if few:
-        listed = sorted(r.pre for r in pres.collect())  # fewer than 2 x degree keys
-        if not listed:
-            return posts.select(F.col("post").alias("pre"), "post").limit(0)
-        keys = F.array(*(F.lit(p).cast(pres.schema["pre"].dataType) for p in listed))
-        ranked = F.array_sort(F.transform(keys, lambda p: F.struct(F.xxhash64(p, F.col("post"), F.lit(seed)).alias("h"), p.alias("p"))))
-        drawn = F.slice(F.filter(F.transform(ranked, lambda s: s["p"]), lambda p: p != F.col("post")), 1, degree)
-        return posts.select(F.explode(drawn).alias("pre"), "post")
-    draws = posts.select("post", F.explode(F.sequence(F.lit(0), F.lit(8 * degree - 1))).alias("_j")).withColumn("_seed", F.lit(seed))
-    index = F.pmod(rank_hash("post", "_j", "_seed"), F.lit(n).cast("bigint"))
-    first = draws.withColumn("_i", index).groupBy("post", "_i").agg(F.min("_j").alias("_j"))
-    found = first.join(numbered, "_i").filter("pre <> post")
-    kept = found.groupBy("post").agg(F.slice(F.array_sort(F.collect_list(F.struct("_j", "pre"))), 1, degree).alias("_d"))  # 8 x degree at most
-    return kept.select(F.explode("_d.pre").alias("pre"), "post")
+    numbered = stage(numbered)
+    if not n:
+        return posts.select(F.col("post").alias("pre"), "post").limit(0)
+    own = pres.select(F.col("pre").alias("post"), F.lit(1).alias("_own"))
+    open_ = stage(posts.select("post").distinct().join(own, "post", "left").select("post", F.least(F.lit(degree), n - F.coalesce("_own", F.lit(0))).alias("_want")))
+    kept, draws = [], 8 * degree
+    while True:
+        drawn = open_.select("post", "_want", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_j")).withColumn("_seed", F.lit(seed))
+        index = F.pmod(rank_hash("post", "_j", "_seed"), F.lit(n).cast("bigint"))
+        first = drawn.withColumn("_i", index).groupBy("post", "_want", "_i").agg(F.min("_j").alias("_j"))
+        found = first.join(numbered, "_i").filter("pre <> post")
+        top = F.slice(F.array_sort(F.collect_list(F.struct("_j", "pre"))), F.lit(1), F.col("_want"))  # as many as draws at most
+        listed = stage(found.groupBy("post", "_want").agg(top.alias("_d")))
+        done = listed.filter(F.size("_d") >= F.col("_want"))
+        kept.append(done.select(F.explode("_d.pre").alias("pre"), "post"))
+        open_ = stage(open_.filter("_want > 0").join(done, "post", "left_anti"))
+        if open_.isEmpty():
+            break
+        draws *= 4
+    edges = reduce(DataFrame.union, kept)
+    return posts.join(edges, "post").select("pre", "post")
 
 
 def dense_rank(keys: DataFrame, key: str) -> tuple[DataFrame, int]:

@@ -154,7 +154,7 @@ def consensus_clusters(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "random_edges",
     """WITH s AS (SELECT s_suppkey AS pre, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier),
-    d AS (SELECT p_partkey AS post, j.j, (SELECT max(n) FROM s) AS n FROM part CROSS JOIN range(0, 40) j(j)),
+    d AS (SELECT p_partkey AS post, j.j, (SELECT max(n) FROM s) AS n FROM part CROSS JOIN range(0, 640) j(j)),
     h AS (SELECT post, j, ('0x' || substr(md5(post || ':' || j || ':11'), 1, 8))::BIGINT % n AS i FROM d),
     f AS (SELECT post, i, min(j) AS j FROM h GROUP BY post, i),
     r AS (SELECT post, pre, row_number() OVER (PARTITION BY post ORDER BY j) AS k FROM f JOIN s USING (i) WHERE pre <> post)

@@ -387,3 +387,36 @@ def test_labels_couplings_and_lookups(spark):
     jobs = sweeps.expand(spark, {"alpha": [0.0, 1.0], "beta": [0.5, 0.7]})
     named = {r["name"]: r["value"] for r in sweeps.job_parameters(jobs.select("job_id", "alpha", "beta"), 2).collect()}
     assert named == {"alpha": 1.0, "beta": 0.5}
+
+
+def test_random_edges_of_few_sources_do_not_run_out(spark):
+    from spiketide.operators import graphs
+
+    posts = spark.range(3000).withColumnRenamed("id", "post")
+    two = posts.filter("post < 2").withColumnRenamed("post", "pre")
+    got = {}
+    for a, b in graphs.random_edges(posts, two, 2, seed=3).collect():
+        got.setdefault(b, set()).add(a)
+    assert got == {k: {0, 1} - {k} for k in range(3000)}
+    seven = posts.filter("post < 7").withColumnRenamed("post", "pre")
+    eight = posts.filter("post < 8").withColumnRenamed("post", "pre")
+    assert all(len(set(s)) == 7 - (b < 7) for b, s in _by_post(graphs.random_edges(posts, seven, 7, seed=4)).items())
+    same = _by_post(graphs.random_edges(posts.repartition(7), eight, 3, seed=4)) == _by_post(graphs.random_edges(posts, eight, 3, seed=4))
+    assert same
+
+
+def _by_post(edges) -> dict:
+    out: dict = {}
+    for a, b in edges.orderBy("post", "pre").collect():
+        out.setdefault(b, []).append(a)
+    return out
+
+
+def test_row_counts_follow_the_data(spark, tmp_path):
+    from spiketide.plans import tables
+
+    path = f"{tmp_path}/events.parquet"
+    spark.range(5).write.parquet(path)
+    assert tables.row_count(spark, str(tmp_path), "events") == 5
+    spark.range(7).write.mode("append").parquet(path)
+    assert tables.row_count(spark, str(tmp_path), "events") == 12
