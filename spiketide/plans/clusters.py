@@ -234,6 +234,27 @@ def pca_cov(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.correlation_matrix(table(spark, sf, "lineitem", *MEASURES), MEASURES).withColumn("r", rounded("r", 8))
 
 
+REVENUES = (*MEASURES, "l_extendedprice * (1 - l_discount)", "l_extendedprice * (1 + l_tax)")
+GREEDY_LIMIT = 0.7
+
+
+@query(
+    "uncorrelated_features",
+    "WITH RECURSIVE r AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, abs(corr({a}, {b})) AS r FROM lineitem" for i, a in enumerate(REVENUES) for j, b in enumerate(REVENUES) if j < i)
+    + f"""), g(i, kept) AS (SELECT 0, [0] UNION ALL
+      SELECT g.i + 1, CASE WHEN (SELECT max(r) FROM r WHERE r.i = g.i + 1 AND list_contains(g.kept, r.j)) < {GREEDY_LIMIT} THEN list_append(g.kept, g.i + 1) ELSE g.kept END
+      FROM g WHERE g.i < {len(REVENUES) - 1})
+    SELECT CAST(unnest(kept) AS BIGINT) AS feature FROM g WHERE i = {len(REVENUES) - 1}""",
+)
+def uncorrelated_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features, in order, that stay below the limit of correlation with all kept before them."""
+    src = table(spark, sf, "lineitem", *MEASURES)
+    wide = src.select(*[F.expr(e).alias(f"f{i}") for i, e in enumerate(REVENUES)])
+    kept = clusters.uncorrelated_features(wide, wide.columns, GREEDY_LIMIT)
+    return spark.createDataFrame([(int(c[1:]),) for c in kept], "feature long")
+
+
 @query("principal_axes")
 def principal_axes(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.principal_axes(table(spark, sf, "lineitem", *MEASURES), MEASURES)
