@@ -24,22 +24,22 @@ def table(spark: SparkSession, sf: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def _state(spark: SparkSession, path: str) -> tuple[int, ...]:
-    """Bytes, files and time of the last change of a table's folder or file: another one means other data."""
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Place, bytes, files and time of the last change of a table's folder or file: another one means other data."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     size = fs.getContentSummary(at)
-    return size.getLength(), size.getFileCount(), fs.getFileStatus(at).getModificationTime()
+    return path, size.getLength(), size.getFileCount(), fs.getFileStatus(at).getModificationTime()
 
 
 def row_count(spark: SparkSession, sf: str, name: str) -> int:
     """Rows of a table, read from the file footers once for each state of its files."""
     path = f"{sf}/{name}.parquet"
-    return _row_count(spark, path, _state(spark, path))
+    return _row_count(spark, path, file_state(spark, path))
 
 
 @lru_cache(maxsize=256)
-def _row_count(spark: SparkSession, path: str, state: tuple[int, ...]) -> int:
+def _row_count(spark: SparkSession, path: str, state: tuple) -> int:
     return spark.read.parquet(path).count()
 
 
@@ -52,13 +52,13 @@ def chunk_width(spark: SparkSession, sf: str, name: str) -> int:
 
 
 @lru_cache(maxsize=256)
-def _hot_units(spark: SparkSession, sf: str, width: int, state: tuple[int, ...]) -> tuple[DataFrame | None, bool]:
+def _hot_units(spark: SparkSession, sf: str, width: int, state: tuple) -> tuple[DataFrame | None, bool]:
     return find_hot(events(spark, sf).select("u"), ["u"], width)
 
 
 def event_track(spark: SparkSession, sf: str) -> Track:
     width = chunk_width(spark, sf, "events")
-    hot, flat = _hot_units(spark, sf, width, _state(spark, f"{sf}/events.parquet"))
+    hot, flat = _hot_units(spark, sf, width, file_state(spark, f"{sf}/events.parquet"))
     return Track(("u",), "event_id", width, hot=hot, flat=flat)
 
 
