@@ -21,11 +21,14 @@ def stream(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
     """The events as a stream and the delay of its watermark.
 
     With ``spark.spiketide.filesPerBatch`` the input comes in several batches in
-    the order of file times, which may not be the order of events; then no event may be late.
+    the order of file times, which may not be the order of events.  ``spark.spiketide.delay`` bounds how late an event
+    may come and so how much state is kept; a later one stops the run with an error.  Without it no event is late.
     """
     per_batch = spark.conf.get("spark.spiketide.filesPerBatch", None)
     src = runs.event_stream(spark, f"{sf}/events.parquet", SCHEMA, int(per_batch) if per_batch else None)
-    delay = runs.whole_span(table(spark, sf, "events", "ts")) if per_batch else "1 hour"
+    delay = spark.conf.get("spark.spiketide.delay", None)
+    if not delay:
+        delay = runs.whole_span(table(spark, sf, "events", "ts")) if per_batch else "1 hour"
     return _narrow(src), delay
 
 

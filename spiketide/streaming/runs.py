@@ -35,10 +35,21 @@ def whole_span(table: DataFrame, time: str = "ts") -> str:
     return f"{((high or 0) - (low or 0)) // 1_000_000 + 1} seconds"
 
 
+class LateRows(ValueError):
+    """Rows came after the watermark had passed them, so the result lacks them."""
+
+
+PROGRESS_KEY = "spark.sql.streaming.numRecentProgressUpdates"
+BATCHES = 1_000_000  # batches whose dropped rows are remembered
+
+
 def _drain(query) -> None:
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    late = sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    if late:
+        raise LateRows(f"{late} late rows; a longer delay (spark.spiketide.delay) keeps them")
 
 
 def run_updates(out: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -48,6 +59,7 @@ def run_updates(out: DataFrame, keys: Sequence[str]) -> DataFrame:
     and the newest entry per key is the result.
     """
     spark = out.sparkSession
+    spark.conf.set(PROGRESS_KEY, BATCHES)
     base = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -72,6 +84,7 @@ def run_sessions(events: DataFrame, closing: DataFrame, plan: Callable[[DataFram
     it comes through a second folder, so it can only arrive last.
     """
     spark = events.sparkSession
+    spark.conf.set(PROGRESS_KEY, BATCHES)
     base = f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
     spark.createDataFrame([], closing.schema).write.parquet(f"{base}/closing")
     late = spark.readStream.schema(closing.schema).parquet(f"{base}/closing")

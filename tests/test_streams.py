@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spiketide import catalog
+from spiketide.streaming import runs
 from tests import oracle
 
 SF = f"{oracle.ROOT}/sf0.001"
@@ -38,6 +39,21 @@ def test_folder(spark, folder, name, per_batch):
     assert got == want and got
 
 
+@pytest.mark.parametrize("name", STREAMS)
+def test_a_bounded_delay_keeps_all_or_fails(spark, folder, name):
+    spark.conf.set("spark.spiketide.filesPerBatch", 1)
+    try:
+        spark.conf.set("spark.spiketide.delay", "400 days")
+        got = sorted(map(tuple, catalog.PLANS[name](spark, folder).collect()))
+        assert got == sorted(map(tuple, catalog.PLANS[name.removesuffix("_stream")](spark, SF).collect()))
+        spark.conf.set("spark.spiketide.delay", "1 hour")  # the latest events come first
+        with pytest.raises(runs.LateRows):
+            catalog.PLANS[name](spark, folder).collect()
+    finally:
+        spark.conf.unset("spark.spiketide.filesPerBatch")
+        spark.conf.unset("spark.spiketide.delay")
+
+
 @pytest.mark.parametrize("name", STREAMS)
 def test_no_file(spark, tmp_path, name):
     spark.createDataFrame([], "event_id bigint").write.parquet(f"{tmp_path}/other.parquet")
