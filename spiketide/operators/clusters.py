@@ -15,62 +15,63 @@ from spiketide.operators.ordered import Track, ordinal
 from spiketide.session import stage
 
 
-def silhouette(points: DataFrame, pid: str, label: str, vec: str, block: int = 1024) -> DataFrame:
+TILE = 512  # points of a block that meet another block at a time
+
+
+def silhouette(points: DataFrame, pid: str, label: str, vec: str, block: int = 4096) -> DataFrame:
     """Euclidean silhouette per point: (pid, label, a, b, s).
 
     The measure needs all distances, but no pair is ever a row: points are
-    hashed into blocks, each task gets two blocks, and only the sum of
-    distances per (point, other label) leaves it.  A task holds two blocks
-    however large a cluster is.
+    hashed into blocks, each task gets two blocks, and what leaves it is one
+    value for each (block, other label), the sums of all points of the block
+    side by side.  A task holds two blocks however large a cluster is.
     """
     src = points.select(F.col(pid).alias("pid"), F.col(label).alias("label"), F.col(vec).alias("vec"))
     blocks = max(1, -(-src.count() // block))
-    b = F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")
+    own_block = F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")
+    place = (F.row_number().over(W.partitionBy("b").orderBy("pid")) - 1).cast("int")  # a block of bounded size
+    src = stage(src.withColumn("b", own_block).withColumn("k", place))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    spread = src.withColumn("b", b).select("*", other.alias("o")).select(
-        "pid", "label", "vec", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")
-    )
+    spread = src.withColumn("o", other).select("label", "vec", "b", "k", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    kind = dict(src.dtypes)["label"]
 
     def sums(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        one, two = pdf[pdf["b"] == i], pdf[pdf["b"] == j]
-        out = []
-        if len(one) and len(two):
-            x, y = (np.stack(p["vec"].to_numpy()).astype(float) for p in (one, two))
-            d2 = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-            if i == j:
-                np.fill_diagonal(d2, 0.0)
-            d = np.sqrt(np.maximum(d2, 0.0))
-            sides = [(one, two, d)] if i == j else [(one, two, d), (two, one, d.T)]
-            for me, them, dist in sides:
-                kinds, inv = np.unique(them["label"].to_numpy(), return_inverse=True)
+        sides = [pdf[pdf["b"] == n].sort_values("k") for n in dict.fromkeys((i, j))]
+        rows: list[tuple] = []
+        if all(len(side) for side in sides):
+            me, them = sides[0], sides[-1]
+            for mine, theirs in [(me, them)] if i == j else [(me, them), (them, me)]:
+                x, y = (np.stack(side["vec"].to_numpy()).astype(float) for side in (mine, theirs))
+                kinds, inv = np.unique(theirs["label"].to_numpy(), return_inverse=True)
                 hot = np.zeros((len(inv), len(kinds)))
                 hot[np.arange(len(inv)), inv] = 1.0
-                s = dist @ hot
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "pid": np.repeat(me["pid"].to_numpy(), len(kinds)),
-                            "label": np.repeat(me["label"].to_numpy(), len(kinds)),
-                            "other": np.tile(kinds, len(me)),
-                            "d": s.ravel(),
-                        }
-                    )
-                )
-        return pd.concat(out) if out else pd.DataFrame({"pid": [], "label": [], "other": [], "d": []})
-
-    types = dict(src.dtypes)
-    schema = f"pid {types['pid']}, label {types['label']}, other {types['label']}, d double"
-    part = spread.groupBy("i", "j").applyInPandas(sums, schema)
+                square, out = (y * y).sum(1), np.empty((len(x), len(kinds)))
+                for low in range(0, len(x), TILE):
+                    part = x[low : low + TILE]
+                    d2 = (part * part).sum(1)[:, None] + square[None, :] - 2 * part @ y.T
+                    if i == j:
+                        at = np.arange(len(part))
+                        d2[at, at + low] = 0.0
+                    out[low : low + TILE] = np.sqrt(np.maximum(d2, 0.0)) @ hot
+                rows += [(int(mine["b"].iloc[0]), k, np.ascontiguousarray(out[:, c]).tobytes()) for c, k in enumerate(kinds)]
+        return pd.DataFrame(rows, columns=["b", "other", "sums"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(s) for s in pdf["sums"]], axis=0)
+        return pd.DataFrame({"b": pdf["b"].iloc[0], "k": np.arange(len(total)), "other": pdf["other"].iloc[0], "d": total})
+
+    parts = spread.groupBy("i", "j").applyInPandas(sums, f"b int, other {kind}, sums binary")
+    whole = parts.groupBy("b", "other").applyInPandas(added, f"b int, k int, other {kind}, d double")
     size = stage(src.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n")))
     own = F.col("label") == F.col("other")
-    mean = F.try_divide(F.sum("d"), F.max(F.when(own, F.col("n") - 1).otherwise(F.col("n"))))
-    per = part.join(size, "other").groupBy("pid", "label", "other").agg(mean.alias("m"))
-    ab = per.groupBy("pid", "label").agg(
-        F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b")
+    mean = F.try_divide(F.col("d"), F.when(own, F.col("n") - 1).otherwise(F.col("n")))
+    per = whole.join(src.select("b", "k", "pid", "label"), ["b", "k"]).join(size, "other").select("b", "k", "pid", "label", "other", mean.alias("m"))
+    ab = per.groupBy("b", "k", "pid", "label").agg(
+        F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b_")
     )
-    s = F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))
-    return ab.select(F.col("pid").alias(pid), F.col("label").alias(label), "a", "b", s.alias("s"))
+    s = F.coalesce(F.try_divide(F.col("b_") - F.col("a"), F.greatest("a", "b_")), F.lit(0.0))
+    return ab.select(F.col("pid").alias(pid), F.col("label").alias(label), "a", F.col("b_").alias("b"), s.alias("s"))
 
 
 def signatures(df: DataFrame, labels: Sequence[str]) -> DataFrame:
