@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spiketide.llm import alignment, bpe, chat, decontam, html_main, jaccard, language, merkle, quality_rules, ranking, secrets, token_counts, toxicity
 from spiketide.llm.frames import load
+from spiketide.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -254,8 +255,9 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     held_out = F.coalesce(ranking.crc("doc_id") % 5 == 0, F.lit(False))
-    fitted = ranking.fit(docs, labels, ~held_out)
-    return ranking.score(docs, fitted).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    featured = stage(ranking.featurise(docs, "doc_id"))
+    fitted = ranking.fit_features(featured, labels, ~held_out)
+    return ranking.rated(featured, fitted).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 @_add

@@ -43,6 +43,37 @@ def test_odd_rows(spark):
     assert all(r.predicted == 1 for r in unlabelled)
 
 
+def test_every_labelled_row_counts_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(ranking, "CELLS", 7)
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(600, len(ranking.FEATURES)))
+    x[:40] = 0.0  # equal scores
+    y = (x[:, 1] - x[:, 3] + draw.normal(size=600) * 0.3 < 1.6).astype(int)
+    assert 0 < (y == 0).sum() < 80  # rare: copied into the buckets
+    featured = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "doc_id long, features array<double>")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(y)], "doc_id long, quality int")
+    got = ranking.fit_features(featured, labels, F.lit(True))
+    again = ranking.fit_features(featured.repartition(7), labels.repartition(3), F.lit(True))
+    assert np.allclose(got.weights, again.weights, rtol=1e-9) and np.isclose(got.threshold, again.threshold)
+    raw = x @ np.array(got.weights)
+
+    def cost(cut):
+        return (raw[y == 1] < cut).mean() + (raw[y == 0] >= cut).mean()
+
+    assert np.isclose(cost(got.threshold), min(cost(c) for c in [*raw, raw.max() + 1]))
+    assert np.isclose((raw < got.threshold).mean(), got.quantile)
+    assert ((raw >= got.threshold) == (y == 1)).mean() > 0.85
+
+
+def test_a_fit_on_more_rows_than_a_bucket_uses_all(spark):
+    n = 30_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('word ', if(id % 2 = 0, '!!!', 'more')) as text")
+    labels = spark.range(n).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    seen = ranking.fit(docs, labels, F.lit(True))
+    assert seen.quantile == 0.5  # a hashed sample has another share of bad rows
+
+
 def test_held_out_accuracy(spark):
     got = {r.doc_id: r for r in queries.op10_quality_ranking(spark, SF).collect()}
     labels = {r.doc_id: r.quality for r in load(spark, SF, "labels").collect()}
