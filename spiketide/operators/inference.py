@@ -8,6 +8,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,6 +103,10 @@ def interval_overlap(df: DataFrame, keys: Sequence[str], sample: str, a: str, b:
 
 
 PRIME = 2_147_483_647
+CHUNK = 4_096  # rows that are hashed for all rounds at once
+BUCKETS = 1_024  # of hashes, at most
+SLAB = 20  # rounds that travel together
+HELD_BYTES = 64 << 20  # counts and sums of several groups that a task holds
 
 
 def split_factor(r: int) -> int:
@@ -114,9 +120,9 @@ def permutation_test(
     """Difference of means against ``rounds`` random splits of the same sizes.
 
     A split gives the first sample's size to the rows of smallest hash.  A row
-    is hashed once; a round multiplies that modulo a prime with a factor of its own.  Hash
-    buckets, about as many as a bucket of the largest group has rows, are counted and summed before anything is ordered,
-    so only the bucket that the border falls into is sorted.
+    is hashed once; a round multiplies that modulo a prime with a factor of its own.  Rows travel in chunks, and a
+    task counts and sums a chunk in hash buckets for all rounds, so what is shuffled is the size of the
+    buckets; then only the rows of the bucket that the border falls into are sent on and sorted.
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(
@@ -125,40 +131,114 @@ def permutation_test(
         F.sum(value).alias("s"),
         (F.avg(F.when(F.col(in_first), F.col(value))) - F.avg(F.when(~F.col(in_first), F.col(value)))).alias("dm"),
     )
-    sizes = stage(sizes)
-    largest = sizes.agg(F.max("n")).first()[0] or 1
-    wide = PRIME // max(1, math.isqrt(largest)) + 1
-    # spread the rows first: each one is about to become ``rounds`` rows
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    base = F.pmod(rank_hash(row_id), F.lit(PRIME))
-    rows = df.select(*keys, row_id, F.col(value).alias("v"), base.alias("_base")).repartition(tasks, row_id)
-    factors = F.array(*[F.lit(split_factor(r)) for r in range(rounds)])
-    draws = rows.select("*", F.posexplode(factors).alias("round", "_factor"))
-    draws = draws.withColumn("h", F.pmod(F.col("_base") * F.col("_factor"), F.lit(PRIME)))
-    draws = draws.withColumn("bucket", F.call_function("div", F.col("h"), F.lit(wide))).drop("_base", "_factor")
-    w = W.partitionBy(*keys, "round").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    buckets = draws.groupBy(*keys, "round", "bucket").agg(F.count("*").alias("k"), F.sum("v").alias("sv")).select(
-        "*", F.coalesce(F.sum("k").over(w), F.lit(0)).alias("below"), F.coalesce(F.sum("sv").over(w), F.lit(0.0)).alias("sum_below")
-    )
-    border = stage(
-        buckets.join(sizes, keys)
-        .filter((F.col("below") < F.col("nx")) & (F.col("nx") <= F.col("below") + F.col("k")))
-        .select(*keys, "round", "bucket", "sum_below", (F.col("nx") - F.col("below")).alias("take"))
-    )
-    bw = W.partitionBy(*keys, "round").orderBy("h", row_id)
+    sizes = stage(sizes.withColumn("_gid", F.monotonically_increasing_id()))
+    chunks = stage(_chunks(df, sizes, keys, row_id, value))
+    factors = np.array([split_factor(r) for r in range(rounds)], "i8")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple] = {}
+        for gid, shift, nx, base, v, _ in _unpacked(batches):
+            if (gid, shift, nx) not in held:
+                if held and len(held) * rounds * BUCKETS * 16 >= HELD_BYTES:
+                    yield _slabs(held)
+                    held = {}
+                held[gid, shift, nx] = np.zeros((rounds, (PRIME >> shift) + 1), "i8"), np.zeros((rounds, (PRIME >> shift) + 1))
+            counts, sums = held[gid, shift, nx]
+            some = np.where(v.is_valid(), v.fill_null(0.0).to_numpy(zero_copy_only=False), 0.0)
+            for low in range(0, rounds, SLAB):
+                many = counts.shape[1]
+                cells = (_hashes(base, factors[low : low + SLAB]) >> shift) + np.arange(len(factors[low : low + SLAB]))[:, None] * many
+                size = cells.shape[0] * many
+                counts[low : low + SLAB] += np.bincount(cells.ravel(), minlength=size).reshape(-1, many)
+                sums[low : low + SLAB] += np.bincount(cells.ravel(), np.tile(some, cells.shape[0]), minlength=size).reshape(-1, many)
+        if held:
+            yield _slabs(held)
+
+    def border(table: pa.Table) -> pa.Table:
+        table = table.sort_by("task")
+        nx, many = table["nx"][0].as_py(), (PRIME >> table["shift"][0].as_py()) + 1
+        counts = np.sum([np.frombuffer(b, "i8") for b in table["counts"].to_pylist()], axis=0).reshape(-1, many)
+        sums = np.sum([np.frombuffer(b) for b in table["sums"].to_pylist()], axis=0).reshape(-1, many)
+        upto = np.cumsum(counts, axis=1)
+        at = (upto < nx).sum(axis=1)
+        take = [nx - int(u[k] - c[k]) for u, c, k in zip(upto, counts, at)]
+        below = [float(x[:k].sum()) for x, k in zip(sums, at)]
+        first = table["slab"][0].as_py() * SLAB
+        head = [[table["_gid"][0].as_py()] * len(at), range(first, first + len(at)), at, below, take]
+        return pa.Table.from_arrays([pa.array(x) for x in head], names=["_gid", "round", "bucket", "sum_below", "take"])
+
+    slabs = chunks.mapInArrow(count, "_gid long, shift long, nx long, slab long, task long, counts binary, sums binary")
+    borders = stage(slabs.filter("nx > 0").groupBy("_gid", "slab").applyInArrow(border, "_gid long, round long, bucket long, sum_below double, take long"))
+    packed = borders.groupBy("_gid").agg(F.transform(F.array_sort(F.collect_list(F.struct("round", "bucket"))), lambda x: x["bucket"]).alias("buckets"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(6)
+            for i, (gid, shift, _, base, v, ids) in enumerate(_unpacked([batch])):
+                buckets = np.array(wanted[i].as_py())
+                for low in range(0, rounds, SLAB):
+                    h = _hashes(base, factors[low : low + SLAB])
+                    r, at = np.nonzero(h >> shift == buckets[low : low + SLAB, None])
+                    parts = pa.array(np.full(len(r), gid)), pa.array(r + low), pa.array(h[r, at]), ids.take(pa.array(at)), v.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays(list(parts), names=["_gid", "round", "h", "id", "v"])
+
+    kind = df.schema[row_id].dataType.simpleString()
+    near = chunks.join(packed, "_gid").select(*chunks.columns, "buckets").mapInArrow(pick, f"_gid long, round long, h long, id {kind}, v double")
+    bw = W.partitionBy("_gid", "round").orderBy("h", "id")
     edge = (
-        draws.join(border, [*keys, "round", "bucket"])
+        near.join(borders, ["_gid", "round"])
         .withColumn("k", F.row_number().over(bw))
         .filter("k <= take")
-        .groupBy(*keys, "round")
+        .groupBy("_gid", "round")
         .agg((F.sum("v") + F.max("sum_below")).alias("sx"))
     )
     dm = F.col("sx") / F.col("nx") - (F.col("s") - F.col("sx")) / (F.col("n") - F.col("nx"))
-    shuffled = edge.join(sizes, keys).select(*keys, dm.alias("d"))
+    shuffled = edge.join(sizes, "_gid").select(*keys, dm.alias("d"))
     q = wide_quantiles(shuffled, keys, "d", {"lo": lo, "hi": hi})
     return sizes.join(q, keys).select(*keys, "dm", "lo", "hi", ((F.col("lo") > F.col("dm")) | (F.col("hi") < F.col("dm"))).alias("differs"))
 
 
+def _chunks(df: DataFrame, sizes: DataFrame, keys: Sequence[str], row_id: str, value: str) -> DataFrame:
+    """Rows of a group in chunks of about CHUNK: hashes, values and ids; a bucket is a hash shifted, about as many as the root of the group's size."""
+    bits = F.least(F.lit(BUCKETS.bit_length() - 1), F.ceil(F.log2("n") / 2))
+    groups = sizes.select(*keys, "_gid", "nx", (31 - bits).cast("long").alias("shift"), F.ceil(F.col("n") / CHUNK).alias("_many"))
+    # spread the rows first: each one is about to be hashed for every round
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    base = rank_hash(row_id)
+    one = F.struct(F.pmod(base, F.lit(PRIME)).alias("base"), F.col(value).cast("double").alias("v"), F.col(row_id).alias("id"))
+    rows = df.join(groups, keys).select("_gid", "shift", "nx", F.pmod(F.xxhash64(base, value), "_many").alias("_chunk"), one.alias("one"))
+    lists = rows.repartition(tasks, "_gid", "_chunk").groupBy("_gid", "_chunk", "shift", "nx").agg(F.collect_list("one").alias("x"))
+    return lists.select("_gid", "shift", "nx", F.col("x.base").alias("base"), F.col("x.v").alias("v"), F.col("x.id").alias("id"))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, np.ndarray, pa.Array, pa.Array]]:
+    for batch in batches:
+        heads = zip(*(batch.column(k).to_pylist() for k in range(3)))
+        for i, head in enumerate(heads):
+            base, v, ids = (batch.column(k)[i].values for k in (3, 4, 5))
+            yield *head, base.to_numpy(), v, ids
+
+
+def _hashes(base: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """base x factor modulo PRIME, rounds x rows; 2^31 is 1 there, so high bits are added to low ones."""
+    x = factors[:, None] * base
+    for _ in range(2):
+        x = (x & PRIME) + (x >> 31)
+    x[x >= PRIME] -= PRIME
+    return x
+
+
+def _slabs(held: dict[tuple, tuple]) -> pa.RecordBatch:
+    """Counts and sums of some rounds at a time as packed rows."""
+    task = TaskContext.get().partitionId()
+    rows = [
+        (*head, low // SLAB, task, counts[low : low + SLAB].tobytes(), sums[low : low + SLAB].tobytes())
+        for head, (counts, sums) in held.items()
+        for low in range(0, len(counts), SLAB)
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["_gid", "shift", "nx", "slab", "task", "counts", "sums"])
+
+
 def one_sample_t(df: DataFrame, keys: Sequence[str], value: str, mean: float = 0.0) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count(value).alias("n"),
