@@ -23,6 +23,7 @@ from spiketide.llm.pretokens import PieceTable
 
 MASK = (1 << 64) - 1
 MAX_VOCABULARY = 1 << 20  # a broadcast stays below some 50 MB
+KEPT = 240_000  # pieces and pre-tokens that a worker remembers, in each of two generations; some 200 MB at most
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -119,7 +120,7 @@ class Encoder:
     def __init__(self, tokens: list[bytes], ids: list[int], hashed: MinimalPerfectHash, pattern: str):
         self.ids, self.hashed = ids, hashed
         self.ranks = dict(zip(tokens, ids))
-        self.known = PieceTable(pattern, self.packed, b"".join)
+        self.known = PieceTable(pattern, self.packed, b"".join, KEPT, KEPT)
 
     def packed(self, word: str) -> bytes:
         raw = word.encode()

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import hashlib
 import random
 import struct
@@ -96,3 +97,14 @@ def test_queries(spark, library):
     counter = Tokenizer.from_file(SPEC)
     for r in queries.op6_token_counts(spark, SF).collect():
         assert r.n_tokens == len(counter.encode(texts[r.doc_id], add_special_tokens=False).ids)
+
+
+def test_pieces_of_many_texts_are_remembered():
+    tokens = [bytes([b]) for b in range(256)]
+    encoder = bpe.Encoder(tokens, list(range(256)), bpe.MinimalPerfectHash(tokens), r" ?\p{L}+")
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=4), 150_000)]
+    first = encoder.encode(" ".join(words))
+    made = []
+    keep = encoder.known.make
+    encoder.known.make = lambda piece: made.append(piece) or keep(piece)
+    assert encoder.encode(" ".join(words)) == first and not made
