@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from spiketide.llm.frames import Shared, as_schema, map_batches, map_rows
-from spiketide.llm.pretokens import Recent
 from spiketide.session import stage
 
 # fixed values: a word is a run of ASCII digits, letters, and all characters beyond ASCII
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: the same by bytes of UTF-8: characters beyond ASCII have bytes from 0x80 on only; what separates words is a space
+_BYTES = bytes(c if c >= 0x80 else ord(chr(c).translate(_LOWER)) if _WORD.match(chr(c)) else 0x20 for c in range(256))
 
 WINDOW = 10
 SEGMENT_WORDS = 400_000
@@ -50,11 +52,15 @@ def windows_of(words: list[str]) -> list[list[str]]:
 
 
 class Vocabulary:
-    """Numbers of the benchmark's terms, looked up by words in any case."""
+    """Numbers of the benchmark's terms by their UTF-8."""
 
     def __init__(self, terms: list[str]):
-        known = {t: i for i, t in enumerate(terms)}
-        self.number = Recent(lambda w: known.get(w.translate(_LOWER), -1), 100_000)
+        self.known = {t.encode(): i for i, t in enumerate(terms)}
+
+    def numbers(self, text: bytes | None) -> np.ndarray:
+        """The term at each word of a text, -1 where a word is no term."""
+        words = text.translate(_BYTES).split() if text else []
+        return np.fromiter(map(self.known.get, words, repeat(-1)), "<i4", len(words))
 
 
 def build_index(docs: DataFrame, terms: list[str], id_col: str, text_col: str, row_col: str) -> DataFrame:
@@ -64,7 +70,7 @@ def build_index(docs: DataFrame, terms: list[str], id_col: str, text_col: str, r
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.get().number
+        numbers = shared.get().numbers
         ids, rows, sizes, streams, total = [], [], [], [], 0
 
         def segment() -> pa.RecordBatch:
@@ -81,18 +87,17 @@ def build_index(docs: DataFrame, terms: list[str], id_col: str, text_col: str, r
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
 
         for batch in batches:
+            texts = batch.column(1).cast(pa.large_binary())
             for k in range(batch.num_rows):
-                key, text, row = (batch.column(c)[k].as_py() for c in range(3))
-                found = _WORD.findall(text) if text else []
-                stream = np.fromiter([number[w] for w in found], "<i4", len(found))
-                if streams and total + len(found) > SEGMENT_WORDS:
+                stream = numbers(texts[k].as_py())
+                if streams and total + len(stream) > SEGMENT_WORDS:
                     yield segment()
                     ids, rows, sizes, streams, total = [], [], [], [], 0
-                ids.append(key)
-                rows.append(row)
-                sizes.append(len(found))
+                ids.append(batch.column(0)[k].as_py())
+                rows.append(batch.column(2)[k].as_py())
+                sizes.append(len(stream))
                 streams.append(stream)
-                total += len(found) + GAP
+                total += len(stream) + GAP
         if streams:
             yield segment()
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 
 from spiketide.llm import decontam
@@ -60,5 +63,31 @@ def test_empty_tables(spark):
     assert len(got) == len(DOCS) and not any(r.contaminated for r in got)
 
 
+def test_words_by_bytes():
+    every = "".join(f"a{chr(c)}B " for c in [*range(0x300), 0x2028, 0x212A, 0x3000, 0xFFFD, 0x1F600])
+    words = decontam.words_of(every)
+    vocabulary = decontam.Vocabulary(sorted(set(words[::2])))
+    known = {w: k for k, w in enumerate(sorted(set(words[::2])))}
+    assert vocabulary.numbers(every.encode()).tolist() == [known.get(w, -1) for w in words]
+    assert len(vocabulary.numbers(b"")) == len(vocabulary.numbers(None)) == 0
+
+
+def test_words_cost_less_than_by_the_pattern():
+    draw = random.Random(3)
+    text = " ".join(f"W{draw.randrange(3000)}é," for _ in range(100_000))
+    vocabulary = decontam.Vocabulary([f"w{k}é" for k in range(2000)])
+
+    def least(run) -> float:
+        times = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            times.append(time.process_time() - began)
+        return min(times)
+
+    data = text.encode()
+    assert least(lambda: vocabulary.numbers(data)) < least(lambda: decontam._WORD.findall(text))
+
+
 def test_query(spark):
     assert oracle.compare(spark, connect(SF), "op9_decontamination", SF) == []
