@@ -1,15 +1,17 @@
-"""Main text of web pages: what the markup says, and repeated runs of a host where it says nothing.
-
-Pages are cut into blocks.  Blocks inside an article (or main) element are
-text; blocks inside navigation, headers, footers, asides, forms and the like, or
-in elements so named by class, id or role, are not.  Pages without an article keep their other blocks,
-less what the host repeats: the words outside articles are concatenated page after page,
-a suffix array over them brings equal beginnings together, and every run of RUN
-words or more that several distinct pages share is boilerplate.  Unique runs stay.
-
-A host may have any number of pages.  Its streams are dealt out in parts of bounded
-size, each part has a suffix array of its own, and equal runs of different parts
-meet by the hash of their words.  Pages whose open text is nearly the same (near copies
+"""Main text of web pages: runs that a host repeats, found by a suffix array, and the markup as a check.
+
+Pages are cut into blocks, and the words of all blocks of a page are its stream.  The streams of a
+host are concatenated page after page, a suffix array over them brings equal beginnings
+together, and every run of RUN words or more that several distinct pages share is boilerplate.
+Unique runs are what the array leaves of a page.  The markup then checks that.  Blocks inside navigation,
+headers, footers, asides, forms and the like, or in elements so named by class, id or role, go even if they are unique.
+Blocks inside an article (or main) element are its text, and words of it that the array took come back; but where the
+array took the whole of it, and leaves at least as many words of plain blocks, it is a teaser and these are the text.
+A page without an article keeps what the array leaves of its plain blocks.
+
+A host may have any number of pages.  Arrays are built over parts of bounded size where the pages
+lie, whose runs are counted over all parts by three bytes in a bucket.  That misses no repeated run, and the few that it
+names are counted again by their whole hash.  Pages whose open text is nearly the same (near copies
 by the Jaccard join) are one family, and a run counts the families it stands in.
 """
 
@@ -18,20 +20,27 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spiketide.llm import jaccard
-from spiketide.llm.frames import map_rows
+from spiketide.llm.frames import Shared, as_schema, map_batches, map_rows
 from spiketide.session import stage
 
 RUN = 8  # words; a power of two, so that doubling ends on it
 PAGES = 3  # distinct pages of a host, near copies taken as one, that share boilerplate
 PART_WORDS = 200_000
+PRINT_BITS = 24
+BUCKET_CHARS = 32_000_000  # of pages, whose prints are one bucket
+LEAST_BUCKETS = 32
+MAP_BITS, SLICE_BITS = 30, 20  # a broadcast bitmap and the part of it that a task makes, at most
+LOW, SPREAD = (1 << 34) - 1, 0x9E3779B  # the second place of a number in a bitmap; products stay below 2**63
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 # fixed values: elements of HTML by their part in a page
 RAW = "script style noscript template textarea iframe svg object canvas title"
@@ -166,14 +175,39 @@ def host_of(url: str | None) -> str:
 
 
 def stream_of(blocks: list[tuple[int, str]]) -> str:
-    """The text outside articles, a line for each block."""
-    return "\n".join(t for k, t in blocks if k != MAIN)
+    """The text of a page, a line for each block."""
+    return "\n".join(t for _, t in blocks)
 
 
-def tokens_of(stream: str) -> np.ndarray:
-    """Hashes of the words, and of a mark at the end of each block."""
-    words = stream.replace("\n", " \x00 ").split(" ")
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), "u8", len(words))
+def salt_of(host: str) -> int:
+    return xxhash.xxh3_64_intdigest(host)
+
+
+def key_of(stream: str, salt: int) -> int:
+    """Equal streams of a host are one distinct page."""
+    return xxhash.xxh3_64_intdigest(stream, salt) >> 1
+
+
+@cache
+def weights(power: int) -> np.ndarray:
+    """Weights of the first 2**power places of a word."""
+    x = np.arange(1, (1 << power) + 1, dtype="u8") * _FACTOR
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def tokens_of(stream: str, salt: int = 0) -> np.ndarray:
+    """Hashes of the words, and of a mark at the end of each block; with the salt of a host they are its own."""
+    data = np.frombuffer(stream.replace("\n", " \x00 ").encode(), "u1")
+    space = data == 0x20
+    start = np.concatenate([[0], np.flatnonzero(space) + 1])
+    size = np.diff(np.concatenate([start, [len(data) + 1]]))
+    place = np.arange(len(data) + 1) - np.repeat(start, size)
+    weighed = np.zeros(len(data) + 1, "u8")  # each word with the space after it, which weighs nothing
+    weighed[:-1] = weights(int(size.max()).bit_length())[place[:-1]] * (data + np.uint64(1)) * ~space
+    x = np.add.reduceat(weighed, start)
+    return (x ^ (x >> np.uint64(32))) * _FACTOR ^ np.uint64(salt)
 
 
 def windows(tokens: np.ndarray) -> np.ndarray:
@@ -181,17 +215,16 @@ def windows(tokens: np.ndarray) -> np.ndarray:
     n = len(tokens) - RUN + 1
     x = np.zeros(max(n, 0), "u8")
     for k in range(RUN):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + n] if n > 0 else x
+        x = (x ^ (x >> np.uint64(31))) * _FACTOR + tokens[k : k + n] if n > 0 else x
     return x
 
 
-def owned_runs(streams: list[str], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each distinct run of the streams with each owner of a stream it stands on, by a suffix array over all; equal runs are neighbours.
+def owned_runs(parts: list[np.ndarray], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each distinct run of the streams' tokens with each owner of a stream it stands on, by a suffix array over all; equal runs are neighbours.
 
     Ranks of suffixes double their reach until it is RUN tokens; in the order
     of the ranks equal runs are neighbours, and the changes of owner among them are what is returned.
     """
-    parts = [tokens_of(s) for s in streams]
     owner = np.repeat(owners, [len(p) for p in parts])
     text = np.concatenate(parts)
     end = np.repeat(np.cumsum([len(p) for p in parts]), [len(p) for p in parts])
@@ -218,14 +251,14 @@ def first_of_each(runs: np.ndarray) -> np.ndarray:
 
 def repeated_runs(streams: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Each distinct run of the streams, and on how many of them it stands."""
-    runs, _ = owned_runs(streams, np.arange(len(streams)))
+    runs, _ = owned_runs([tokens_of(s) for s in streams], np.arange(len(streams)))
     begin = first_of_each(runs)
     return runs[begin], np.diff(np.concatenate([begin, [len(runs)]]))
 
 
-def unique_text(open_lines: list[int], stream: str, repeated: set[int]) -> str:
+def unique_text(open_lines: list[int], stream: str, repeated: set[int], salt: int = 0) -> str:
     """The open lines of a stream without the words that a repeated run covers where they stand."""
-    hit = windows(tokens_of(stream)).view("i8")
+    hit = windows(tokens_of(stream, salt)).view("i8")
     covered = np.zeros(len(hit) + RUN, "i4")
     for k in np.flatnonzero(np.isin(hit, np.fromiter(repeated, "i8", len(repeated)))):
         covered[k : k + RUN] = 1
@@ -240,31 +273,180 @@ def unique_text(open_lines: list[int], stream: str, repeated: set[int]) -> str:
     return "\n".join(out)
 
 
+def text_of(blocks: list[tuple[int, str]], salt: int, repeated: list[int] | None) -> str:
+    """What the host's repeated runs leave of a page, checked by its markup."""
+    lines = {kind: [i for i, (k, _) in enumerate(blocks) if k == kind] for kind in (OPEN, MAIN)}
+    whole = {kind: "\n".join(blocks[i][1] for i in held) for kind, held in lines.items()}
+    left = whole
+    if repeated:
+        stream, runs = stream_of(blocks), set(repeated)
+        left = {kind: unique_text(held, stream, runs, salt) if held else "" for kind, held in lines.items()}
+    if not lines[MAIN]:
+        return left[OPEN]
+    if not left[MAIN] and len(left[OPEN].split()) >= len(whole[MAIN].split()):
+        return left[OPEN]
+    return whole[MAIN]
+
+
+def prints(pages: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, prints): by a suffix array of each part, PRINT_BITS of each run, as often as it has pages of the part, PAGES times at most."""
+    schema = as_schema("bucket long, prints binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[str, np.ndarray]] = {}
+        words = 0
+
+        def part() -> pa.RecordBatch:
+            tokens = [t for _, t in sorted(held.values(), key=lambda x: x[0])]  # host after host
+            runs, _ = owned_runs(tokens, np.arange(len(tokens)))
+            begin = first_of_each(runs)
+            pages = np.minimum(np.diff(np.concatenate([begin, [len(runs)]])), PAGES)
+            codes = np.sort(np.repeat(coded(runs[begin], buckets), pages))
+            bucket = codes >> np.uint64(PRINT_BITS)
+            found, at = np.unique(bucket, return_index=True)
+            low = codes.astype("<u8").view("u1").reshape(-1, 8)[:, : PRINT_BITS // 8]
+            rows = [low[i:j].T.tobytes() for i, j in zip(at.tolist(), [*at.tolist()[1:], len(codes)])]
+            return pa.RecordBatch.from_arrays([pa.array(found.astype("i8")), pa.array(rows, pa.binary())], names=["bucket", "prints"])
+
+        for batch in batches:
+            for url, page in zip(*(c.to_pylist() for c in batch.columns)):
+                stream = stream_of(blocks_of(page))
+                host = host_of(url)
+                salt = salt_of(host)
+                key = key_of(stream, salt)
+                if stream and key not in held:
+                    held[key] = host, tokens_of(stream, salt)
+                    words += len(held[key][1])
+                if words >= PART_WORDS:
+                    yield part()
+                    held.clear()
+                    words = 0
+        if held:
+            yield part()
+
+    return map_batches(pages, run, schema)
+
+
+def coded(runs: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and print of each run."""
+    runs = runs.view("u8")
+    bits = np.uint64(PRINT_BITS)
+    return (runs >> bits) % np.uint64(buckets) << bits | runs & np.uint64((1 << PRINT_BITS) - 1)
+
+
+def common_codes(printed: DataFrame) -> DataFrame:
+    """(code): bucket and print of the runs that may stand on PAGES pages; all that do are among them."""
+
+    def one_bucket(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(p, "u1").reshape(PRINT_BITS // 8, -1).astype("i8") for p in table["prints"].to_pylist()]
+        found, pages = np.unique(np.concatenate([sum(plane << 8 * k for k, plane in enumerate(p)) for p in parts]), return_counts=True)
+        return pa.table({"code": found[pages >= PAGES] + (table["bucket"][0].as_py() << PRINT_BITS)})
+
+    return printed.groupBy("bucket").applyInArrow(one_bucket, "code long")
+
+
+class Bitmap:
+    """Numbers that may be in a set: all of it, and few others."""
+
+    def __init__(self, bits: int, slices: dict[int, bytes]):
+        size = 1 << min(bits, SLICE_BITS)
+        self.mask = np.uint64((1 << bits) - 1)
+        self.held = np.concatenate([np.frombuffer(slices.get(k, bytes(size // 8)), "u1") for k in range((1 << bits) // size)])
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        numbers = numbers.view("u8")
+        found = self.at(numbers & self.mask)
+        found[found] = self.at(second_place(numbers[found]) & self.mask)
+        return found
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return (self.held[places >> np.uint64(3)] >> (places & np.uint64(7)).astype("u1") & 1).astype(bool)
+
+
+def second_place(numbers: np.ndarray) -> np.ndarray:
+    return (numbers & np.uint64(LOW)) * np.uint64(SPREAD) >> np.uint64(16)
+
+
+def bitmap(numbers: DataFrame) -> Shared:
+    """The bitmap of a column of evenly spread numbers, two of 16 bits for each up to MAP_BITS in all."""
+    (column,), spark = numbers.columns, numbers.sparkSession
+    bits = min(MAP_BITS, max(10, (16 * numbers.count()).bit_length()))
+    size = 1 << min(bits, SLICE_BITS)
+
+    def one_slice(table: pa.Table) -> pa.Table:
+        at = table["at"].to_numpy()
+        flags = np.zeros(size, "u1")
+        flags[at % size] = 1
+        return pa.table({"slice": pa.array([int(at[0]) // size], pa.int64()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    number, mask = F.col(column), F.lit((1 << bits) - 1)
+    second = F.shiftright(number.bitwiseAND(F.lit(LOW)) * F.lit(SPREAD), 16)
+    placed = numbers.select(F.explode(F.array(number.bitwiseAND(mask), second.bitwiseAND(mask))).alias("at")).distinct()
+    slices = placed.groupBy(F.floor(F.col("at") / size).alias("slice")).applyInArrow(one_slice, "slice long, bits binary")
+    return Shared(spark, (bits, {r.slice: bytes(r.bits) for r in slices.collect()}), Bitmap)
+
+
 def families(streams: DataFrame) -> DataFrame:
-    """(key, family): pages without an article whose open texts are near copies, or near copies of such, have one family."""
+    """(key, family): pages whose texts are near copies, or near copies of such, have one family."""
     texts = streams.filter("open <> ''").select("key", "open").distinct()
     return jaccard.similar(texts, "key", "open").select("key", F.col("component_id").alias("family")).distinct()
 
 
-def boilerplate(streams: DataFrame) -> DataFrame:
-    """(host, run): hashes of the runs that PAGES or more families of streams of a host share."""
-    distinct = streams.filter("stream <> ''").groupBy("host", "key").agg(F.first("stream").alias("stream"))
-    words = F.length("stream") - F.length(F.translate("stream", " \n", "")) + 1
-    related = distinct.withColumn("words", words).join(families(streams), "key", "left")
-    sized = stage(related.withColumn("family", F.coalesce("family", "key")))
-    parts = sized.groupBy("host").agg(F.ceil(F.sum("words") / PART_WORDS).cast("int").alias("parts"))
-    dealt = sized.join(parts, "host").withColumn("part", F.pmod("key", "parts"))
+def met_runs(pages: DataFrame) -> DataFrame:
+    """(key, run, host): runs of each distinct page that may be boilerplate.
+
+    A page with plain blocks has one more row, without a run, with its host if it has no article.
+    """
+    chars = pages.agg(F.sum(F.length(pages.columns[1])).alias("n")).first()["n"] or 0
+    buckets = max(LEAST_BUCKETS, -(-chars // BUCKET_CHARS))
+    common = bitmap(stage(common_codes(prints(pages, buckets))))
+
+    def start():
+        codes = common.get()
+
+        def row(url: str | None, page: str | None) -> Iterator[tuple]:
+            blocks, host = blocks_of(page), host_of(url)
+            stream, salt = stream_of(blocks), salt_of(host)
+            key = key_of(stream, salt)
+            runs = windows(tokens_of(stream, salt))
+            for run in set(runs[codes.has(coded(runs, buckets))].view("i8").tolist()):
+                yield key, run, None
+            if plain(blocks):
+                yield key, None, host if bare(blocks) else None
+
+        return row
+
+    return stage(map_rows(pages, "key long, run long, host string", start, rows=4096).distinct())
+
+
+def plain(blocks: list[tuple[int, str]]) -> bool:
+    """Whether the page has words that the markup neither takes nor gives, so that the array decides."""
+    return any(k == OPEN for k, _ in blocks)
+
+
+def bare(blocks: list[tuple[int, str]]) -> bool:
+    return plain(blocks) and not any(k == MAIN for k, _ in blocks)
+
 
-    def one_part(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs, family = owned_runs(pdf["stream"].tolist(), pdf["family"].to_numpy("i8"))
-        begin = first_of_each(runs)
-        nth = np.arange(len(runs)) - np.repeat(begin, np.diff(np.concatenate([begin, [len(runs)]])))
-        few = nth < PAGES  # so many of a part are enough to know that there are so many in all
-        return pd.DataFrame({"host": pdf["host"].iloc[0], "run": runs[few], "family": family[few]})
+def boilerplate(pages: DataFrame, met: DataFrame) -> DataFrame:
+    """(key, runs): the runs of each distinct page that PAGES or more families of pages of its host share."""
+    runs = met.filter("run is not null").select("key", "run")
+    hosts = met.filter("run is null and host is not null").select("host").distinct()
+    owned = runs.withColumn("family", F.col("key"))
+    if not hosts.isEmpty():  # elsewhere the markup brings back what versions of an article take from each other
 
-    each = dealt.select("host", "part", "stream", "family").groupBy("host", "part").applyInPandas(one_part, "host string, run long, family long")
-    pages = each.distinct().groupBy("host", "run").agg(F.count("*").alias("pages"))
-    return pages.filter(F.col("pages") >= PAGES).select("host", "run")
+        def start():
+            def row(url: str | None, page: str | None) -> Iterator[tuple]:
+                blocks, host = blocks_of(page), host_of(url)
+                kind = OPEN if bare(blocks) else MAIN
+                yield host, key_of(stream_of(blocks), salt_of(host)), "\n".join(t for k, t in blocks if k == kind)
+
+            return row
+
+        texts = stage(map_rows(pages, "host string, key long, open string", start).join(hosts, "host"))
+        owned = runs.join(families(texts), "key", "left").withColumn("family", F.coalesce("family", "key"))
+    shared = owned.groupBy("run").agg(F.count_distinct("family").alias("n")).filter(F.col("n") >= PAGES).select("run")
+    return runs.join(shared, "run").groupBy("key").agg(F.collect_list("run").alias("runs"))  # no more than the page has words
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -277,60 +459,46 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
     head = f"`{id_col}` {types[id_col]}, `{url_col}` {types[url_col]}"
     source = pages.select(id_col, url_col, html_col)
+    pages = pages.select(url_col, html_col)
+    met = met_runs(pages)
+    runs = stage(boilerplate(pages, met))
+    repeating = bitmap(runs.select("key"))
 
-    def outside():
-        def row(key, url: str | None, page: str | None) -> Iterator[tuple]:
-            blocks = blocks_of(page)
-            stream = stream_of(blocks)
-            bare = not any(k == MAIN for k, _ in blocks)
-            text = "\n".join(t for k, t in blocks if k == OPEN) if bare else ""
-            yield host_of(url), xxhash.xxh3_64_intdigest(stream) >> 1, stream, bare, text
-
-        return row
+    def opened(url: str | None, page: str | None) -> tuple[list[tuple[int, str]], int, int]:
+        blocks, salt = blocks_of(page), salt_of(host_of(url))
+        return blocks, salt, key_of(stream_of(blocks), salt)
 
-    streams = stage(map_rows(source, "host string, key long, stream string, bare boolean, open string", outside))
+    def settled():
+        repeats = repeating.get()
 
-    def decided():
         def row(key, url: str | None, page: str | None) -> Iterator[tuple]:
-            blocks = blocks_of(page)
-            main = [t for k, t in blocks if k == MAIN]
-            if main or not any(k == OPEN for k, _ in blocks):
-                yield key, url, "\n".join(main)
-
-        return row
-
-    sure = map_rows(source, f"{head}, text string", decided)
-    bare = streams.filter("bare and stream <> ''").select("host", "key", "stream").distinct()
-    if bare.isEmpty():
-        return sure
-    runs = stage(boilerplate(streams))
-
-    def run_rows():
-        def row(host: str, key: int, stream: str) -> Iterator[tuple]:
-            for run in set(windows(tokens_of(stream)).view("i8").tolist()):
-                yield host, key, run
+            blocks, salt, at = opened(url, page)
+            if not (repeats.has(np.array([at])).any() and plain(blocks)):  # the array takes nothing, or only what the markup decides
+                yield key, url, text_of(blocks, salt, None)
 
         return row
 
-    met = map_rows(bare, "host string, key long, run long", run_rows, rows=4096).join(runs, ["host", "run"])
-    covered = met.groupBy("host", "key").agg(F.collect_set("run").alias("runs"))  # no more than the page has words
+    def unsettled():
+        repeats = repeating.get()
 
-    def undecided():
         def row(key, url: str | None, page: str | None) -> Iterator[tuple]:
-            blocks = blocks_of(page)
-            if not any(k == MAIN for k, _ in blocks) and (held := [i for i, (k, _) in enumerate(blocks) if k == OPEN]):
-                stream = stream_of(blocks)
-                yield key, url, host_of(url), xxhash.xxh3_64_intdigest(stream) >> 1, held, stream
+            blocks, _, at = opened(url, page)
+            if repeats.has(np.array([at])).any() and plain(blocks):
+                yield key, url, at, bytes(k for k, _ in blocks), stream_of(blocks)
 
         return row
 
-    rest = map_rows(source, f"{head}, host string, key long, held array<int>, stream string", undecided)
-
-    def cut():
-        def row(key, url, held: list[int], stream: str, runs: list[int] | None) -> Iterator[tuple]:
-            yield key, url, unique_text(held, stream, set(runs or ()))
+    def judged():
+        def row(key, url: str | None, kinds: bytes, stream: str, runs: list[int] | None) -> Iterator[tuple]:
+            blocks = list(zip(kinds, stream.split("\n")))
+            yield key, url, text_of(blocks, salt_of(host_of(url)), runs)
 
         return row
 
-    joined = rest.join(covered, ["host", "key"], "left").select(id_col, url_col, "held", "stream", "runs")
-    return sure.union(map_rows(joined, f"{head}, text string", cut))
+    sure = map_rows(source, f"{head}, text string", settled)
+    if met.filter("run is null").isEmpty():  # no page has plain blocks
+        return sure
+    moved = map_rows(source, f"{head}, _key long, _kinds binary, _stream string", unsettled)
+    joined = moved.join(runs.select(F.col("key").alias("_key"), F.col("runs").alias("_runs")), "_key", "left")
+    joined = joined.select(id_col, url_col, "_kinds", "_stream", "_runs")
+    return sure.union(map_rows(joined, f"{head}, text string", judged))

@@ -99,6 +99,79 @@ def test_headings_of_the_menu_and_near_copies_stay(spark, monkeypatch):
     assert {r.page_id: r.text for r in got} == want
 
 
+def told(draw: random.Random, n: int) -> str:
+    return " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+
+
+@pytest.mark.parametrize("words", [40, 100_000])
+def test_the_array_judges_pages_with_articles(spark, monkeypatch, words):
+    monkeypatch.setattr(h, "PART_WORDS", words)
+    monkeypatch.setattr(h, "LEAST_BUCKETS", 3)
+    draw = random.Random(6)
+    teaser, licence, menu = told(draw, 12), told(draw, 15), told(draw, 10)
+    rows, want = [], {}
+    for i in range(5):
+        own = told(draw, 30)  # a story in a plain block beside a teaser of the whole host
+        rows.append((i, f"http://a.org/{i}", f"<nav>{menu}</nav><article class=card>{teaser}</article><div>{own}</div>"))
+        want[i] = own
+    for i in range(5, 9):  # a licence in each article stays
+        own = told(draw, 30)
+        rows.append((i, f"http://a.org/{i}", f"<nav>{menu}</nav><article><p>{own}</p><p>{licence}</p></article><div>{told(draw, 50)}</div>"))
+        want[i] = f"{own}\n{licence}"
+    rows.append((9, "http://b.org/9", f"<article class=card>{teaser}</article><div>{told(draw, 30)}</div>"))  # of one page of its host
+    want[9] = teaser
+    rows.append((10, "http://a.org/10", f"<nav>{menu}</nav><article>{teaser}</article><p>{told(draw, 5)}</p>"))
+    want[10] = teaser
+    for i in range(11, 15):  # without plain blocks a repeated article stays
+        rows.append((i, "http://c.org/", f"<nav>{told(draw, 9)}</nav><article>{licence}</article>"))
+        want[i] = licence
+    got = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
+
+
+def test_an_article_and_its_bare_versions_are_one_page_of_a_host(spark):
+    draw = random.Random(7)
+    story = told(draw, 60)
+    rows = [(i, "http://p.org/", f"<nav>{told(draw, 3)}</nav><article>{story}</article>") for i in range(3)]
+    rows.append((3, "http://p.org/print", f"<p>{story}</p>"))
+    got = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == [story] * 4
+
+
+def test_tokens_are_those_of_the_words():
+    words = ["a", "b", "ab", "ba", "a\x01", "é", "x" * 5000, "x" * 5001, "\x01", "\x00a", "a\x00"]
+    draw = random.Random(10)
+    for _ in range(50):
+        picked = [draw.choice(words) for _ in range(draw.randrange(1, 20))]
+        at = h.tokens_of(" ".join(picked), 5).tolist()
+        assert len(at) == len(picked) and all((x == y) == (v == w) for x, v in zip(at, picked) for y, w in zip(at, picked))
+    assert h.tokens_of("a b\nc").tolist() == [int(h.tokens_of(w)[0]) for w in ("a", "b", "\x00", "c")]
+    assert len(h.tokens_of("")) == 1 and h.tokens_of("a")[0] != h.tokens_of("a", 1)[0]
+
+
+@pytest.mark.parametrize("words", [60, 100_000])
+def test_repeated_runs_as_brute_force(spark, monkeypatch, words):
+    monkeypatch.setattr(h, "PART_WORDS", words)
+    draw = random.Random(9)
+    phrases = [told(draw, 9) for _ in range(6)]
+    rows, seen = [], defaultdict(set)
+    for i in range(60):
+        page = f"<nav>{draw.choice(phrases)}</nav><article>{draw.choice(phrases)} {told(draw, 4)} {draw.choice(phrases)}</article>"
+        rows.append((f"http://h{i % 4}.org/", page))
+    rows += rows[:5]
+    runs_of = {}
+    for url, page in rows:
+        stream, salt = h.stream_of(h.blocks_of(page)), h.salt_of(h.host_of(url))
+        key = h.key_of(stream, salt)
+        runs_of[key] = set(h.windows(h.tokens_of(stream, salt)).view("i8").tolist())
+        for run in runs_of[key]:
+            seen[run].add(key)
+    want = {k: kept for k, runs in runs_of.items() if (kept := {r for r in runs if len(seen[r]) >= h.PAGES})}
+    pages = spark.createDataFrame(rows, "url string, html string").repartition(3)
+    got = h.boilerplate(pages, h.met_runs(pages)).collect()
+    assert want and {r.key: set(r.runs) for r in got} == want and all(len(set(r.runs)) == len(r.runs) for r in got)
+
+
 def test_suffix_array_as_brute_force():
     draw = random.Random(8)
     streams = ["\n".join(" ".join(draw.choice("ab") for _ in range(draw.randint(1, 30))) for _ in range(3)) for _ in range(8)] + ["a b"]
